@@ -84,7 +84,7 @@ def keep_bitmaps(
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("text"))
     lines = scratch.write("lines", _lines(docs, min_chars))
     bad = scratch.write("repeated", repeated_lines(lines, min_docs))
-    hits = lines.join(bad, "hash")
+    hits = lines.join(bad.hint("merge"), "hash")
     if keep_first:
         hits = hits.where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("pos") == F.col("first_pos"))))
     return hits.groupBy("id").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
@@ -104,7 +104,7 @@ def dedup_lines(
     decided = scratch.write("decided", keep_bitmaps(docs, scratch, id_col, text_col, min_chars, min_docs, keep_first))
     scratch.drop("lines", "repeated")
     decided = decided.select(F.col("id").alias("__id"), "dropped")
-    kept = docs.join(decided, docs[f"`{id_col}`"].eqNullSafe(decided["__id"]), "left").drop("__id")
+    kept = docs.join(decided.hint("merge"), docs[f"`{id_col}`"].eqNullSafe(decided["__id"]), "left").drop("__id")
     lines = F.split(text_or_empty(text_col), "\n", -1)
     kept = kept.withColumn("__cut", F.coalesce(F.col("dropped"), F.array().cast("array<int>"))).drop("dropped")
     kept = kept.withColumn("n_lines", F.size(lines).cast("long"))
