@@ -1,15 +1,18 @@
 """The queries of the training-data operators and the SQL of those that SQL can express."""
 
-from . import line_dedup
+from . import chat_format, line_dedup, mixing
 
 
 def queries():
     return {
+        "op4_chat_format": chat_format.op4_chat_format,
         "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql():
     return {
+        "op4_chat_format": chat_format.OP4_SQL,
         "op7_line_dedup": line_dedup.OP7_SQL,
     }
