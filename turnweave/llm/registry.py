@@ -1,10 +1,11 @@
 """The queries of the training-data operators and the SQL of those that SQL can express."""
 
-from . import chat_format, line_dedup, mixing
+from . import chat_format, line_dedup, mixing, secrets
 
 
 def queries():
     return {
+        "op3_secrets": secrets.op3_secrets,
         "op4_chat_format": chat_format.op4_chat_format,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op10_mixing": mixing.op10_mixing,
