@@ -23,7 +23,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick, text_or_empty
+from .common import pick, text_or_empty
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: kind, pattern, least length, group whose length counts
@@ -47,7 +47,6 @@ def spans_of(text: Column, pattern: str, kind: int, least: int, group: int) -> C
     pieces = F.arrays_zip(
         gaps.alias("gap"), F.transform(found, lambda x: F.length(x)).alias("n"), F.transform(valued, lambda x: F.length(x)).alias("v")
     )
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(SPAN).alias("spans"))
     start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("spans"))
 
     def step(acc, p):
@@ -74,7 +73,8 @@ def _codes(token: Column) -> Column:
 
 def labelled_samples(docs: DataFrame, sample_docs: int) -> DataFrame:
     """(token, label) of the documents with the smallest hashes: 1 for what the patterns find, else 0."""
-    few = docs.orderBy(F.xxhash64("id"), "id").limit(sample_docs).select("text")
+    ids = docs.select("id").where("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_docs)
+    few = docs.where(F.col("id").isin([r["id"] for r in ids.collect()])).select("text")
     values = F.array_distinct(
         F.concat(*[F.filter(F.regexp_extract_all("text", F.lit(p), F.lit(g)), lambda x, n=least: F.length(x) >= n) for _, p, least, g in KINDS])
     )
