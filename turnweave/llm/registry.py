@@ -1,12 +1,14 @@
 """The queries of the training-data operators and the SQL of those that SQL can express."""
 
-from . import chat_format, line_dedup, mixing, secrets
+from . import chat_format, line_dedup, mixing, secrets, simhash, topk
 
 
 def queries():
     return {
         "op3_secrets": secrets.op3_secrets,
         "op4_chat_format": chat_format.op4_chat_format,
+        "op5_simhash": simhash.op5_simhash,
+        "op6_exact_topk": topk.op6_exact_topk,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op10_mixing": mixing.op10_mixing,
     }
@@ -15,5 +17,6 @@ def queries():
 def oracle_sql():
     return {
         "op4_chat_format": chat_format.OP4_SQL,
+        "op6_exact_topk": topk.OP6_SQL,
         "op7_line_dedup": line_dedup.OP7_SQL,
     }
