@@ -1,6 +1,6 @@
 """The queries of the training-data operators and the SQL of those that SQL can express."""
 
-from . import chat_format, line_dedup, mixing, secrets, simhash, topk
+from . import chat_format, line_dedup, mixing, quality_pu, quality_rules, secrets, simhash, topk
 
 
 def queries():
@@ -10,6 +10,8 @@ def queries():
         "op5_simhash": simhash.op5_simhash,
         "op6_exact_topk": topk.op6_exact_topk,
         "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op9_quality_pu": quality_pu.op9_quality_pu,
         "op10_mixing": mixing.op10_mixing,
     }
 
