@@ -15,6 +15,10 @@ import numpy as np
 #: Buckets of words, word pairs and byte trigrams.
 WORDS, PAIRS, TRIGRAMS = 1024, 1024, 2048
 WIDTH = WORDS + PAIRS + TRIGRAMS
+#: Added to a text's number of n-grams, so that a few words do not make extreme shares.
+DAMPING = 30
+#: Shares are small numbers; one factor for all keeps rare n-grams from weighing as much as frequent ones.
+SCALE = 30.0
 #: Bytes of text that are looked at together; a longer text is looked at alone.
 CHUNK = 1 << 21
 _B = 0x9E3779B97F4A7C15
@@ -80,9 +84,10 @@ def _batch(raw: list[bytes]) -> Batch:
 def slots(b: Batch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text, bucket) of every n-gram, kind by kind."""
     yield b.doc, (b.hash >> np.uint64(54)).astype(np.int64) % WORDS
-    one = b.doc[1:] == b.doc[:-1] if len(b.doc) else np.zeros(0, bool)
-    pair = mix(b.hash[:-1] * np.uint64(3) + b.hash[1:])[one] if len(b.hash) else b.hash
-    yield (b.doc[1:][one] if len(b.doc) else b.doc), WORDS + (pair >> np.uint64(54)).astype(np.int64) % PAIRS
+    one = b.doc[1:] == b.doc[:-1]
+    first, second = b.hash[:-1][one], b.hash[1:][one]
+    pair = 1 + (mix(first * np.uint64(3) + second) >> np.uint64(40)).astype(np.int64) % (PAIRS - 1)
+    yield b.doc[1:][one], WORDS + np.where(first == second, 0, pair)  # a word said twice has a bucket of its own
     x = b.buf.astype(np.uint32)
     tri = ((x[:-2] << np.uint32(16)) | (x[1:-1] << np.uint32(8)) | x[2:]) * np.uint32(2654435761)
     doc = np.repeat(np.arange(b.n), np.diff(b.begin))[:-2]
@@ -97,7 +102,7 @@ def features(texts: list[str | None]) -> np.ndarray:
         for doc, slot in slots(b):
             count = np.bincount(doc, minlength=b.n)
             flat = np.bincount(doc * WIDTH + slot, minlength=b.n * WIDTH).reshape(b.n, WIDTH)
-            out[at : at + b.n] += (flat / np.maximum(count, 1)[:, None]).astype(np.float32)
+            out[at : at + b.n] += (flat / (count + DAMPING)[:, None]).astype(np.float32)
     return out
 
 
@@ -114,19 +119,13 @@ class Linear:
         out = np.full(b.n, self.bias)
         for doc, slot in slots(b):
             count = np.bincount(doc, minlength=b.n)
-            out += np.bincount(doc, weights=self.weights[slot], minlength=b.n) / np.maximum(count, 1)
+            out += np.bincount(doc, weights=self.weights[slot], minlength=b.n) / (count + DAMPING)
         return out
 
     def probability(self, raw: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.shift, -40, 40)))
 
 
-def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """x with each column over its deviation, a rare column's floored, and the factors."""
-    factor = 1 / np.maximum(x.std(axis=0), 1e-3) / np.sqrt(x.shape[1])
-    return x * factor, factor
-
-
 def descend(grad, n: int, steps: int = 300, rate: float = 0.05) -> np.ndarray:
     """Adam from zero; grad: of n parameters."""
     w, m, v = np.zeros(n), np.zeros(n), np.zeros(n)

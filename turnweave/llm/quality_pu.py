@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick
-from .ngrams import WIDTH, Linear, batches, calibrated, descend, scaled, sigmoid
+from .ngrams import SCALE, WIDTH, Linear, batches, calibrated, descend, sigmoid
 from .training import any_ids, held_out, labelled_ids, sample_features
 
 LEAST_SCORE = 0.3
@@ -38,7 +38,7 @@ def class_prior(labels: DataFrame) -> float | None:
     return labels.where(~held_out()).where(F.col("quality").isin(0, 1)).agg(F.avg("quality")).first()[0]
 
 
-def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, decay: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, float]:
+def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, decay: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
     """Weights and bias of least non-negative risk."""
 
     def grad(w):
@@ -68,9 +68,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     is_p, is_u, is_c = (np.array([i in s for i in ids.tolist()], bool) for s in (p_ids, u_ids, known))
     if not is_p.any() or not is_u.any():
         return flat
-    z, factor = scaled(x)
+    z = SCALE * x
     w, bias = nn_pu(z[is_p], z[is_u], min(max(prior, 0.01), 0.99))
-    model = Linear(w * factor, bias)
+    model = Linear(w * SCALE, bias)
     model.slope, model.shift = calibrated(x[is_c] @ model.weights + bias, np.array([known[i] for i in ids[is_c].tolist()], float))
     return model
 

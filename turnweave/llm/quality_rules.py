@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick
-from .ngrams import Batch, Linear, batches, calibrated, descend, mix, scaled, sigmoid
+from .ngrams import SCALE, Batch, Linear, batches, calibrated, descend, mix, sigmoid
 from .training import labelled_ids, sample_features
 
 WINDOW = 8
@@ -80,15 +80,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     order = np.argsort(ids, kind="stable")
     x, y = x[order].astype(np.float64), y[order]
     back = np.arange(len(y)) % 5 == 4
-    z, factor = scaled(x[~back])
+    z = SCALE * x[~back]
     side = np.where(y[~back] == 1, 0.5 / max(y[~back].sum(), 1), 0.5 / max((1 - y[~back]).sum(), 1))
 
     def grad(w):
         off = (sigmoid(z @ w[:-1] + w[-1]) - y[~back]) * side
-        return np.append(z.T @ off + 1e-4 * w[:-1], off.sum())
+        return np.append(z.T @ off + 1e-3 * w[:-1], off.sum())
 
     w = descend(grad, z.shape[1] + 1)
-    model = Linear(w[:-1] * factor, float(w[-1]))
+    model = Linear(w[:-1] * SCALE, float(w[-1]))
     model.slope, model.shift = calibrated(x[back] @ model.weights + model.bias, y[back])
     return model
 
