@@ -1,10 +1,11 @@
 """The queries of the training-data operators and the SQL of those that SQL can express."""
 
-from . import chat_format, line_dedup, mixing, packing, quality_pu, quality_rules, secrets, simhash, topk
+from . import chat_format, line_dedup, mixing, packing, quality_pu, quality_rules, secrets, simhash, suffix_dedup, topk
 
 
 def queries():
     return {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_packing": packing.op2_packing,
         "op3_secrets": secrets.op3_secrets,
         "op4_chat_format": chat_format.op4_chat_format,
