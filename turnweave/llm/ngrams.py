@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Buckets of words, word pairs and byte trigrams.
-WORDS, PAIRS, TRIGRAMS = 1024, 1024, 2048
+WORDS, PAIRS, TRIGRAMS = 512, 512, 1024
 WIDTH = WORDS + PAIRS + TRIGRAMS
 #: Added to a text's number of n-grams, so that a few words do not make extreme shares.
 DAMPING = 30
@@ -83,7 +83,7 @@ def _batch(raw: list[bytes]) -> Batch:
 
 def slots(b: Batch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text, bucket) of every n-gram, kind by kind."""
-    yield b.doc, (b.hash >> np.uint64(54)).astype(np.int64) % WORDS
+    yield b.doc, (b.hash >> np.uint64(40)).astype(np.int64) % WORDS
     one = b.doc[1:] == b.doc[:-1]
     first, second = b.hash[:-1][one], b.hash[1:][one]
     pair = 1 + (mix(first * np.uint64(3) + second) >> np.uint64(40)).astype(np.int64) % (PAIRS - 1)
@@ -92,7 +92,7 @@ def slots(b: Batch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     tri = ((x[:-2] << np.uint32(16)) | (x[1:-1] << np.uint32(8)) | x[2:]) * np.uint32(2654435761)
     doc = np.repeat(np.arange(b.n), np.diff(b.begin))[:-2]
     inside = np.arange(len(tri)) + 3 <= b.begin[1:][doc]
-    yield doc[inside], WORDS + PAIRS + (tri[inside] >> np.uint32(21)).astype(np.int64) % TRIGRAMS
+    yield doc[inside], WORDS + PAIRS + (tri[inside] >> np.uint32(16)).astype(np.int64) % TRIGRAMS
 
 
 def features(texts: list[str | None]) -> np.ndarray:

@@ -29,7 +29,7 @@ from .ngrams import SCALE, WIDTH, Linear, batches, calibrated, descend, sigmoid
 from .training import any_ids, held_out, labelled_ids, sample_features
 
 LEAST_SCORE = 0.3
-POSITIVES, UNLABELLED, CALIBRATION = 1000, 2000, 800
+POSITIVES, UNLABELLED, CALIBRATION = 1000, 1500, 500
 SEED = 9
 
 
@@ -64,11 +64,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = {i: y for i, y in labelled_ids(labels, calibration, SEED + 1).items() if i not in p_ids}
     ids, x = sample_features(docs, sorted(p_ids | u_ids | set(known)), id_col, text_col)
     order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order].astype(np.float64)
+    ids, x = ids[order], x[order]
     is_p, is_u, is_c = (np.array([i in s for i in ids.tolist()], bool) for s in (p_ids, u_ids, known))
     if not is_p.any() or not is_u.any():
         return flat
-    z = SCALE * x
+    z = np.float32(SCALE) * x
     w, bias = nn_pu(z[is_p], z[is_u], min(max(prior, 0.01), 0.99))
     model = Linear(w * SCALE, bias)
     model.slope, model.shift = calibrated(x[is_c] @ model.weights + bias, np.array([known[i] for i in ids[is_c].tolist()], float))

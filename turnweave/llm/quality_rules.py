@@ -26,7 +26,7 @@ WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # in hundredths of the words
 LEAST_PROBABILITY = 0.3
-SAMPLE = 3000
+SAMPLE = 2000
 SEED = 8
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -78,9 +78,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not len(y) or y.min() == y.max():
         return None
     order = np.argsort(ids, kind="stable")
-    x, y = x[order].astype(np.float64), y[order]
+    x, y = x[order], y[order]
     back = np.arange(len(y)) % 5 == 4
-    z = SCALE * x[~back]
+    z = np.float32(SCALE) * x[~back]
     side = np.where(y[~back] == 1, 0.5 / max(y[~back].sum(), 1), 0.5 / max((1 - y[~back]).sum(), 1))
 
     def grad(w):

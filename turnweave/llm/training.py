@@ -32,7 +32,7 @@ def any_ids(docs: DataFrame, id_col: str, most: int, seed: int) -> list[int]:
 
 
 def sample_features(docs: DataFrame, ids: list[int], id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, features) of the documents named; a row of features is 16 KB."""
+    """(ids, features) of the documents named; a row of features is 8 KB."""
 
     def run(batches):
         for b in batches:
