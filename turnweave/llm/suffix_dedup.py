@@ -13,10 +13,13 @@ offsets:
    its windows. Contexts are ranked by their names: all but the first of equals have only
    windows that start earlier somewhere else.
 2. First contexts are reranked by the names of their anchors. Those alone with it are unique.
-3. The windows of the others are ranked one by one, past the threshold; the first of equals stay.
+3. The others are reranked at a longer offset: a window reaches from its anchor at least half of
+   what it has besides the anchor to the right, or else to the left, so each context falls into
+   two halves, named by the text up to there. Halves alone with their name are unique.
+4. The windows of the others are ranked one by one, past the threshold; the first of equals stay.
 
-A document then keeps what no window that fell covers. Names that are compared in 1 and 3 have
-128 bits. Ties are broken by id, then start. Equal contexts meet only as map-side minima, so
+A document then keeps what no window that fell covers. Names that are compared in 1 and 4 have
+128 bits; in 2 and 3 a clash of shorter ones only leaves more for 4. Ties are broken by id, then start. Equal contexts meet only as map-side minima, so
 a passage that a third of all documents hold is one row for each task; no task sees a group whole.
 
 Defined cases: a null text is empty; a null doc_id comes before all others; rows that repeat
@@ -58,13 +61,20 @@ def _double(x: np.ndarray, width: int, op) -> np.ndarray:
     return op(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
+def reach(length: int) -> int:
+    """Half of what a window has besides its anchor."""
+    return (length - min(SEED_BYTES, length)) // 2
+
+
 def anchors(buf: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(doc, first window, last window, name of the anchor) of each anchor of the texts in buf, which start at begin."""
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    """(doc, first window, last window, anchor, its name, those of the text up to half a window's
+    rest before and after it) of each anchor of the texts in buf, which start at begin."""
+    none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 3
     if len(buf) < length:
         return none
     k = min(SEED_BYTES, length)
-    name = _double(buf.astype(np.uint64) + np.uint64(1), k, _pair)
+    letters = buf.astype(np.uint64) + np.uint64(1)
+    name = _double(letters, k, _pair)
     packed = ((name * _C) & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(name), dtype=np.uint64)
     least = (_double(packed, length - k + 1, np.minimum) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     sizes = np.diff(begin)
@@ -76,7 +86,12 @@ def anchors(buf: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray
     new = np.concatenate(([True], (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])))
     first = np.flatnonzero(new)
     last = np.concatenate((first[1:], [len(at)])) - 1
-    return doc[first], at[first], at[last], name[least[first]]
+    place = least[first]
+    half = reach(length)
+    left, right = _double(letters, half + k, _pair), _double(letters, length - half, _pair)
+    before = left[np.clip(place - half, 0, len(left) - 1)]  # of no use, and not used, where no window reaches so far
+    after = right[np.clip(place, 0, len(right) - 1)]
+    return doc[first], at[first], at[last], place, name[place], before, after
 
 
 def _chunks(texts: list) -> Iterator[tuple[int, bytes, np.ndarray]]:
@@ -99,21 +114,22 @@ def _digests(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def contexts(docs: DataFrame, length: int) -> DataFrame:
-    """(c1, c2, anchor, id, lo, n): name of each context, of its anchor, its first window and their number."""
+    """(c1, c2, anchor, id, lo, n, gap, before, after): name of each context and of its anchor, its
+    first window and their number, bytes from there to the anchor, short names of its halves."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             for at, raw, begin in _chunks(rb.column(1).to_pylist()):
-                doc, lo, hi, anchor = anchors(np.frombuffer(raw, np.uint8), begin, length)
+                doc, lo, hi, place, anchor, before, after = anchors(np.frombuffer(raw, np.uint8), begin, length)
                 c = _digests(raw, lo, hi + length)
                 ids = rb.column(0).take(pa.array(doc + at))
                 yield pa.RecordBatch.from_arrays(
-                    [*map(pa.array, (c[:, 0], c[:, 1], anchor.view(np.int64))), ids, pa.array((lo - begin[doc]).astype(np.int32)), pa.array((hi - lo + 1).astype(np.int32))],
-                    ["c1", "c2", "anchor", "id", "lo", "n"],
+                    [*map(pa.array, (c[:, 0], c[:, 1], anchor.view(np.int64))), ids, pa.array((lo - begin[doc]).astype(np.int32)), pa.array((hi - lo + 1).astype(np.int32)), pa.array((place - lo).astype(np.int32)), *(pa.array((x >> np.uint64(32)).astype(np.uint32).view(np.int32)) for x in (before, after))],
+                    ["c1", "c2", "anchor", "id", "lo", "n", "gap", "before", "after"],
                 )
 
-    return docs.mapInArrow(run, f"c1 long, c2 long, anchor long, id {kind}, lo int, n int")
+    return docs.mapInArrow(run, f"c1 long, c2 long, anchor long, id {kind}, lo int, n int, gap int, before int, after int")
 
 
 def _packed(lo, n):
@@ -170,11 +186,25 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     found = contexts(docs, length)
-    firsts = found.groupBy("c1", "c2").agg(F.min(F.struct("id", "lo", "anchor", "n")).alias("f")).select("f.*")
+    firsts = found.groupBy("c1", "c2").agg(F.min(F.struct("id", "lo", "anchor", "n", "gap", "before", "after")).alias("f")).select("f.*")
     firsts = scratch.write("firsts", firsts)
     shared = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("anchor").alias("a"))
     judged = firsts.join(shared.hint("merge"), F.col("anchor") == F.col("a"), "left")
-    judged = scratch.write("judged", judged.select("id", _packed(F.col("lo"), F.col("n")).alias("s"), F.col("a").isNotNull().alias("open")))
+    whole = F.array(F.struct(F.lit(0).alias("side"), F.lit(0).alias("name"), F.col("lo").alias("lo"), F.col("n").alias("n")))
+    # the windows that reach half behind the anchor begin no later than cut, the others after it
+    cut = F.greatest(F.lit(0), F.least("n", F.col("gap") - reach(length)))
+    halves = F.array(
+        F.struct(F.lit(1).alias("side"), F.col("before").alias("name"), F.col("lo").alias("lo"), cut.alias("n")),
+        F.struct(F.lit(2).alias("side"), F.col("after").alias("name"), (F.col("lo") + cut).alias("lo"), (F.col("n") - cut).alias("n")),
+    )
+    parts = judged.select("id", "anchor", F.explode(F.when(F.col("a").isNull(), whole).otherwise(halves)).alias("h")).select("id", "anchor", "h.*").where("n > 0")
+    parts = scratch.write("parts", parts)
+    known = parts.where("side > 0")
+    shared = known.groupBy("anchor", "side", "name").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m").withColumn("open", F.lit(True))
+    known = known.join(shared.hint("merge"), ["anchor", "side", "name"], "left").select("id", "lo", "n", F.coalesce("open", F.lit(False)).alias("open"))
+    judged = parts.where("side = 0").select("id", "lo", "n", F.lit(False).alias("open")).unionByName(known)
+    judged = scratch.write("judged", judged.select("id", _packed(F.col("lo"), F.col("n")).alias("s"), "open"))
+    scratch.drop("parts")
     scratch.drop("firsts")
     open_starts = judged.where("open").groupBy("id").agg(F.collect_list("s").alias("stretches"))
     seen = windows(docs, open_starts, length)
