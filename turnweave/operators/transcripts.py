@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sentences
 
-BY_TURN = Window.partitionBy("conv_id").orderBy("turn")
+def by_turn():
+    return Window.partitionBy("conv_id").orderBy("turn")
 
 
 def validate_turns(turns: DataFrame) -> DataFrame:
     """A row for each issue: a turn given twice, a gap before a turn, a blank text, a role repeated."""
     twice = turns.groupBy("conv_id", "turn").count().where("count > 1").select("conv_id", "turn", F.lit("duplicate").alias("issue"))
-    lagged = turns.withColumn("before", F.lag("turn").over(BY_TURN)).withColumn("role_before", F.lag("role").over(BY_TURN))
+    lagged = turns.withColumn("before", F.lag("turn").over(by_turn())).withColumn("role_before", F.lag("role").over(by_turn()))
     checks = F.array(
         F.when(F.col("turn") - F.coalesce("before", F.lit(-1)) > 1, "gap"),
         F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "blank"),
@@ -34,8 +35,8 @@ def assemble(turns: DataFrame, sep: str = "\n") -> DataFrame:
 def merge_turns(turns: DataFrame, min_chars: int = 40) -> DataFrame:
     """Without turns shorter than min_chars, neighbours of one role become one turn."""
     long = turns.where(F.length("text") >= min_chars)
-    edge = F.when(F.lag("role").over(BY_TURN).eqNullSafe(F.col("role")), 0).otherwise(1)
-    runs = long.withColumn("edge", edge).withColumn("run", F.sum("edge").over(BY_TURN))
+    edge = F.when(F.lag("role").over(by_turn()).eqNullSafe(F.col("role")), 0).otherwise(1)
+    runs = long.withColumn("edge", edge).withColumn("run", F.sum("edge").over(by_turn()))
     by = runs.groupBy("conv_id", "run", "role").agg(F.min("turn").alias("turn"), F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
     return by.select("conv_id", "turn", "role", F.size("t").cast("long").alias("n_merged"), F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"))
 
@@ -67,12 +68,12 @@ def role_share(turns: DataFrame) -> DataFrame:
 
 def exchanges(turns: DataFrame) -> DataFrame:
     """Each user turn with the assistant turn that follows it."""
-    nxt = turns.withColumn("next_role", F.lead("role").over(BY_TURN)).withColumn("answer", F.lead("text").over(BY_TURN))
+    nxt = turns.withColumn("next_role", F.lead("role").over(by_turn())).withColumn("answer", F.lead("text").over(by_turn()))
     return nxt.where("role = 'user' AND next_role = 'assistant'").select("conv_id", "turn", F.col("text").alias("question"), "answer")
 
 
 def role_transitions(turns: DataFrame) -> DataFrame:
     """How often a role follows another, and its share of what follows that one."""
-    pairs = turns.withColumn("next_role", F.lead("role").over(BY_TURN)).where("next_role IS NOT NULL")
+    pairs = turns.withColumn("next_role", F.lead("role").over(by_turn())).where("next_role IS NOT NULL")
     by = pairs.groupBy("role", "next_role").agg(F.count(F.lit(1)).alias("n"))
     return by.withColumn("p", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("role")), 6))
