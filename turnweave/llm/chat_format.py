@@ -91,6 +91,10 @@ def _named(turns: Column) -> Column:
     return F.transform(turns, lambda t: _turn(F.coalesce(F.element_at(names, t["role"]), t["role"]), t["text"]))
 
 
+def _picked(turns: Column, role: str, text: str) -> Column:
+    return F.transform(turns, lambda x: _turn(x[role], x[text]))
+
+
 def canonical_turns(records: DataFrame, id_col: str) -> DataFrame:
     """(id_col, turns) of a typed table in any known layout; turns: array of (role, text)."""
     m = mapping_for(records.schema, id_col)
@@ -102,7 +106,7 @@ def canonical_turns(records: DataFrame, id_col: str) -> DataFrame:
         return by.select(id_col, turns.alias("turns"))
     if m.turns:
         path, role, text = m.turns
-        turns = F.transform(F.col(path), lambda x: _turn(x[role], x[text]))
+        turns = _picked(F.col(path), role, text)
         return records.select(id_col, _named(F.coalesce(turns, F.array().cast("array<struct<role:string,text:string>>"))).alias("turns"))
     given = F.array(*[F.when(F.col(f).isNotNull(), _turn(F.lit(r), F.col(f))) for r, f in m.fields])
     return records.select(id_col, F.filter(given, lambda t: t.isNotNull()).alias("turns"))
@@ -141,7 +145,7 @@ def canonical_turns_json(records: DataFrame, id_col: str, json_col: str) -> Data
         if m.turns:
             path, role, text = m.turns
             listed = F.try_variant_get("v", f"$.{path}", f"array<struct<`{role}`:string,`{text}`:string>>")
-            got = _named(F.transform(listed, lambda x, role=role, text=text: _turn(x[role], x[text])))
+            got = _named(_picked(listed, role, text))
         else:
             got = F.array(*[_turn(F.lit(r), F.try_variant_get("v", f"$.{f}", "string")) for r, f in m.fields])
         known = hashlib.sha256(_json_shape(m.paths).encode()).hexdigest()

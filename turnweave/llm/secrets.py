@@ -10,7 +10,8 @@ come from the lengths of the pieces between matches.
 
 Fitting: the samples come from at most ``sample_docs`` documents, those with the smallest
 hash of their id: values the patterns find are secrets, the other words with letters are
-identifiers. Counts are smoothed, so that without secrets the random model is uniform.
+identifiers. A transition's count is smoothed by the frequency of the character it leads to, so
+that without secrets the random model is uniform.
 
 Defined cases: a null text is empty and has no spans; rows that repeat an id have a row
 each; an empty table gives an empty result; extra columns are ignored.
@@ -71,12 +72,16 @@ def _codes(token: Column) -> Column:
     return F.concat(F.array(F.lit(0)), places, F.array(F.lit(0)))
 
 
+def _long(values: Column, least: int) -> Column:
+    return F.filter(values, lambda x: F.length(x) >= least)
+
+
 def labelled_samples(docs: DataFrame, sample_docs: int) -> DataFrame:
     """(token, label) of the documents with the smallest hashes: 1 for what the patterns find, else 0."""
     ids = docs.select("id").where("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_docs)
     few = docs.where(F.col("id").isin([r["id"] for r in ids.collect()])).select("text")
     values = F.array_distinct(
-        F.concat(*[F.filter(F.regexp_extract_all("text", F.lit(p), F.lit(g)), lambda x, n=least: F.length(x) >= n) for _, p, least, g in KINDS])
+        F.concat(*[_long(F.regexp_extract_all("text", F.lit(p), F.lit(g)), least) for _, p, least, g in KINDS])
     )
     found = few.select("text", values.alias("values"))
     secret = found.select(F.explode("values").alias("token"), F.lit(1).alias("label"))
@@ -88,7 +93,7 @@ def labelled_samples(docs: DataFrame, sample_docs: int) -> DataFrame:
     return secret.unionByName(plain)
 
 
-def fit_markov(samples: DataFrame, smoothing: float = 1.0) -> list[float]:
+def fit_markov(samples: DataFrame, smoothing: float = 5.0) -> list[float]:
     """Log-likelihood ratio, random over ordinary, of each transition, row by row: STATES x STATES numbers.
 
     samples: (token, label). Counts are summed by Spark; what is collected is bounded by the alphabet."""
@@ -102,9 +107,10 @@ def fit_markov(samples: DataFrame, smoothing: float = 1.0) -> list[float]:
     import math
 
     def logs(label: int) -> list[float]:
+        to = [sum(counts.get((label, a * STATES + b), 0) for a in range(STATES)) + 0.5 for b in range(STATES)]
         out: list[float] = []
         for a in range(STATES):
-            row = [counts.get((label, a * STATES + b), 0) + smoothing for b in range(STATES)]
+            row = [counts.get((label, a * STATES + b), 0) + smoothing * to[b] / sum(to) for b in range(STATES)]
             whole = math.log(sum(row))
             out += [math.log(x) - whole for x in row]
         return out
