@@ -1,6 +1,7 @@
 import duckdb
 import pytest
 
+from turnweave.operators import articles, pages
 from turnweave.operators import transcripts as t
 from turnweave.plans.catalog import QUERIES, SQL
 
@@ -15,7 +16,7 @@ def rows(pdf):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "conversations", "labels", "benchmark", "events"):
+    for table in ("documents", "conversations", "labels", "benchmark", "events", "pages"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(con.execute(SQL[name]).df())
 
@@ -32,3 +33,21 @@ def test_merge_joins_neighbours_of_one_role(spark):
     turns = spark.createDataFrame([(1, 0, "user", "x" * 50), (1, 1, "assistant", "ok"), (1, 2, "user", "y" * 50)], "conv_id long, turn long, role string, text string")
     (row,) = t.merge_turns(turns).collect()
     assert (row.n_merged, row.text) == (2, "x" * 50 + " " + "y" * 50)
+
+
+def test_canonical_pages_share_a_url(spark):
+    rows_ = [(3, "https://www.a.org/x?ref=1", ""), (2, "http://m.a.org/x/#top", ""), (5, "https://a.org/y", ""), (6, "https://a.org/z/?a=1?b=2#c", None)]
+    found = pages.canonical_pages(spark.createDataFrame(rows_, "page_id long, url string, html string")).collect()
+    assert {tuple(r) for r in found} == {("a.org/x", 2, 2), ("a.org/y", 5, 1), ("a.org/z", 6, 1)}
+
+
+def test_page_text_drops_scripts_and_decodes_once(spark):
+    html = '<html lang="en"><h1>A &amp; B</h1><article><p>one</p><script>"</p>"</script>&amp;lt; two</article><footer>no</footer></html>'
+    (row,) = pages.pages_to_text(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")).collect()
+    assert tuple(row) == (1, "en", "A & B", "one &lt; two")
+
+
+def test_summary_keeps_order_and_skips_texts_without_letters(spark):
+    docs = spark.createDataFrame([(1, "rare words here. the. odd thing!"), (2, "the the the."), (3, "12 34."), (4, None)], "doc_id long, text string")
+    found = {r.doc_id: r.summary for r in articles.summarize(docs).collect()}
+    assert found == {1: "rare words here. odd thing!", 2: "the the the."}

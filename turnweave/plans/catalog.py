@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from ..operators import articles as b
 from ..operators import knowledge as k
+from ..operators import pages as p
 from ..operators import transcripts as t
 from ..sources.tables import table
 from ..streaming import audience as a
@@ -21,12 +23,15 @@ QUERIES = {
     "t6_role_share": _on("conversations", t.role_share),
     "t7_exchanges": _on("conversations", t.exchanges),
     "t8_role_transitions": _on("conversations", t.role_transitions),
+    "c1_pages_to_text": _on("pages", p.pages_to_text),
+    "c2_canonical_pages": _on("pages", p.canonical_pages),
     "c12_label_summary": _on("documents", k.label_summary, "labels"),
     "k1_term_stats": _on("documents", k.term_stats),
     "k2_keyphrases": _on("documents", k.keyphrases),
     "k3_collocations": _on("documents", k.collocations),
     "r1_inverted_index": _on("documents", k.inverted_index),
     "r2_bm25": _on("documents", k.bm25, "benchmark"),
+    "b1_summarize": _on("documents", b.summarize),
     "b4_catalog": _on("documents", k.catalog),
     "s1_engagement": _on("events", a.engagement),
     "s2_rolling": _on("events", lambda e: a.engagement(e, "2 hours", "1 hour")),
@@ -39,6 +44,14 @@ _TF = r"""tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+'
 tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL)"""
 _STATS = "stats AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, round(ln((SELECT count(*) FROM documents) / count(*)), 6) AS idf FROM tf GROUP BY term)"
 
+
+def _plain(html: str) -> str:
+    out = f"regexp_replace(regexp_replace({html}, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<nav\\b.*?</nav>|<footer\\b.*?</footer>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+    for entity, char in (("&quot;", '"'), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        out = f"replace({out}, '{entity}', '{char}')"
+    return f"trim(regexp_replace({out}, '[ \\t\\r\\n]+', ' ', 'g'))"
+
+
 SQL = {
     "t1_validate_turns": """WITH l AS (SELECT *, lag(turn) OVER w AS b, lag(role) OVER w AS r FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
 SELECT conv_id, turn, 'duplicate' AS issue FROM conversations GROUP BY conv_id, turn HAVING count(*) > 1
@@ -62,6 +75,10 @@ SELECT conv_id, turn, text AS question, answer FROM l WHERE role = 'user' AND nr
     "t8_role_transitions": """WITH l AS (SELECT role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM conversations),
 n AS (SELECT role, next_role, count(*) AS n FROM l WHERE next_role IS NOT NULL GROUP BY ALL)
 SELECT *, round(n / sum(n) OVER (PARTITION BY role), 6) AS p FROM n""",
+    "c1_pages_to_text": rf"""SELECT page_id, regexp_extract(html, '(?is)<html[^>]*\blang="([^"]*)"', 1) AS lang,
+{_plain("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS title, {_plain("regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1)")} AS text FROM pages""",
+    "c2_canonical_pages": r"""WITH c AS (SELECT page_id, split_part(split_part(regexp_replace(lower(url), '^[a-z]+://(www\.|m\.)?', ''), '#', 1), '?', 1) AS u FROM pages)
+SELECT regexp_replace(u, '/$', '') AS canonical_url, min(page_id) AS page_id, count(*) AS n_pages FROM c GROUP BY canonical_url""",
     "c12_label_summary": """SELECT lang, source, count(*) AS n, count(quality) AS n_labelled, round(avg(quality), 6) AS good, round(avg(toxic), 6) AS toxic
 FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang, source""",
     "k1_term_stats": f"WITH {_TF}, {_STATS} SELECT * FROM stats",
@@ -81,6 +98,13 @@ s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf
   FROM q JOIN df USING (term) JOIN tf USING (term) JOIN dl USING (doc_id), c GROUP BY item_id, doc_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s)
 SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 5""",
+    "b1_summarize": rf"""WITH {_TF}, {_STATS}, w AS (SELECT doc_id, term, tf * round(idf * 1000000)::BIGINT AS weight FROM tf JOIN stats USING (term)),
+a AS (SELECT doc_id, regexp_extract_all(text, '([^.!?]+[.!?]*)') AS a FROM documents),
+s AS (SELECT doc_id, pos, trim(a[pos + 1], ' ' || chr(10)) AS sentence FROM (SELECT doc_id, unnest(range(0, len(a))) AS pos, a FROM a)),
+x AS (SELECT doc_id, pos, unnest(regexp_extract_all(lower(sentence), '\p{{L}}+')) AS term FROM s),
+c AS (SELECT doc_id, pos, sum(weight)::DOUBLE / count(*) AS score FROM x JOIN w USING (doc_id, term) GROUP BY doc_id, pos),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank FROM c)
+SELECT doc_id, count(*) AS n_sentences, string_agg(sentence, ' ' ORDER BY pos) AS summary FROM r JOIN s USING (doc_id, pos) WHERE rank <= 2 GROUP BY doc_id""",
     "b4_catalog": "SELECT lang, source, grouping_id(lang, source)::BIGINT AS level, count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY CUBE (lang, source)",
     "s1_engagement": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
     "s2_rolling": """SELECT time_bucket(INTERVAL 1 HOUR, ts) - b * INTERVAL 1 HOUR AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS value
