@@ -1,9 +1,10 @@
 import duckdb
 import pytest
 
-from turnweave.operators import articles, pages
+from turnweave.operators import articles, mentions, pages, search
 from turnweave.operators import transcripts as t
 from turnweave.plans.catalog import QUERIES, SQL
+from turnweave.streaming import audience, incremental
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,7 +17,7 @@ def rows(pdf):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "conversations", "labels", "benchmark", "events", "pages"):
+    for table in ("documents", "conversations", "labels", "benchmark", "events", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(con.execute(SQL[name]).df())
 
@@ -51,3 +52,70 @@ def test_summary_keeps_order_and_skips_texts_without_letters(spark):
     docs = spark.createDataFrame([(1, "rare words here. the. odd thing!"), (2, "the the the."), (3, "12 34."), (4, None)], "doc_id long, text string")
     found = {r.doc_id: r.summary for r in articles.summarize(docs).collect()}
     assert found == {1: "rare words here. odd thing!", 2: "the the the."}
+
+
+def test_leftmost_longest_mentions(spark):
+    turns = spark.createDataFrame([(1, 0, "A b c d, b c! a b"), (1, 1, None)], "conv_id long, turn long, text string")
+    names = spark.createDataFrame([("a b",), ("b c d",), ("a b c",), ("b c",), ("b c",)], "phrase string")
+    found = sorted((r.turn, r.pos, r.phrase) for r in mentions.link_mentions(turns, names).collect())
+    assert found == [(0, 0, "a b c"), (0, 4, "b c"), (0, 6, "a b")]
+
+
+def test_cooccurrence_stays_in_reach_and_turn(spark):
+    rows_ = [(1, 0, 0, "a"), (1, 0, 3, "b"), (1, 0, 9, "a"), (1, 1, 4, "c"), (1, 0, 12, "a")]
+    edges = mentions.cooccurrence(spark.createDataFrame(rows_, "conv_id long, turn long, pos long, phrase string"), 6)
+    assert [tuple(r)[:3] for r in edges.collect()] == [("a", "b", 2)]
+
+
+def test_ranks_sum_to_one_and_prefer_the_hub(spark):
+    edges = spark.createDataFrame([("hub", x, 1) for x in "abc"] + [("a", "b", 1)], "src string, dst string, n long")
+    ranks = {r.phrase: r.rank for r in mentions.rank_entities(edges, 20).collect()}
+    assert abs(sum(ranks.values()) - 1) < 1e-6 and max(ranks, key=ranks.get) == "hub" and ranks["a"] == ranks["b"] > ranks["c"]
+    assert mentions.rank_entities(edges.limit(0)).count() == 0
+
+
+def test_measures(spark):
+    ranking = spark.createDataFrame([(1, 1, 7), (1, 2, 8), (1, 3, 9), (2, 1, 7)], "item_id long, rank long, doc_id long")
+    relevant = spark.createDataFrame([(1, 8), (1, 5), (3, 1)], "item_id long, doc_id long")
+    found = {r.item_id: (r.recall, r.rr, r.ndcg) for r in search.evaluate(ranking, relevant).collect()}
+    assert found == {1: (0.5, 0.5, 0.386853), 3: (0.0, 0.0, 0.0)}
+    fused = search.fuse([ranking, ranking.where("rank > 1")]).where("item_id = 1").orderBy("rank").collect()
+    assert [r.doc_id for r in fused] == [8, 9, 7]
+
+
+def test_labels_beyond_the_bound_are_refused(spark):
+    rows_ = spark.createDataFrame([([1.0], 0), ([2.0], 1), (None, 1), ([3.0], None)], "embedding array<double>, label int")
+    assert sorted(map(tuple, mentions.centroid_classify(rows_).collect())) == [(0, 0, 1), (1, 1, 1)]
+    with pytest.raises(ValueError):
+        mentions.centroid_classify(rows_, 1)
+
+
+def events_in_files(spark, folder):
+    for lo in (0, 10, 20):
+        spark.range(lo, lo + 10, 1, 1).selectExpr(
+            "id AS event_id", "timestamp_seconds(1700000000 + id) AS ts", "id % 3 AS user_id", "if(id % 4 = 0, 'purchase', 'view') AS event_type", "id / 4.0D AS value"
+        ).write.mode("append").parquet(folder)
+    return spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_user_state_of_a_stream_ends_as_the_batch_does(spark, tmp_path):
+    stream = events_in_files(spark, str(tmp_path / "in"))
+    run = audience.user_state(stream).writeStream.format("memory").queryName("totals").outputMode("complete").trigger(availableNow=True)
+    run.option("checkpointLocation", str(tmp_path / "log")).start().awaitTermination()
+    assert sorted(spark.table("totals").collect()) == sorted(audience.user_state(spark.read.parquet(str(tmp_path / "in"))).collect())
+
+
+def test_a_batch_that_comes_again_counts_once(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "parts")
+    for i in range(3):
+        spark.createDataFrame([(i, "one two two")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(source)
+    read = lambda: spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(source)
+    for log in ("a", "b"):  # a lost log: every batch comes again
+        incremental.incremental(read(), target, str(tmp_path / log)).awaitTermination()
+    assert sorted(map(tuple, incremental.stored(spark, target).collect())) == [("one", 3, 3), ("two", 3, 6)]
+
+
+def test_articles_without_questions_or_letters(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "Why so?"), (1, 1, "assistant", "Because."), (2, 0, "system", "12")], "conv_id long, turn long, role string, text string")
+    found = {r.conv_id: (r.n_sections, r.body) for r in articles.assemble_articles(turns).collect()}
+    assert found == {1: (1, "Why so?\nBecause."), 2: (0, None)}

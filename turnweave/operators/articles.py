@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sentences, terms
-from .knowledge import term_counts, term_stats
+from .knowledge import keyphrases, term_counts, term_stats
+from .transcripts import assemble, exchanges
 
 
 def summarize(docs: DataFrame, n: int = 2) -> DataFrame:
@@ -25,3 +26,33 @@ def summarize(docs: DataFrame, n: int = 2) -> DataFrame:
     top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
     kept = top.join(rows, ["doc_id", "pos"]).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("s"))
     return kept.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.array_join(F.transform("s", lambda x: x["sentence"]), " ").alias("summary"))
+
+
+def related(docs: DataFrame, k: int = 3, most_df: int = 20) -> DataFrame:
+    """The k documents most like each, by the cosine of tf-idf vectors. Products count terms found in at most
+    most_df documents; a term makes at most most_df ** 2 pairs. Weights are whole thousandths, so sums are exact."""
+    stats = term_stats(docs).select("term", "df", F.round(F.col("idf") * 1000).cast("long").alias("idf"))
+    w = term_counts(docs).join(stats, "term").select("doc_id", "term", "df", (F.col("tf") * F.col("idf")).cast("double").alias("w"))
+    norm = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    rare = w.where(F.col("df").between(2, most_df)).select("doc_id", "term", "w")
+    other = rare.select(F.col("doc_id").alias("other"), "term", F.col("w").alias("v"))
+    dot = rare.join(other, "term").where("doc_id <> other").groupBy("doc_id", "other").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    x = dot.join(norm, "doc_id").join(norm.select(F.col("doc_id").alias("other"), F.col("norm").alias("other_norm")), "other")
+    x = x.withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("other_norm")), 6))
+    order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "other")
+    return x.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("doc_id", "rank", "other", "score")
+
+
+def assemble_articles(turns: DataFrame) -> DataFrame:
+    """An article for each conversation: title and tags from its keyphrases, a summary, and a section for each
+    question and its answer."""
+    docs = assemble(turns).select(F.col("conv_id").alias("doc_id"), "text")
+    tags = keyphrases(docs, 5).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t"))
+    tags = tags.select("doc_id", F.transform("t", lambda x: x["term"]).alias("tags"))
+    asked = exchanges(turns).groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "question", "answer"))).alias("sections"))
+    x = docs.select("doc_id").join(tags, "doc_id", "left").join(summarize(docs), "doc_id", "left").join(asked, "doc_id", "left")
+    body = F.array_join(F.transform("sections", lambda s: F.concat_ws("\n", s["question"], s["answer"])), "\n\n")
+    return x.select(
+        F.col("doc_id").alias("conv_id"), F.array_join(F.slice("tags", 1, 3), " ").alias("title"), F.array_join("tags", ",").alias("tags"), "summary",
+        F.coalesce(F.size("sections"), F.lit(0)).cast("long").alias("n_sections"), body.alias("body"),
+    )

@@ -4,16 +4,23 @@ from __future__ import annotations
 
 from ..operators import articles as b
 from ..operators import knowledge as k
+from ..operators import mentions as m
 from ..operators import pages as p
+from ..operators import search as r
 from ..operators import transcripts as t
 from ..sources.tables import table
 from ..streaming import audience as a
+from ..streaming.incremental import streamed_term_stats
 
 
 def _on(name, f, *more):
     return lambda spark, sf: f(table(spark, sf, name), *[table(spark, sf, m) for m in more])
 
 
+def _mentions(turns):
+    return m.link_mentions(turns, m.phrases(turns))
+
+
 QUERIES = {
     "t1_validate_turns": _on("conversations", t.validate_turns),
     "t2_assemble": _on("conversations", t.assemble),
@@ -29,21 +36,72 @@ QUERIES = {
     "k1_term_stats": _on("documents", k.term_stats),
     "k2_keyphrases": _on("documents", k.keyphrases),
     "k3_collocations": _on("documents", k.collocations),
+    "k4_link_mentions": _on("conversations", _mentions),
+    "k5_cooccurrence": _on("conversations", lambda t: m.cooccurrence(_mentions(t))),
+    "k6_rank_entities": _on("conversations", lambda t: m.rank_entities(m.cooccurrence(_mentions(t)))),
+    "k8_centroid_classify": _on("embeddings", m.centroid_classify),
     "r1_inverted_index": _on("documents", k.inverted_index),
     "r2_bm25": _on("documents", k.bm25, "benchmark"),
+    "r5_fuse": _on("documents", r.fused_search, "benchmark"),
+    "r6_evaluate": _on("documents", r.measured_search, "benchmark"),
     "b1_summarize": _on("documents", b.summarize),
+    "b2_related": _on("documents", b.related),
+    "b3_assemble_articles": _on("conversations", b.assemble_articles),
     "b4_catalog": _on("documents", k.catalog),
     "s1_engagement": _on("events", a.engagement),
     "s2_rolling": _on("events", lambda e: a.engagement(e, "2 hours", "1 hour")),
     "s3_sessions": _on("events", a.sessions),
     "s5_trending": _on("events", a.trending),
+    "s6_user_state": _on("events", a.user_state),
     "s7_last_touch": _on("events", a.last_touch),
+    "s8_incremental": lambda spark, sf: streamed_term_stats(spark, f"{sf}/documents.parquet"),
 }
 
 _TF = r"""tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS term FROM documents),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL)"""
 _STATS = "stats AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, round(ln((SELECT count(*) FROM documents) / count(*)), 6) AS idf FROM tf GROUP BY term)"
 
+_MENTIONS = r"""tok AS MATERIALIZED (SELECT conv_id, turn, regexp_extract_all(lower(text), '\p{L}+') AS t FROM conversations),
+g AS (SELECT conv_id, turn, pos, n AS len, array_to_string(t[pos + 1 : pos + n], ' ') AS phrase
+  FROM (SELECT conv_id, turn, t, n, unnest(range(0, len(t) - n + 1)) AS pos FROM tok, (VALUES (2), (3)) AS v(n) WHERE len(t) >= n)),
+gaz AS (SELECT phrase FROM g GROUP BY phrase HAVING count(*) >= 5),
+best AS MATERIALIZED (SELECT conv_id, turn, pos, max(len) AS len FROM g JOIN gaz USING (phrase) GROUP BY ALL),
+nx AS MATERIALIZED (SELECT a.conv_id, a.turn, a.pos, a.len, min(c.pos) AS nxt FROM best a
+  LEFT JOIN best c ON a.conv_id = c.conv_id AND a.turn = c.turn AND c.pos >= a.pos + a.len GROUP BY ALL),
+kept AS (SELECT nx.* FROM nx JOIN (SELECT conv_id, turn, min(pos) AS pos FROM nx GROUP BY ALL) USING (conv_id, turn, pos)
+  UNION ALL SELECT nx.* FROM kept JOIN nx ON nx.conv_id = kept.conv_id AND nx.turn = kept.turn AND nx.pos = kept.nxt),
+m AS MATERIALIZED (SELECT conv_id, turn, pos, len, array_to_string(t[pos + 1 : pos + len], ' ') AS phrase FROM kept JOIN tok USING (conv_id, turn))"""
+_EDGES = """e AS MATERIALIZED (SELECT least(a.phrase, b.phrase) AS src, greatest(a.phrase, b.phrase) AS dst, count(*) AS n FROM m a
+  JOIN m b ON a.conv_id = b.conv_id AND a.turn = b.turn AND b.pos BETWEEN a.pos + 1 AND a.pos + 20 AND a.phrase <> b.phrase GROUP BY ALL)"""
+_RANKS = """both_ways AS (SELECT src, dst, n FROM e UNION ALL SELECT dst, src, n FROM e),
+w AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM both_ways),
+c AS MATERIALIZED (SELECT count(DISTINCT src) AS size FROM w), r0 AS (SELECT DISTINCT src, 1.0::DOUBLE / size AS rank FROM w, c)"""
+for _i in range(10):
+    _RANKS += f""",
+r{_i + 1} AS (SELECT dst AS src, 0.15::DOUBLE / any_value(size) + 0.85::DOUBLE * sum(rank * share) AS rank FROM r{_i} JOIN w USING (src), c GROUP BY dst)"""
+_SENTENCES = r"""w AS (SELECT doc_id, term, tf * round(idf * 1000000)::BIGINT AS weight FROM tf JOIN stats USING (term)),
+a AS (SELECT doc_id, regexp_extract_all(text, '([^.!?]+[.!?]*)') AS a FROM documents),
+s AS (SELECT doc_id, pos, trim(a[pos + 1], ' ' || chr(10)) AS sentence FROM (SELECT doc_id, unnest(range(0, len(a))) AS pos, a FROM a)),
+x AS (SELECT doc_id, pos, unnest(regexp_extract_all(lower(sentence), '\p{L}+')) AS term FROM s),
+c AS (SELECT doc_id, pos, sum(weight)::DOUBLE / count(*) AS score FROM x JOIN w USING (doc_id, term) GROUP BY doc_id, pos),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank FROM c)"""
+_SHARED = r"""q AS (SELECT item_id, len(t) AS n_terms, unnest(t) AS term FROM (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '\p{L}+')) AS t FROM benchmark)),
+shared AS (SELECT item_id, doc_id, n_terms, count(*) AS shared FROM q JOIN tf USING (term) GROUP BY ALL)"""
+
+
+def _bm25(k: int) -> str:
+    """Ranked documents, as b, after _TF and _SHARED."""
+    return f"""df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY doc_id),
+c AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM dl) AS total),
+s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (total / n)))), 6) AS score
+  FROM q JOIN df USING (term) JOIN tf USING (term) JOIN dl USING (doc_id), c GROUP BY item_id, doc_id),
+b AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= {k})"""
+
+
+def _on_docs(part: str) -> str:
+    """The same over the table docs."""
+    return part.replace("FROM documents", "FROM docs")
+
 
 def _plain(html: str) -> str:
     out = f"regexp_replace(regexp_replace({html}, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<nav\\b.*?</nav>|<footer\\b.*?</footer>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
@@ -90,6 +148,30 @@ p AS (SELECT unnest(list_zip(t[:-2], t[2:])) AS p FROM t WHERE len(t) > 1),
 n AS (SELECT p[1] AS a, p[2] AS b, count(*) AS n FROM p GROUP BY ALL HAVING count(*) >= 20),
 o AS (SELECT term, count(*) AS c FROM (SELECT unnest(t) AS term FROM t) GROUP BY term)
 SELECT a, b, n, round(ln(n::DOUBLE * (SELECT sum(c) FROM o) / (x.c::DOUBLE * y.c)), 5) AS pmi FROM n JOIN o x ON x.term = a JOIN o y ON y.term = b""",
+    "k4_link_mentions": f"WITH RECURSIVE {_MENTIONS} SELECT conv_id, turn, pos, len::BIGINT AS len, phrase FROM m",
+    "k5_cooccurrence": f"""WITH RECURSIVE {_MENTIONS}, {_EDGES},
+d AS (SELECT phrase, sum(n) AS d FROM (SELECT src AS phrase, n FROM e UNION ALL SELECT dst, n FROM e) GROUP BY phrase)
+SELECT src, dst, n, round(ln(4.0::DOUBLE * n * (SELECT sum(n) FROM e) / (x.d::DOUBLE * y.d)), 5) AS pmi FROM e JOIN d x ON x.phrase = src JOIN d y ON y.phrase = dst""",
+    "k6_rank_entities": f"WITH RECURSIVE {_MENTIONS}, {_EDGES}, {_RANKS} SELECT src AS phrase, round(rank, 9) AS rank FROM r10",
+    "k8_centroid_classify": """WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS d FROM embeddings),
+c AS (SELECT label, d, avg(x) AS c FROM x GROUP BY ALL), cc AS (SELECT label, list(c ORDER BY d) AS c FROM c GROUP BY label),
+s AS (SELECT vec_id, e.label, cc.label AS predicted, list_sum(list_transform(list_zip(embedding, c), lambda p: (p[1]::DOUBLE - p[2]) * (p[1]::DOUBLE - p[2]))) AS far FROM embeddings e, cc),
+b AS (SELECT label, predicted FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY far, predicted) = 1)
+SELECT label, predicted, count(*) AS n FROM b GROUP BY ALL""",
+    "r5_fuse": f"""WITH {_TF}, {_SHARED}, {_bm25(20)},
+o AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS rank FROM shared QUALIFY rank <= 20),
+f AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM b UNION ALL SELECT * FROM o) GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM f QUALIFY rank <= 5""",
+    "r6_evaluate": f"""WITH {_TF}, {_SHARED}, {_bm25(10)}, rel AS (SELECT item_id, doc_id FROM shared WHERE shared >= 0.8::DOUBLE * n_terms),
+n AS (SELECT item_id, count(*) AS n_relevant FROM rel GROUP BY item_id),
+h AS (SELECT item_id, count(*) AS hits, min(rank) AS first, sum(1 / log2(rank + 1)) AS dcg FROM b JOIN rel USING (item_id, doc_id) GROUP BY item_id)
+SELECT item_id, n_relevant, coalesce(hits, 0) AS hits, round(coalesce(hits, 0) / n_relevant, 6) AS recall, round(coalesce(1.0::DOUBLE / first, 0), 6) AS rr,
+round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(10, n_relevant) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM n LEFT JOIN h USING (item_id)""",
+    "b2_related": f"""WITH {_TF}, {_STATS}, w AS MATERIALIZED (SELECT doc_id, tf.term, df, (tf * round(idf * 1000)::BIGINT)::DOUBLE AS w FROM tf JOIN stats USING (term)),
+norm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id),
+d AS (SELECT a.doc_id, b.doc_id AS other, sum(a.w * b.w) AS dot FROM w a JOIN w b ON a.term = b.term AND a.doc_id <> b.doc_id WHERE a.df BETWEEN 2 AND 20 GROUP BY ALL),
+s AS (SELECT d.doc_id, other, round(dot / (x.norm * y.norm), 6) AS score FROM d JOIN norm x ON x.doc_id = d.doc_id JOIN norm y ON y.doc_id = other)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, other) AS rank, other, score FROM s QUALIFY rank <= 3""",
     "r1_inverted_index": f"WITH {_TF} SELECT term, count(*) AS df, string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id) AS postings FROM tf GROUP BY term",
     "r2_bm25": rf"""WITH {_TF}, df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY doc_id),
 c AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM dl) AS total),
@@ -98,13 +180,16 @@ s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf
   FROM q JOIN df USING (term) JOIN tf USING (term) JOIN dl USING (doc_id), c GROUP BY item_id, doc_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s)
 SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 5""",
-    "b1_summarize": rf"""WITH {_TF}, {_STATS}, w AS (SELECT doc_id, term, tf * round(idf * 1000000)::BIGINT AS weight FROM tf JOIN stats USING (term)),
-a AS (SELECT doc_id, regexp_extract_all(text, '([^.!?]+[.!?]*)') AS a FROM documents),
-s AS (SELECT doc_id, pos, trim(a[pos + 1], ' ' || chr(10)) AS sentence FROM (SELECT doc_id, unnest(range(0, len(a))) AS pos, a FROM a)),
-x AS (SELECT doc_id, pos, unnest(regexp_extract_all(lower(sentence), '\p{{L}}+')) AS term FROM s),
-c AS (SELECT doc_id, pos, sum(weight)::DOUBLE / count(*) AS score FROM x JOIN w USING (doc_id, term) GROUP BY doc_id, pos),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank FROM c)
+    "b1_summarize": rf"""WITH {_TF}, {_STATS}, {_SENTENCES}
 SELECT doc_id, count(*) AS n_sentences, string_agg(sentence, ' ' ORDER BY pos) AS summary FROM r JOIN s USING (doc_id, pos) WHERE rank <= 2 GROUP BY doc_id""",
+    "b3_assemble_articles": rf"""WITH docs AS (SELECT conv_id AS doc_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+{_on_docs(_TF)}, {_on_docs(_STATS)}, s1 AS (SELECT doc_id, term, round(tf * idf, 6) AS score FROM tf JOIN stats USING (term)),
+k AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rank FROM s1 QUALIFY rank <= 5),
+tags AS (SELECT doc_id, string_agg(term, ',' ORDER BY rank) AS tags, string_agg(CASE WHEN rank <= 3 THEN term END, ' ' ORDER BY rank) AS title FROM k GROUP BY doc_id),
+{_on_docs(_SENTENCES)}, summed AS (SELECT doc_id, string_agg(sentence, ' ' ORDER BY pos) AS summary FROM r JOIN s USING (doc_id, pos) WHERE rank <= 2 GROUP BY doc_id),
+l AS (SELECT *, lead(role) OVER o AS nr, lead(text) OVER o AS answer FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
+asked AS (SELECT conv_id AS doc_id, count(*) AS n_sections, string_agg(text || chr(10) || answer, chr(10) || chr(10) ORDER BY turn) AS body FROM l WHERE role = 'user' AND nr = 'assistant' GROUP BY conv_id)
+SELECT docs.doc_id AS conv_id, title, tags, summary, coalesce(n_sections, 0) AS n_sections, body FROM docs LEFT JOIN tags USING (doc_id) LEFT JOIN summed USING (doc_id) LEFT JOIN asked USING (doc_id)""",
     "b4_catalog": "SELECT lang, source, grouping_id(lang, source)::BIGINT AS level, count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY CUBE (lang, source)",
     "s1_engagement": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
     "s2_rolling": """SELECT time_bucket(INTERVAL 1 HOUR, ts) - b * INTERVAL 1 HOUR AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS value
@@ -114,6 +199,9 @@ s AS (SELECT user_id, ts, sum(e) OVER (PARTITION BY user_id ORDER BY ts ROWS UNB
 SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, s""",
     "s5_trending": """WITH n AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, user_id, count(*) AS n FROM events GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY n DESC, user_id) AS rank FROM n) SELECT window_start, rank, user_id, n FROM r WHERE rank <= 3""",
+    "s6_user_state": """SELECT user_id, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents, count(*) FILTER (event_type = 'purchase') AS n_purchases,
+arg_max(ts, event_id) AS last_ts, arg_max(event_type, event_id) AS last_type FROM events GROUP BY user_id""",
+    "s8_incremental": f"WITH {_TF} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY term",
     "s7_last_touch": """WITH x AS (SELECT *, last_value(CASE WHEN event_type IN ('view', 'click') THEN {'id': event_id, 'at': ts} END IGNORE NULLS)
   OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS touch FROM events)
 SELECT event_id AS purchase_id, user_id, CASE WHEN touch.at >= ts - INTERVAL 7 DAY THEN touch.id END AS touch_id FROM x WHERE event_type = 'purchase'""",

@@ -47,3 +47,11 @@ def last_touch(events: DataFrame, limit: str = "7 days") -> DataFrame:
     rows = timed(events).withColumn("touch", touch).where("event_type = 'purchase'")
     near = F.col("touch.ts") >= F.col("ts") - F.expr(f"INTERVAL {limit}")
     return rows.select(F.col("event_id").alias("purchase_id"), "user_id", F.when(near, F.col("touch.event_id")).alias("touch_id"))
+
+
+def user_state(events: DataFrame) -> DataFrame:
+    """Running totals of each user; on a stream, those after each micro-batch, kept in its state store."""
+    latest = F.max(F.struct("ts", "event_id", "event_type")).alias("latest")
+    value = F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents")
+    by = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), value, F.count_if(F.col("event_type") == "purchase").alias("n_purchases"), latest)
+    return by.select("user_id", "n", "cents", "n_purchases", F.col("latest.ts").alias("last_ts"), F.col("latest.event_type").alias("last_type"))
