@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from turnweave.llm import chat_format, line_dedup, mixing, packing, quality_pu, quality_rules, secrets, simhash, suffix_dedup, topk
 from turnweave.llm.common import Scratch
 from turnweave.llm.ngrams import Linear, WIDTH
+from turnweave.llm.stars import components
 
 DOCS = "doc_id long, text string, source string, lo int, hash string"
 rng = np.random.default_rng(3)
@@ -147,6 +148,25 @@ def test_bk_trees_find_every_link():
         assert label[i] == label[j]
 
 
+@pytest.mark.parametrize("most,short", [(1 << 20, 9), (40, 1 << 20), (40, 0)])
+def test_links_of_a_large_shard_are_brute_force(spark, monkeypatch, most, short):
+    monkeypatch.setattr(simhash, "SHORT", short)
+    monkeypatch.setattr(simhash, "CHUNK", 100)  # several chunks a task
+    r = np.random.default_rng(4)
+    flips = np.uint64(1) << r.integers(0, 64, (5, 400), dtype=np.uint64)
+    fp = np.unique(np.concatenate([np.bitwise_xor.reduce(flips[: i % 6], axis=0) ^ r.integers(0, 1 << 63, dtype=np.uint64) for i in range(1, 6)]))
+    signed = fp.view(np.int64)
+    scratch = Scratch(spark, "test")
+    links = simhash.near_links(spark.createDataFrame(signed[:, None].tolist(), "fp long"), scratch, most=most)
+    got = {x.node: x.root for x in components(links, scratch).collect()}
+    label = signed.copy()
+    near = np.bitwise_count(fp[:, None] ^ fp[None]) <= 4
+    while not np.array_equal(nxt := np.array([label[m].min() for m in near]), label):
+        label = nxt
+    assert {int(f): got.get(int(f), int(f)) for f in signed} == dict(zip(signed.tolist(), label.tolist(), strict=True))
+    assert len(set(label)) > 1 and len(got) > 400
+
+
 def test_topk_is_brute_force(spark):
     r = np.random.default_rng(2)
     m = [(i, [float(x) for x in r.normal(size=20)]) for i in range(300)] + [(300, None), (301, [float("nan")] * 20), (302, [1.0, None]), (303, [0.5]), (304, []), (400, [0.0] * 20), (401, [0.0] * 20)]

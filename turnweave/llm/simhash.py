@@ -9,7 +9,9 @@ by level in numpy. A shard returns a star for each of its components, not its pa
 alternating stars join them over shards.
 
 The trees are dealt out by shard instead of broadcast, as all of them together grow with
-the corpus. Copies are one fingerprint before anything is dealt.
+the corpus. Copies are one fingerprint before anything is dealt. A shard of over MOST
+fingerprints is parted by hash, and each two parts are a shard in its place; a task reads
+its shards in order and holds some CHUNK rows at a time.
 
 Defined cases: null or empty texts have fingerprint zero and are linked like others; a null
 doc_id keeps its row, and its component's id is the smallest id that is not null; rows that
@@ -36,6 +38,12 @@ AGREE = 2
 SEED = 42
 #: Pairs of query and node that are looked at together.
 FRONTIER = 2_000_000
+#: Fingerprints of a shard beyond which it is split over tasks.
+MOST = 50_000
+#: Large shards whose list is broadcast.
+SHORT = 100_000
+#: Rows of whole shards that a task holds at a time.
+CHUNK = 1_000_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -139,7 +147,35 @@ def shard_stars(fp: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.ndar
     return off, label[off]
 
 
-def near_links(distinct: DataFrame, radius: int = RADIUS, agree: int = AGREE) -> DataFrame:
+def _linked(fp: np.ndarray, shard: np.ndarray, radius: int) -> pa.RecordBatch:
+    """The stars of whole shards."""
+    order = np.lexsort((fp, shard))
+    fp, shard = fp[order], shard[order]
+    lone = np.concatenate(([True], shard[1:] != shard[:-1])) & np.concatenate((shard[1:] != shard[:-1], [True]))
+    fp, shard = fp[~lone], shard[~lone]
+    a, b = shard_stars(fp.view(np.uint64), shard, radius)
+    pairs = np.unique(np.stack((fp[a], fp[b]), axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def _split(rows: DataFrame, scratch: Scratch, most: int) -> DataFrame:
+    """(fp, shard) with shards of over ``most`` fingerprints as smaller ones: of its parts, each two are a shard,
+    so that any two fingerprints still meet and no shard is much over ``most``. The list of such shards is
+    broadcast if it is short."""
+    large = scratch.write("large", rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most))
+    n = large.count()
+    if not n:
+        return rows
+    large = large.hint("broadcast" if n <= SHORT else "merge")
+    parts = F.when(F.col("n").isNull(), 1).otherwise(F.ceil(2 * F.col("n") / most)).cast("int")
+    x = rows.join(large, "shard", "left").select("fp", "shard", parts.alias("parts"))
+    x = x.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: j != F.col("own"))
+    cells = F.transform(others, lambda j: F.xxhash64("shard", F.least(j, "own"), F.greatest(j, "own")))
+    return x.select("fp", F.explode(F.when(F.col("parts") == 1, F.array("shard")).otherwise(cells)).alias("shard"))
+
+
+def near_links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, agree: int = AGREE, most: int = MOST) -> DataFrame:
     """(a, b) edges between distinct fingerprints (column fp) that connect just what links within radius connect."""
     parts = _blocks(radius + agree)
     keys = []
@@ -150,20 +186,20 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, agree: int = AGREE) ->
     rows = distinct.select("fp", F.explode(F.array(*keys)).alias("shard")).select("fp", F.xxhash64("shard").alias("shard"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        fp, shard = (t.column(c).to_numpy().copy() for c in ("fp", "shard"))
-        order = np.lexsort((fp, shard))
-        fp, shard = fp[order], shard[order]
-        lone = np.concatenate(([True], shard[1:] != shard[:-1])) & np.concatenate((shard[1:] != shard[:-1], [True]))
-        fp, shard = fp[~lone], shard[~lone]
-        a, b = shard_stars(fp.view(np.uint64), shard, radius)
-        pairs = np.unique(np.stack((fp[a], fp[b]), axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    return rows.repartition("shard").mapInArrow(run, "a long, b long")
+        held, n = [], 0
+        for b in batches:
+            held.append([b.column(c).to_numpy() for c in ("fp", "shard")])
+            n += b.num_rows
+            if n >= CHUNK:
+                fp, shard = map(np.concatenate, zip(*held, strict=True))
+                cut = int(np.searchsorted(shard, shard[-1]))  # where the last shard begins; it may go on
+                if cut:
+                    yield _linked(fp[:cut], shard[:cut], radius)
+                held, n = [[fp[cut:], shard[cut:]]], n - cut
+        if n:
+            yield _linked(*map(np.concatenate, zip(*held, strict=True)), radius)
+
+    return _split(rows, scratch, most).repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(
@@ -173,7 +209,7 @@ def near_duplicates(
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.write("prints", fingerprints(docs, id_col, text_col, shingle))
     reps = scratch.write("reps", prints.groupBy("fp").agg(F.min("id").alias("rep")))
-    roots = components(near_links(reps.select("fp"), radius, agree), scratch)
+    roots = components(near_links(reps.select("fp"), scratch, radius, agree), scratch)
     joined = reps.join(roots.hint("merge"), reps["fp"] == roots["node"], "left")
     joined = scratch.write("rooted", joined.select("fp", "rep", F.coalesce("root", "fp").alias("root")))
     ids = joined.groupBy("root").agg(F.min("rep").alias("component"))
