@@ -187,6 +187,9 @@ def test_line_dedup(spark):
     assert got[3].text == "Own 3\nkept 3" and got[3].keep_runs == [1, 1, 1]
     assert (got[20].text, got[20].n_dropped, got[20].keep_runs) == ("", 1, [0, 1])
     assert (got[21].n_lines, got[22].n_dropped) == (1, 0)
+    many = spark.createDataFrame([([0, 1, 4, 6, 7], 8), ([], 3), ([2], 3), ([0], 1)], "d array<int>, n int")
+    runs = [r[0] for r in many.select(line_dedup._runs(F.col("d"), F.col("n"))).collect()]
+    assert sorted(runs) == sorted([[0, 2, 2, 1, 1, 2], [3], [2, 1], [0, 1]])
     first = {r.doc_id: r.text for r in line_dedup.dedup_lines(d, keep_first=True).collect()}
     assert "shared LINE" in first[0] and "shared" not in first[1]
 

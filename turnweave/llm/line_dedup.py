@@ -57,14 +57,10 @@ def _runs(dropped: Column, n_lines: Column) -> Column:
     """Lengths of alternating runs of kept and dropped lines, kept first: the bitmap, run-length coded.
 
     A run starts at every dropped line whose predecessor is kept and ends where the next is kept."""
-    edges = F.aggregate(
-        dropped,
-        F.expr("array(0)"),
-        lambda acc, p: F.when(
-            (F.element_at(acc, -1) == p) & (F.size(acc) > 1), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(p + 1))
-        ).otherwise(F.concat(acc, F.array(p, p + 1))),
-    )
-    ends = F.concat(edges, F.array(n_lines))
+    starts = F.filter(dropped, lambda p, i: ~F.get(dropped, i - 1).eqNullSafe(p - 1))
+    stops = F.filter(dropped, lambda p, i: ~F.get(dropped, i + 1).eqNullSafe(p + 1))
+    edges = F.flatten(F.zip_with(starts, stops, lambda p, q: F.array(p, q + 1)))
+    ends = F.concat(F.array(F.lit(0)), edges, F.array(n_lines))
     runs = F.transform(F.sequence(F.lit(1), F.size(ends) - 1), lambda i: F.get(ends, i) - F.get(ends, i - 1))
     return F.filter(runs, lambda n, i: (i == 0) | (n > 0))
 
@@ -97,33 +93,27 @@ def dedup_lines(
     min_chars: int = 1,
     min_docs: int = 10,
     keep_first: bool = False,
+    report: bool = True,
 ) -> DataFrame:
-    """All columns of docs, with text replaced by the kept lines joined by newlines, and
-    n_lines, n_dropped and keep_runs, the run-length coded bitmap of kept lines."""
+    """All columns of docs, with text replaced by the kept lines joined by newlines. With report also
+    n_lines, n_dropped and keep_runs, the run-length coded bitmap of kept lines, in place of columns of
+    those names."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
     decided = scratch.write("decided", keep_bitmaps(docs, scratch, id_col, text_col, min_chars, min_docs, keep_first))
     scratch.drop("lines", "repeated")
-    decided = decided.select(F.col("id").alias("__id"), "dropped")
+    decided = decided.select(F.col("id").alias("__id"), F.col("dropped").alias("__dropped"))
     kept = docs.join(decided.hint("merge"), docs[f"`{id_col}`"].eqNullSafe(decided["__id"]), "left").drop("__id")
     lines = F.split(text_or_empty(text_col), "\n", -1)
-    kept = kept.withColumn("__cut", F.coalesce(F.col("dropped"), F.array().cast("array<int>"))).drop("dropped")
-    kept = kept.withColumn("n_lines", F.size(lines).cast("long"))
-    kept = kept.withColumn("n_dropped", F.size("__cut").cast("long"))
-    left = F.array_join(
-        F.transform(
-            F.filter(
-                F.arrays_zip(lines.alias("line"), F.sequence(F.lit(0), F.size(lines) - 1).alias("pos")),
-                lambda x: ~F.array_contains(F.col("__cut"), x["pos"]),
-            ),
-            lambda x: x["line"],
-        ),
-        "\n",
-    )
-    return (
-        kept.withColumn("keep_runs", _runs(F.col("__cut"), F.col("n_lines").cast("int")))
-        .withColumn(text_col, F.when(F.col("n_dropped") == 0, text_or_empty(text_col)).otherwise(left))
-        .drop("__cut")
-    )
+    kept = kept.withColumn("__cut", F.coalesce(F.col("__dropped"), F.array().cast("array<int>"))).drop("__dropped")
+    before, after = F.concat(F.array(F.lit(-1)), "__cut"), F.concat("__cut", F.array(F.size("__lines")))
+    between = F.zip_with(before, after, lambda x, y: F.slice("__lines", x + 2, y - x - 1))
+    left = F.array_join(F.flatten(between), "\n")
+    text = F.when(F.size("__cut") == 0, text_or_empty(text_col)).otherwise(left)
+    kept = kept.withColumn("__lines", lines)
+    if report:
+        kept = kept.withColumn("n_lines", F.size("__lines").cast("long")).withColumn("n_dropped", F.size("__cut").cast("long"))
+        kept = kept.withColumn("keep_runs", _runs(F.col("__cut"), F.size("__lines")))
+    return kept.withColumn(text_col, text).drop("__cut", "__lines")
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:

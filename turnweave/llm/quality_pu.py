@@ -75,25 +75,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-def score(docs: DataFrame, model: Linear, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with score, the calibrated probability of good quality."""
+def score(docs: DataFrame, model: Linear, id_col: str = "doc_id", text_col: str = "text", name: str = "score") -> DataFrame:
+    """docs with the calibrated probability of good quality, in place of a column of that name."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in found:
             got = [model.probability(model.raw(b)) for _, b in batches(rb.column("__text").to_pylist())]
             scores = np.concatenate(got) if got else np.zeros(0)
             kept = [rb.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(scores)], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(scores)], [*names, name])
 
-    names = [n for n in docs.columns if n != "score"]
+    names = [n for n in docs.columns if n != name]
     fields = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
     rows = docs.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text_col}`").cast("string").alias("__text"))
-    return rows.mapInArrow(run, f"{fields}, score double")
+    return rows.mapInArrow(run, f"{fields}, {name} double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
     """The rows of docs that score ``least`` or more."""
-    return score(docs, fit(docs, labels, id_col, text_col), id_col, text_col).where(F.col("score") >= least).drop("score")
+    scored = score(docs, fit(docs, labels, id_col, text_col), id_col, text_col, "__score")
+    return scored.where(F.col("__score") >= least).drop("__score")
 
 
 def op9_quality_pu(spark, sf_dir: str) -> DataFrame:
