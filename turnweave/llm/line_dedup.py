@@ -7,7 +7,8 @@ before they are dealt by range, so a line that a third of all documents share ar
 as at most ``BUCKETS`` rows.
 
 Defined cases: a null or empty text is one empty line. Rows that share a doc_id count
-as one document in the counting; a null doc_id is an id of its own and sorts first.
+as one document in the counting, but lose lines by their own text; a null doc_id is an
+id of its own and sorts first.
 Columns of the input other than id and text are ignored. An empty table gives an
 empty result.
 """
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACES, UPPER, Scratch, pick, text_or_empty
+from .common import LOWER, SPACES, UPPER, Scratch, pick, text_digest, text_or_empty
 
 BUCKETS = 64
 
@@ -28,11 +29,11 @@ def line_key(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(id, pos, hash) of every line whose key has min_chars code points."""
-    rows = docs.select("id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    rows = rows.select("id", "pos", line_key(F.col("line")).alias("key"))
+    """(id, digest, pos, hash) of every line whose key has min_chars code points."""
+    rows = docs.select("id", "digest", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    rows = rows.select("id", "digest", "pos", line_key(F.col("line")).alias("key"))
     rows = rows.where(F.length("key") >= min_chars)
-    return rows.select("id", "pos", F.unhex(F.md5("key")).alias("hash"))
+    return rows.select("id", "digest", "pos", F.unhex(F.md5("key")).alias("hash"))
 
 
 def repeated_lines(lines: DataFrame, min_docs: int, partitions: int | None = None) -> DataFrame:
@@ -74,16 +75,18 @@ def keep_bitmaps(
     min_docs: int = 10,
     keep_first: bool = False,
 ) -> DataFrame:
-    """(id, dropped, n_dropped): for each document that loses lines, their positions in order.
+    """(id, digest, dropped): for each id and text that loses lines, their positions in order.
 
     keep_first leaves the first occurrence of each repeated line where it is."""
-    docs = docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("text"))
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), text_digest(text_col).alias("digest"), text_or_empty(text_col).alias("text"))
     lines = scratch.write("lines", _lines(docs, min_chars))
     bad = scratch.write("repeated", repeated_lines(lines, min_docs))
     hits = lines.join(bad.hint("merge"), "hash")
     if keep_first:
-        hits = hits.where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("pos") == F.col("first_pos"))))
-    return hits.groupBy("id").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
+        first = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("pos") == F.col("first_pos"))
+        least = hits.where(first).groupBy("hash").agg(F.min("digest").alias("first_digest"))  # of texts with the same id
+        hits = hits.join(least.hint("merge"), "hash").where(~(first & (F.col("digest") == F.col("first_digest"))))
+    return hits.groupBy("id", "digest").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 
 def dedup_lines(
@@ -101,8 +104,10 @@ def dedup_lines(
     scratch = Scratch(docs.sparkSession, "line-dedup")
     decided = scratch.write("decided", keep_bitmaps(docs, scratch, id_col, text_col, min_chars, min_docs, keep_first))
     scratch.drop("lines", "repeated")
-    decided = decided.select(F.col("id").alias("__id"), F.col("dropped").alias("__dropped"))
-    kept = docs.join(decided.hint("merge"), docs[f"`{id_col}`"].eqNullSafe(decided["__id"]), "left").drop("__id")
+    decided = decided.select(F.col("id").alias("__id"), F.col("digest").alias("__of"), F.col("dropped").alias("__dropped"))
+    docs = docs.withColumn("__digest", text_digest(text_col))
+    same = docs[f"`{id_col}`"].eqNullSafe(decided["__id"]) & (docs["__digest"] == decided["__of"])
+    kept = docs.join(decided.hint("merge"), same, "left").drop("__id", "__of", "__digest")
     lines = F.split(text_or_empty(text_col), "\n", -1)
     kept = kept.withColumn("__cut", F.coalesce(F.col("__dropped"), F.array().cast("array<int>"))).drop("__dropped")
     before, after = F.concat(F.array(F.lit(-1)), "__cut"), F.concat("__cut", F.array(F.size("__lines")))

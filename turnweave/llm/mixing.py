@@ -134,12 +134,13 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> D
     return cells.select("source", F.transform("by", lambda x: x["n"]).alias("cells"))
 
 
-def document_sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def document_sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, row: Column | None = None) -> DataFrame:
+    """(id, source, size, row) of each document; row: a key that docs already has, else a new one."""
     return docs.select(
         F.col(f"`{id_col}`").alias("id"),
         F.col(f"`{source_col}`").cast("string").alias("source"),
         F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"),
-        F.monotonically_increasing_id().alias("row"),  # fixed once this is written
+        (F.monotonically_increasing_id() if row is None else row).alias("row"),  # a new one is fixed once this is written
     )
 
 
@@ -224,14 +225,14 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs as the mix takes them: a row for each pass over a document, with the blocks of
     that pass joined in order; documents of which nothing is taken go. Other columns stay.
-    Rows with the same id and source share their passes."""
+    Each row has its own passes, also where rows share an id."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    sizes = scratch.write("sizes", document_sizes(docs, id_col, text_col, source_col))
+    docs = scratch.write("keyed", docs.withColumn("__row", F.monotonically_increasing_id()))
+    sizes = scratch.write("sizes", document_sizes(docs, id_col, text_col, source_col, F.col("__row")))
     blocks, _ = mix(sizes, scratch)
-    passes = blocks.groupBy("id", "source", "pass").agg(F.array_sort(F.collect_set("block")).alias("__blocks"))
-    passes = scratch.write("passes", passes).select(F.col("id").alias("__id"), F.col("source").alias("__src"), "__blocks")
-    same = docs[f"`{id_col}`"].eqNullSafe(passes["__id"]) & docs[f"`{source_col}`"].eqNullSafe(passes["__src"])
-    rows = docs.join(passes.hint("merge"), same).drop("__id", "__src")
+    passes = blocks.groupBy("row", "pass").agg(F.array_sort(F.collect_set("block")).alias("__blocks"))
+    passes = scratch.write("passes", passes).select(F.col("row").alias("__row"), "__blocks")
+    rows = docs.join(passes.hint("merge"), "__row").drop("__row")
     space = r"[\x20\x09-\x0D]"
     cut = F.regexp_extract_all(text_or_empty(text_col), F.lit(rf"(?:{space}*+{WORD}+){{1,{BLOCK_WORDS}}}+"), F.lit(0))
     n_blocks = F.ceil(F.regexp_count(text_or_empty(text_col), F.lit(WORD)) / BLOCK_WORDS)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick
+from .common import Scratch, pick, text_digest
 from .stars import components
 
 SHINGLE = 4
@@ -64,18 +64,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp) of every row; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, digest: bool = False) -> DataFrame:
+    """(id, fp) of every row, with digest also that of its text; fp is the fingerprint as a signed long."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], ["id", "fp", *b.schema.names[2:]])
 
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(
-        run, f"id {kind}, fp long"
+    rows = docs.select(
+        F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *([text_digest(text_col).alias("digest")] if digest else [])
     )
+    return rows.mapInArrow(run, f"id {kind}, fp long" + ", digest binary" * digest)
 
 
 def _blocks(n: int) -> list[tuple[int, int]]:
@@ -203,26 +204,26 @@ def near_links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, agre
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, agree: int = AGREE
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, agree: int = AGREE, digest: bool = False
 ) -> DataFrame:
-    """(id, fp, component) of every row; component: the smallest id that links reach from it."""
+    """(id, fp, component) of every row, with digest also that; component: the smallest id that links reach from it."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.write("prints", fingerprints(docs, id_col, text_col, shingle))
+    prints = scratch.write("prints", fingerprints(docs, id_col, text_col, shingle, digest))
     reps = scratch.write("reps", prints.groupBy("fp").agg(F.min("id").alias("rep")))
     roots = components(near_links(reps.select("fp"), scratch, radius, agree), scratch)
     joined = reps.join(roots.hint("merge"), reps["fp"] == roots["node"], "left")
     joined = scratch.write("rooted", joined.select("fp", "rep", F.coalesce("root", "fp").alias("root")))
     ids = joined.groupBy("root").agg(F.min("rep").alias("component"))
     by_fp = joined.join(ids.hint("merge"), "root").select("fp", "component")
-    return prints.join(by_fp.hint("merge"), "fp").select("id", "fp", "component")
+    return prints.join(by_fp.hint("merge"), "fp").select(*prints.columns, "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are the smallest of their component; rows without an id stay."""
+    """The rows whose id is the smallest of the component of their text; rows without an id stay."""
     scratch = Scratch(docs.sparkSession, "simhash-keep")
-    found = near_duplicates(docs, id_col, text_col)
-    gone = scratch.write("gone", found.where("id <> component").select(F.col("id").alias("__gone")).distinct())
-    return docs.join(gone.hint("merge"), docs[f"`{id_col}`"] == gone["__gone"], "left_anti")
+    found = near_duplicates(docs, id_col, text_col, digest=True).where("id <> component")
+    gone = scratch.write("gone", found.select(F.col("id").alias("__gone"), F.col("digest").alias("__of")).distinct())
+    return docs.join(gone.hint("merge"), (docs[f"`{id_col}`"] == gone["__gone"]) & (text_digest(text_col) == gone["__of"]), "left_anti")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
