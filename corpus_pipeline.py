@@ -32,8 +32,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies."""
-    return _same_columns(simhash.keep_one(docs), docs)
+    """The document of smallest id of each group of near copies: linked as in op5, or by 0.8 or more of their five-word shingles."""
+    return _same_columns(simhash.keep_one(docs, similar=True), docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

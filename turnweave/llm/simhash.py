@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, pick, text_digest
+from .near_sets import similar_pairs
 from .stars import components
 
 SHINGLE = 4
@@ -204,13 +205,17 @@ def near_links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, agre
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, agree: int = AGREE, digest: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, agree: int = AGREE, digest: bool = False, similar: bool = False
 ) -> DataFrame:
-    """(id, fp, component) of every row, with digest also that; component: the smallest id that links reach from it."""
+    """(id, fp, component) of every row, with digest also that; component: the smallest id that links reach from it.
+    With similar (which needs digest) also texts of similar shingle sets are linked."""
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.write("prints", fingerprints(docs, id_col, text_col, shingle, digest))
     reps = scratch.write("reps", prints.groupBy("fp").agg(F.min("id").alias("rep")))
-    roots = components(near_links(reps.select("fp"), scratch, radius, agree), scratch)
+    links = near_links(reps.select("fp"), scratch, radius, agree)
+    if similar:
+        links = links.unionByName(similar_pairs(docs, prints, scratch, text_col))
+    roots = components(links, scratch)
     joined = reps.join(roots.hint("merge"), reps["fp"] == roots["node"], "left")
     joined = scratch.write("rooted", joined.select("fp", "rep", F.coalesce("root", "fp").alias("root")))
     ids = joined.groupBy("root").agg(F.min("rep").alias("component"))
@@ -218,10 +223,10 @@ def near_duplicates(
     return prints.join(by_fp.hint("merge"), "fp").select(*prints.columns, "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id is the smallest of the component of their text; rows without an id stay."""
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: bool = False) -> DataFrame:
+    """The rows whose id is the smallest of the component of their text; rows without an id stay. similar: see near_duplicates."""
     scratch = Scratch(docs.sparkSession, "simhash-keep")
-    found = near_duplicates(docs, id_col, text_col, digest=True).where("id <> component")
+    found = near_duplicates(docs, id_col, text_col, digest=True, similar=similar).where("id <> component")
     gone = scratch.write("gone", found.select(F.col("id").alias("__gone"), F.col("digest").alias("__of")).distinct())
     return docs.join(gone.hint("merge"), (docs[f"`{id_col}`"] == gone["__gone"]) & (text_digest(text_col) == gone["__of"]), "left_anti")
 
