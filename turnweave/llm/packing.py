@@ -2,26 +2,30 @@
 
 Documents become token ids; those longer than a sequence are cut into full pieces, and the
 first may be shorter. What is packed is the histogram of piece lengths, at most ``size``
-counts whatever the corpus: single, pair and triple sums of the lengths at hand are hashed by
-their total, and for each length, longest first, a combination that exactly fills the gap is
-used as often as all its counts allow; what no combination completes goes best-fit into the
-least gap that takes it. The plan is a list of patterns with multiplicities, at most a few
-for each length. Pieces get ranks within their length from sums over hash ranges, and a rank
-gives the sequence and the place in it by search in the plan.
-
-Texts are tokenised whole, once. Words are looked up in a bounded memory of the ids of
-pieces that the tokenizer's own pattern makes; texts with other than Latin letters go to the
-tokenizer as they are.
+counts whatever the corpus. The lengths at hand are indexed by single and pair sums; a triple
+of a given sum is a length joined to the pairs of the rest. For each length, longest first,
+the combinations that exactly fill its gap are used as often as the counts of all allow. What no combination
+completes goes, longest first, into the least open gap that takes it, or opens a sequence. The
+plan is a list of patterns with multiplicities, a few for each length. Pieces get ranks within
+their length from sums over hash ranges, and a rank gives the sequence and the place in it by
+search in the plan.
+
+Texts are tokenised whole, once. A file that holds byte-level BPE with the common splitter and merges in
+the order of their ids is run by its ranks, which gives the same ids sooner; any other file is
+run by the tokenizers library as it is.
 
 Defined cases: a null or empty text is the end id alone; rows that repeat an id are documents
 of their own; extra columns are ignored; an empty table gives an empty result. If a text
-holds a special token's string, the tokenizer's id for it is used.
+holds an added token's string, the tokenizer's id for it is used.
 """
 
 from __future__ import annotations
 
-import re
+import json
+import sys
 import zlib
+from array import array
+from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -35,36 +39,49 @@ from .common import Scratch, pick
 SIZE = 1024
 END = 2
 RANGES = 512
-#: Words whose ids a worker remembers.
-MEMORY = 500_000
-_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PLAIN = re.compile(rf"[\t-\r -~{_LETTER}¡£§«»¿–—‘-„…]*")
-_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s0-9{_LETTER}]+|\s+(?!\S)|\s+")
+# The byte-level splitter's pattern.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """Ids of the byte strings of a byte-level BPE file in which a merge's rank is its id; None for any other file."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    model, split = told["model"], told.get("pre_tokenizer") or {}
+    plain = told.get("normalizer") is None and model.get("type") == "BPE"
+    plain = plain and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or (split.get("type"), split.get("add_prefix_space"), split.get("use_regex", True)) != ("ByteLevel", False, True):
+        return None
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # bytes that stand for themselves
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    added = {t["content"] for t in told.get("added_tokens", [])}
+    vocab = {w: i for w, i in model["vocab"].items() if w not in added}
+    merged = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    if None in merged or merged != sorted(set(merged)) or len(vocab) != 256 + len(merged) or any(c not in vocab for c in byte):
+        return None
+    if merged and max(vocab[c] for c in byte) > merged[0]:
+        return None
+    return {bytes(byte[c] for c in w): i for w, i in vocab.items()}
 
 
 class Encoder:
-    """Ids of texts by a byte-level BPE file of the tokenizers library."""
+    """Ids of texts by a file of the tokenizers library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def ids(self, text: str) -> np.ndarray:
-        if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        known, out = self.known, []
-        for word in _PIECE.findall(text):
-            got = known.get(word)
-            if got is None:
-                got = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
-                if len(known) >= MEMORY:
-                    known.clear()
-                known[word] = got
-            out += got
-        return np.array(out, np.uint32)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.fast = None
+        if ranks := byte_ranks(path):
+            import tiktoken
+
+            self.fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str) -> array:
+        if self.fast and not any(s in text for s in self.added):
+            return array("I", self.fast.encode_ordinary(text))
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end: int = END, with_ids: bool = True) -> DataFrame:
@@ -78,19 +95,21 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for b in batches:
             rows, number, start, length, crc, raw = [], [], [], [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
-                ids = np.append(encoder.ids(text or ""), np.uint32(end)).astype("<u4")
-                at, n = 0, len(ids) % size or size
-                n = min(n, len(ids))
-                k = 0
+                ids = encoder.ids(text or "")
+                ids.append(end)
+                if sys.byteorder == "big":
+                    ids.byteswap()
+                told = memoryview(ids).cast("B")
+                at, n, k = 0, len(ids) % size or size, 0
                 while at < len(ids):
-                    part = ids[at : at + n].tobytes()
+                    part = told[4 * at : 4 * (at + n)]
                     rows.append(i)
                     number.append(k)
                     start.append(at)
-                    length.append(len(part) // 4)
+                    length.append(n)
                     crc.append(zlib.crc32(part))
                     if with_ids:
-                        raw.append(part)
+                        raw.append(bytes(part))
                     at, n, k = at + n, size, k + 1
             cols = [b.column(0).take(pa.array(rows, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays([*cols, *[pa.array(raw, pa.binary())] * with_ids], names)
@@ -103,56 +122,55 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...]
     """Patterns of lengths and how often each is used; uses every piece of counts."""
     left = Counter({n: c for n, c in counts.items() if c})
     out: list[tuple[tuple[int, ...], int]] = []
-    if left.get(size):
+    if left[size]:
         out.append(((size,), left.pop(size)))
-
-    def use(pattern: tuple[int, ...]) -> int:
-        need = Counter(pattern)
-        times = min(left[n] // k for n, k in need.items())
-        if times:
-            out.append((pattern, times))
-            for n, k in need.items():
-                left[n] -= k * times
-                if not left[n]:
-                    del left[n]
-        return times
-
-    def combos(gap: int) -> Iterator[tuple[int, ...]]:
-        """Singles, pairs and triples of lengths at hand whose sum is gap."""
-        if left[gap]:
+    lengths = sorted((n for n in left if left[n]), reverse=True)
+    pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for i, a in enumerate(lengths):
+        for b in lengths[i:]:
+            if a + b < size:
+                pairs[a + b].append((a, b))
+
+    def fillers(gap: int) -> Iterator[tuple[int, ...]]:
+        """Singles, pairs and triples of lengths whose sum is gap."""
+        if gap in left:
             yield (gap,)
-        lengths = sorted((n for n in left if n < gap), reverse=True)
-        sums: dict[int, list[int]] = defaultdict(list)
+        yield from pairs.get(gap, ())
         for a in lengths:
-            sums[a].append(a)
-        for a in lengths:
-            if a * 2 >= gap and (gap - a) in sums:
-                yield (a, gap - a)
-        for i, a in enumerate(lengths):
-            for b in lengths[i:]:
-                if (c := gap - a - b) <= b and c in sums:
-                    yield (a, b, c)
-
-    # a longest piece takes an exact complement as often as the counts allow, then best-fit
-    while left:
-        top = max(left)
-        done = False
-        for combo in combos(size - top):
-            if all(left[n] for n in combo) and use((top, *combo)):
-                done = True
-                if not left[top]:
-                    break
-        if left[top] and not done:
-            # best-fit: the longest that fits, again and again
-            pattern, gap, have = [top], size - top, Counter(left)
-            have[top] -= 1
-            while (fits := [n for n, c in have.items() if c > 0 and n <= gap]):
-                n = max(fits)
-                pattern.append(n)
-                gap -= n
-                have[n] -= 1
-            use(tuple(pattern))
-    return out
+            if a < gap <= 3 * a and left[a]:
+                yield from ((a, b, c) for b, c in pairs.get(gap - a, ()) if b <= a and left[b] and left[c])
+
+    open_at: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
+    gaps: list[int] = []
+
+    def put(pattern: tuple[int, ...], gap: int, times: int) -> None:
+        if times:
+            if not open_at[gap]:
+                insort(gaps, gap)
+            open_at[gap].append((pattern, times))
+
+    for n in lengths:
+        for combo in fillers(size - n):
+            need = Counter((n, *combo))
+            times = min(left[m] // k for m, k in need.items())
+            put((n, *combo), 0, times)
+            for m, k in need.items():
+                left[m] -= k * times
+            if not left[n]:
+                break
+        while left[n]:  # into the least open gap that takes it, or a new sequence
+            i = bisect_left(gaps, n)
+            gap = gaps[i] if i < len(gaps) else size
+            pattern, times = open_at[gap].pop() if i < len(gaps) else ((), left[n])
+            if i < len(gaps) and not open_at[gap]:
+                del gaps[i]
+            each = min(gap // n, left[n])
+            used = min(times, left[n] // each)
+            put(pattern + (n,) * each, gap - n * each, used)
+            if pattern:
+                put(pattern, gap, times - used)
+            left[n] -= each * used
+    return out + [p for gap in gaps for p in open_at[gap]]
 
 
 def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, ...]]:
