@@ -2,7 +2,8 @@
 
 A batch of texts is one byte array; hashes of words come from prefix sums of a polynomial
 modulo 2**64, so that no word is a Python object. Features of a text are the shares of its
-words, word pairs and byte trigrams in each hash bucket.
+words, word pairs and byte trigrams in each hash bucket. Wide arrays are made for CHUNK bytes
+at a time, also inside a text or a word; of a longer text only its bytes and one entry for each word are held whole.
 """
 
 from __future__ import annotations
@@ -13,14 +14,16 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Buckets of words, word pairs and byte trigrams.
-WORDS, PAIRS, TRIGRAMS = 512, 512, 1024
+WORDS, PAIRS, TRIGRAMS = 1024, 1024, 2048
 WIDTH = WORDS + PAIRS + TRIGRAMS
 #: Added to a text's number of n-grams, so that a few words do not make extreme shares.
 DAMPING = 30
 #: Shares are small numbers; one factor for all keeps rare n-grams from weighing as much as frequent ones.
 SCALE = 30.0
-#: Bytes of text that are looked at together; a longer text is looked at alone.
-CHUNK = 1 << 21
+#: Bytes of text that are looked at together.
+CHUNK = 1 << 20
+#: Texts that are looked at together.
+TEXTS = 1000
 _B = 0x9E3779B97F4A7C15
 _BINV = pow(_B, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
@@ -31,7 +34,7 @@ _powers: dict[int, np.ndarray] = {}
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, CHUNK + 4096), base, np.uint64)
+        have = np.full(max(n, CHUNK), base, np.uint64)
         have[0] = 1
         have = _powers[base] = np.multiply.accumulate(have)
     return have[:n]
@@ -61,7 +64,7 @@ def batches(texts: list[str | None]) -> Iterator[tuple[int, Batch]]:
     at, size, held = 0, 0, []
     for i, t in enumerate(texts):
         b = (t or "").encode("utf-8", "surrogatepass")
-        if held and size + len(b) > CHUNK:
+        if held and (size + len(b) > CHUNK or len(held) == TEXTS):
             yield at, _batch(held)
             at, size, held = i, 0, []
         held.append(b)
@@ -73,36 +76,52 @@ def batches(texts: list[str | None]) -> Iterator[tuple[int, Batch]]:
 def _batch(raw: list[bytes]) -> Batch:
     buf = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
     begin = np.concatenate(([0], np.cumsum([len(b) + 1 for b in raw])))
-    space = _SPACE[buf]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).astype(np.int8)))
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[buf])).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _power(_B, len(buf)), dtype=np.uint64)))
-    h = mix((sums[end] - sums[start]) * _power(_BINV, len(buf))[start])
-    return Batch(len(raw), buf, begin, np.searchsorted(begin, start, side="right") - 1, start, end, h)
-
-
-def slots(b: Batch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text, bucket) of every n-gram, kind by kind."""
-    yield b.doc, (b.hash >> np.uint64(40)).astype(np.int64) % WORDS
+    return Batch(len(raw), buf, begin, np.searchsorted(begin, start, side="right") - 1, start, end, mix(_hashes(buf, start, end)))
+
+
+def _hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial of each word's bytes, summed chunk by chunk."""
+    h = np.zeros(len(start), np.uint64)
+    for a in range(0, len(buf), CHUNK):
+        part = buf[a : a + CHUNK]
+        i, j = int(np.searchsorted(end, a, side="right")), int(np.searchsorted(start, a + len(part)))
+        if i == j:
+            continue
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _power(_B, len(part)), dtype=np.uint64)))
+        lo, hi = np.maximum(start[i:j] - a, 0), np.minimum(end[i:j] - a, len(part))
+        got = (sums[hi] - sums[lo]) * _power(_BINV, len(part))[lo]
+        got[:1] *= np.uint64(pow(_B, max(a - int(start[i]), 0), 1 << 64))  # only the first may have begun before
+        h[i:j] += got
+    return h
+
+
+def slots(b: Batch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(kind, text, bucket) of every n-gram; a kind comes in one or more parts."""
+    yield 0, b.doc, (b.hash >> np.uint64(40)).astype(np.int64) % WORDS
     one = b.doc[1:] == b.doc[:-1]
     first, second = b.hash[:-1][one], b.hash[1:][one]
     pair = 1 + (mix(first * np.uint64(3) + second) >> np.uint64(40)).astype(np.int64) % (PAIRS - 1)
-    yield b.doc[1:][one], WORDS + np.where(first == second, 0, pair)  # a word said twice has a bucket of its own
-    x = b.buf.astype(np.uint32)
-    tri = ((x[:-2] << np.uint32(16)) | (x[1:-1] << np.uint32(8)) | x[2:]) * np.uint32(2654435761)
-    doc = np.repeat(np.arange(b.n), np.diff(b.begin))[:-2]
-    inside = np.arange(len(tri)) + 3 <= b.begin[1:][doc]
-    yield doc[inside], WORDS + PAIRS + (tri[inside] >> np.uint32(16)).astype(np.int64) % TRIGRAMS
+    yield 1, b.doc[1:][one], WORDS + np.where(first == second, 0, pair)  # a word said twice has a bucket of its own
+    for a in range(0, len(b.buf) - 2, CHUNK):
+        x = b.buf[a : a + CHUNK + 2].astype(np.uint32)
+        tri = ((x[:-2] << np.uint32(16)) | (x[1:-1] << np.uint32(8)) | x[2:]) * np.uint32(2654435761)
+        doc = np.repeat(np.arange(b.n), np.diff(np.clip(b.begin, a, a + len(tri))))
+        inside = np.arange(a, a + len(tri)) + 3 <= b.begin[1:][doc]
+        yield 2, doc[inside], WORDS + PAIRS + (tri[inside] >> np.uint32(16)).astype(np.int64) % TRIGRAMS
 
 
 def features(texts: list[str | None]) -> np.ndarray:
     """A row of WIDTH shares for each text."""
     out = np.zeros((len(texts), WIDTH), np.float32)
     for at, b in batches(texts):
-        for doc, slot in slots(b):
-            count = np.bincount(doc, minlength=b.n)
-            flat = np.bincount(doc * WIDTH + slot, minlength=b.n * WIDTH).reshape(b.n, WIDTH)
-            out[at : at + b.n] += (flat / (count + DAMPING)[:, None]).astype(np.float32)
+        counts, flat = np.zeros((3, b.n)), np.zeros((b.n, WIDTH), np.float32)
+        for kind, doc, slot in slots(b):
+            counts[kind] += np.bincount(doc, minlength=b.n)
+            flat += np.bincount(doc * WIDTH + slot, minlength=b.n * WIDTH).reshape(b.n, WIDTH)
+        share = 1 / (counts + DAMPING)
+        out[at : at + b.n] = flat * np.repeat(share, (WORDS, PAIRS, TRIGRAMS), axis=0).T
     return out
 
 
@@ -116,11 +135,11 @@ class Linear:
     shift: float = 0.0
 
     def raw(self, b: Batch) -> np.ndarray:
-        out = np.full(b.n, self.bias)
-        for doc, slot in slots(b):
-            count = np.bincount(doc, minlength=b.n)
-            out += np.bincount(doc, weights=self.weights[slot], minlength=b.n) / (count + DAMPING)
-        return out
+        counts, sums = np.zeros((3, b.n)), np.zeros((3, b.n))
+        for kind, doc, slot in slots(b):
+            counts[kind] += np.bincount(doc, minlength=b.n)
+            sums[kind] += np.bincount(doc, weights=self.weights[slot], minlength=b.n)
+        return self.bias + (sums / (counts + DAMPING)).sum(axis=0)
 
     def probability(self, raw: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.shift, -40, 40)))

@@ -1,7 +1,7 @@
 """Quality rules: counted rules and a hashed n-gram logistic regression, against fixed thresholds.
 
 The regression is trained on at most ``sample`` labelled quality rows of the training fold,
-those whose id has the smallest hash; a fifth of them is held back to calibrate its
+those whose id has the smallest hash, by one task; a fifth of them is held back to calibrate its
 probabilities. Every text is scored whole, in Arrow batches.
 
 Defined cases: a null or empty text has no words and fails the rules; rows that repeat an id
@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick
-from .ngrams import SCALE, Batch, Linear, batches, calibrated, descend, mix, sigmoid
-from .training import labelled_ids, sample_features
+from .ngrams import _SPACE, SCALE, Batch, Linear, batches, calibrated, descend, mix, sigmoid
+from .training import fit_in_one_task, labelled_ids, sample_features
 
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # in hundredths of the words
 LEAST_PROBABILITY = 0.3
-SAMPLE = 2000
+SAMPLE = 3000
 SEED = 8
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -63,36 +63,34 @@ def repeated_lines(text: str | None) -> int:
 def rule_counts(b: Batch) -> list[np.ndarray]:
     """n_words, word_chars, n_symbols, n_repeat_words of each text."""
     words = np.bincount(b.doc, minlength=b.n).astype(np.int64)
-    begins = ((b.buf & 0xC0) != 0x80).astype(np.int64)
-    upto = np.concatenate(([0], np.cumsum(begins)))
-    chars = np.bincount(b.doc, weights=upto[b.end] - upto[b.start], minlength=b.n).astype(np.int64)
-    marks = np.concatenate(([0], np.cumsum(_SYMBOL[b.buf])))
-    return [words, chars, np.diff(marks[b.begin]), repeated_words(b)]
+    begins = ((b.buf & 0xC0) != 0x80) & ~_SPACE[b.buf]
+    chars, symbols = (np.add.reduceat(x, b.begin[:-1], dtype=np.int64) for x in (begins, _SYMBOL[b.buf]))
+    return [words, chars, symbols, repeated_words(b)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Linear | None:
-    """The calibrated model, or None without labels of both kinds."""
-    known = labelled_ids(labels, sample, SEED)
-    ids, x = sample_features(docs, list(known), id_col, text_col)
-    y = np.array([known[i] for i in ids.tolist()], float)
-    if not len(y) or y.min() == y.max():
+def _fit(part: np.ndarray, y: np.ndarray, x: np.ndarray) -> Linear | None:
+    if y.min() == y.max():
         return None
-    order = np.argsort(ids, kind="stable")
-    x, y = x[order], y[order]
     back = np.arange(len(y)) % 5 == 4
-    z = np.float32(SCALE) * x[~back]
-    side = np.where(y[~back] == 1, 0.5 / max(y[~back].sum(), 1), 0.5 / max((1 - y[~back]).sum(), 1))
+    z, goal = np.float32(SCALE) * x[~back], y[~back].astype(float)
+    side = np.where(goal == 1, 0.5 / max(goal.sum(), 1), 0.5 / max((1 - goal).sum(), 1))
 
     def grad(w):
-        off = (sigmoid(z @ w[:-1] + w[-1]) - y[~back]) * side
-        return np.append(z.T @ off + 1e-3 * w[:-1], off.sum())
+        off = (sigmoid(z @ w[:-1].astype(np.float32) + w[-1]) - goal) * side
+        return np.append(z.T @ off.astype(np.float32) + 1e-3 * w[:-1], off.sum())
 
     w = descend(grad, z.shape[1] + 1)
     model = Linear(w[:-1] * SCALE, float(w[-1]))
-    model.slope, model.shift = calibrated(x[back] @ model.weights + model.bias, y[back])
+    model.slope, model.shift = calibrated(x[back] @ model.weights + model.bias, y[back].astype(float))
     return model
 
 
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Linear | None:
+    """The calibrated model, or None without labels of both kinds."""
+    picked = labelled_ids(labels, sample, SEED).select("id", F.lit(0).alias("part"), "y")
+    return fit_in_one_task(sample_features(docs, picked, id_col, text_col), _fit)
+
+
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality double, kept boolean"
 
 
