@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Space and the ASCII controls from tab to carriage return part words.
@@ -66,6 +66,28 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def drop_but(self, *names: str) -> None:
+        """Frees all tables but the named ones, which are still read."""
+        self.drop(*[n for n in self.paths if n not in names])
+
+
+def in_order(rows: DataFrame, scratch: Scratch, name: str, order: list[Column], sums: list[str] = [], parts: int = 32) -> DataFrame:
+    """rows with nth, their place from 1 in an order without ties, and before_x for each x of sums, its sum over the
+    rows before. Rows are dealt by range and written, so that no task sees all of them."""
+    dealt = rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    dealt = scratch.write(name, dealt)
+    by = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(f"__{c}") for c in sums])
+    upto = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each part
+    starts = by.select("__part", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(c) for c in ("__n", *[f"__{c}" for c in sums])])
+    inside = Window.partitionBy("__part").orderBy(*order)
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.join(starts.hint("broadcast"), "__part")  # parts rows
+    return out.select(
+        *[F.col(f"`{c}`") for c in rows.columns],
+        (F.col("__n") + F.row_number().over(inside)).cast("long").alias("nth"),
+        *[(F.col(f"__{c}") + F.coalesce(F.sum(c).over(earlier), F.lit(0))).alias(f"before_{c}") for c in sums],
+    )
+
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that no extra column of the input can clash."""

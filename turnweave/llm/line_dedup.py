@@ -4,7 +4,8 @@ first occurrences streamed off by a window, decisions returned as run-length kee
 Only DataFrame functions. A line's hash is the MD5 of its key, so that text is read
 but not shuffled to decide; hashes are summed per document and per bucket of documents
 before they are dealt by range, so a line that a third of all documents share arrives
-as at most ``BUCKETS`` rows.
+as at most ``BUCKETS`` rows, and meets its lines bucket by bucket. A document's bitmap is the list
+of the places where kept lines turn to dropped ones or back, kept first; texts are cut by it.
 
 Defined cases: a null or empty text is one empty line. Rows that share a doc_id count
 as one document in the counting, but lose lines by their own text; a null doc_id is an
@@ -29,40 +30,45 @@ def line_key(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(id, digest, pos, hash) of every line whose key has min_chars code points."""
+    """(id, digest, pos, hash, bucket) of every line whose key has min_chars code points."""
     rows = docs.select("id", "digest", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     rows = rows.select("id", "digest", "pos", line_key(F.col("line")).alias("key"))
     rows = rows.where(F.length("key") >= min_chars)
-    return rows.select("id", "digest", "pos", F.unhex(F.md5("key")).alias("hash"))
+    bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")
+    return rows.select("id", "digest", "pos", F.unhex(F.md5("key")).alias("hash"), bucket.alias("bucket"))
 
 
 def repeated_lines(lines: DataFrame, min_docs: int, partitions: int | None = None) -> DataFrame:
-    """(hash, n_docs, first_id, first_pos) of each hash found in min_docs documents."""
-    per_doc = lines.groupBy("hash", "id").agg(F.min("pos").alias("pos"))
-    bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS))
-    part = per_doc.groupBy("hash", bucket.alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "pos")).alias("first")
-    )
+    """(hash, bucket, n_docs, first_id, first_pos) of each hash found in min_docs documents, for each bucket it is in."""
+    per_doc = lines.groupBy("hash", "bucket", "id").agg(F.min("pos").alias("pos"))
+    part = per_doc.groupBy("hash", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "pos")).alias("first"))
     dealt = part.repartitionByRange(*([partitions] if partitions else []), "hash")
     in_order = Window.partitionBy("hash").orderBy("first")
     whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
         dealt.withColumn("n_docs", F.sum("n").over(whole))
-        .withColumn("nth", F.row_number().over(in_order))
-        .where((F.col("nth") == 1) & (F.col("n_docs") >= min_docs))
-        .select("hash", "n_docs", F.col("first.id").alias("first_id"), F.col("first.pos").alias("first_pos"))
+        .withColumn("least", F.first("first").over(whole))
+        .where(F.col("n_docs") >= min_docs)
+        .select("hash", "bucket", "n_docs", F.col("least.id").alias("first_id"), F.col("least.pos").alias("first_pos"))
     )
 
 
-def _runs(dropped: Column, n_lines: Column) -> Column:
-    """Lengths of alternating runs of kept and dropped lines, kept first: the bitmap, run-length coded.
+def _edges(dropped: Column) -> Column:
+    """Where runs of dropped lines start and end, in turn: the bitmap as places.
 
     A run starts at every dropped line whose predecessor is kept and ends where the next is kept."""
     starts = F.filter(dropped, lambda p, i: ~F.get(dropped, i - 1).eqNullSafe(p - 1))
     stops = F.filter(dropped, lambda p, i: ~F.get(dropped, i + 1).eqNullSafe(p + 1))
-    edges = F.flatten(F.zip_with(starts, stops, lambda p, q: F.array(p, q + 1)))
-    ends = F.concat(F.array(F.lit(0)), edges, F.array(n_lines))
-    runs = F.transform(F.sequence(F.lit(1), F.size(ends) - 1), lambda i: F.get(ends, i) - F.get(ends, i - 1))
+    return F.flatten(F.zip_with(starts, stops, lambda p, q: F.array(p, q + 1)))
+
+
+def _runs(dropped: Column, n_lines: Column) -> Column:
+    """Lengths of alternating runs of kept and dropped lines, kept first: the bitmap, run-length coded."""
+    return _lengths(_edges(dropped), n_lines)
+
+
+def _lengths(edges: Column, n_lines: Column) -> Column:
+    runs = F.zip_with(F.concat(F.array(F.lit(0)), edges), F.concat(edges, F.array(n_lines)), lambda p, q: q - p)
     return F.filter(runs, lambda n, i: (i == 0) | (n > 0))
 
 
@@ -75,18 +81,27 @@ def keep_bitmaps(
     min_docs: int = 10,
     keep_first: bool = False,
 ) -> DataFrame:
-    """(id, digest, dropped): for each id and text that loses lines, their positions in order.
+    """(id, digest, edges): for each id and text that loses lines, its bitmap.
 
     keep_first leaves the first occurrence of each repeated line where it is."""
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), text_digest(text_col).alias("digest"), text_or_empty(text_col).alias("text"))
     lines = scratch.write("lines", _lines(docs, min_chars))
     bad = scratch.write("repeated", repeated_lines(lines, min_docs))
-    hits = lines.join(bad.hint("merge"), "hash")
+    hits = lines.join(bad.hint("merge"), ["hash", "bucket"])
     if keep_first:
         first = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("pos") == F.col("first_pos"))
-        least = hits.where(first).groupBy("hash").agg(F.min("digest").alias("first_digest"))  # of texts with the same id
-        hits = hits.join(least.hint("merge"), "hash").where(~(first & (F.col("digest") == F.col("first_digest"))))
-    return hits.groupBy("id", "digest").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
+        least = hits.where(first).groupBy("hash", "bucket").agg(F.min("digest").alias("first_digest"))  # of texts with the same id
+        hits = hits.join(least.hint("merge"), ["hash", "bucket"], "left")
+        hits = hits.where(~(first & (F.col("digest") == F.col("first_digest"))))
+    by = hits.groupBy("id", "digest").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
+    return by.select("id", "digest", _edges(F.col("dropped")).alias("edges"))
+
+
+def cut_by(lines: Column, edges: Column) -> Column:
+    """The kept lines of an array of lines, joined by newlines."""
+    starts = F.concat(F.array(F.lit(0)), F.filter(edges, lambda p, i: i % 2 == 1))
+    stops = F.concat(F.filter(edges, lambda p, i: i % 2 == 0), F.array(F.size(lines)))
+    return F.array_join(F.flatten(F.zip_with(starts, stops, lambda p, q: F.slice(lines, p + 1, q - p))), "\n")
 
 
 def dedup_lines(
@@ -104,21 +119,18 @@ def dedup_lines(
     scratch = Scratch(docs.sparkSession, "line-dedup")
     decided = scratch.write("decided", keep_bitmaps(docs, scratch, id_col, text_col, min_chars, min_docs, keep_first))
     scratch.drop("lines", "repeated")
-    decided = decided.select(F.col("id").alias("__id"), F.col("digest").alias("__of"), F.col("dropped").alias("__dropped"))
+    decided = decided.select(F.col("id").alias("__id"), F.col("digest").alias("__of"), F.col("edges").alias("__edges"))
     docs = docs.withColumn("__digest", text_digest(text_col))
     same = docs[f"`{id_col}`"].eqNullSafe(decided["__id"]) & (docs["__digest"] == decided["__of"])
     kept = docs.join(decided.hint("merge"), same, "left").drop("__id", "__of", "__digest")
-    lines = F.split(text_or_empty(text_col), "\n", -1)
-    kept = kept.withColumn("__cut", F.coalesce(F.col("__dropped"), F.array().cast("array<int>"))).drop("__dropped")
-    before, after = F.concat(F.array(F.lit(-1)), "__cut"), F.concat("__cut", F.array(F.size("__lines")))
-    between = F.zip_with(before, after, lambda x, y: F.slice("__lines", x + 2, y - x - 1))
-    left = F.array_join(F.flatten(between), "\n")
-    text = F.when(F.size("__cut") == 0, text_or_empty(text_col)).otherwise(left)
-    kept = kept.withColumn("__lines", lines)
+    kept = kept.withColumn("__lines", F.split(text_or_empty(text_col), "\n", -1))
+    text = F.when(F.col("__edges").isNull(), text_or_empty(text_col)).otherwise(cut_by(F.col("__lines"), F.col("__edges")))
     if report:
-        kept = kept.withColumn("n_lines", F.size("__lines").cast("long")).withColumn("n_dropped", F.size("__cut").cast("long"))
-        kept = kept.withColumn("keep_runs", _runs(F.col("__cut"), F.size("__lines")))
-    return kept.withColumn(text_col, text).drop("__cut", "__lines")
+        edges = F.coalesce("__edges", F.array().cast("array<int>"))
+        odd = F.aggregate(F.transform(edges, lambda p, i: F.when(i % 2 == 1, p).otherwise(-p)), F.lit(0), lambda a, p: a + p)
+        kept = kept.withColumn("n_lines", F.size("__lines").cast("long")).withColumn("n_dropped", odd.cast("long"))
+        kept = kept.withColumn("keep_runs", _lengths(edges, F.size("__lines")))
+    return kept.withColumn(text_col, text).drop("__edges", "__lines")
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:

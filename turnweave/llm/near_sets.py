@@ -1,9 +1,15 @@
-"""Pairs of texts whose sets of word shingles have a Jaccard similarity of LEAST or more, by prefix filter.
+"""Links between texts whose sets of word shingles have a Jaccard similarity of LEAST or more, by prefix filter.
 
-Shingles are 64-bit hashes, ordered by value. Of a set of n, any other that is similar enough
-holds one of its n - ceil(4n/5) + 1 smallest, so texts meet at those only. Pairs that
-length, place and number of the shingles they met at cannot rule out are confirmed by whole
-sets. No pair is lost; a shingle that many texts hold is parted over tasks as a SimHash shard is.
+Shingles are 64-bit hashes in one order: first those that are not frequent in a sample of the texts, then
+the others by their count there. The sample decides the order alone and with it how much work there is, never which
+pairs are found. Of a set of n, any other that is similar enough holds one of its n - ceil(4n/5) + 1
+first, so texts meet at those only. Pairs that length, place and number of the shingles they
+met at cannot rule out are confirmed by whole sets.
+
+For components a group of copies need not be all its pairs. In a first round the texts of a shingle meet one of
+them, another for each shingle, and in a second round only texts that links so far have not joined
+meet each other; so no link between components is lost, and a group of m copies makes some m pairs a
+shingle. A shingle that many texts hold is parted over tasks as a SimHash shard is.
 
 Defined cases: texts of fewer words than a shingle are in no pair.
 """
@@ -25,6 +31,8 @@ SHINGLE = 5
 LEAST = 8
 #: Rows of whole shingles that a task holds at a time, and pairs it looks at together.
 CHUNK = 1_000_000
+#: Texts of the sample that orders the shingles, how many of them hold a frequent one, and the most that are told apart.
+SAMPLE, OFTEN, FREQUENT = 20_000, 10, 100_000
 
 
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -49,13 +57,30 @@ def prefix(n: int) -> int:
     return n - -(-LEAST * n // 10) + 1 if n else 0
 
 
-def _sets(rows: DataFrame, whole: bool) -> DataFrame:
-    """(digest, n, shingles) of (digest, text): all shingles of each or only its prefix."""
+class Order:
+    """The order of shingles: by count in the sample, if frequent there, then by value."""
+
+    def __init__(self, frequent: list[tuple[int, int]]):
+        told = np.array(sorted(frequent), np.int64).reshape(-1, 2)
+        value = told[:, 0].view(np.uint64)
+        order = np.argsort(value)
+        self.value, self.count = value[order], told[order, 1]
+
+    def sorted(self, s: np.ndarray) -> np.ndarray:
+        if not len(self.value):
+            return s
+        at = np.minimum(np.searchsorted(self.value, s), len(self.value) - 1)
+        count = np.where(self.value[at] == s, self.count[at], 0)
+        return s[np.lexsort((s, count))]
+
+
+def _sets(rows: DataFrame, order: Order | None) -> DataFrame:
+    """(digest, n, shingles) of (digest, text): the prefix of each set in an order, or else all shingles."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in found:
             sets = list(shingle_sets(rb.column(1).to_pylist()))
-            cut = [s if whole else s[: prefix(len(s))] for s in sets]
+            cut = [order.sorted(s)[: prefix(len(s))] if order else s for s in sets]
             ends = np.concatenate(([0], np.cumsum([len(s) for s in cut]))).astype(np.int32)
             flat = np.concatenate(cut).view(np.int64) if cut else np.zeros(0, np.int64)
             held = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
@@ -64,68 +89,121 @@ def _sets(rows: DataFrame, whole: bool) -> DataFrame:
     return rows.mapInArrow(run, "digest binary, n int, shingles array<long>")
 
 
-def _met(unit: np.ndarray, n: np.ndarray, at: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows of one shingle that its place in both and their lengths allow."""
-    order = np.lexsort((unit, n, key))
-    unit, n, at, key = (x[order].astype(np.int64) if x is not key else x[order] for x in (unit, n, at, key))
+def sampled_order(rows: DataFrame) -> Order:
+    """Counts in at most about SAMPLE texts, those whose digest falls into a class; at most FREQUENT numbers are collected."""
+    classes = max(1, -(-rows.count() // SAMPLE))
+    some = rows.where(F.pmod(F.xxhash64("digest"), F.lit(classes)) == 0).dropDuplicates(["digest"])
+    by = _sets(some, None).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"))
+    few = by.where(F.col("c") >= OFTEN).orderBy(F.desc("c"), "s").limit(FREQUENT)
+    return Order([(r.s, r.c) for r in few.collect()])
+
+
+def _allowed(i: np.ndarray, j: np.ndarray, unit: np.ndarray, n: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Of the pairs of places i, j those that their lengths and the place of the shingle in both allow."""
+    most = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
+    ok = ((10 + LEAST) * most >= LEAST * (n[i] + n[j])) & (10 * np.minimum(n[i], n[j]) >= LEAST * np.maximum(n[i], n[j])) & (unit[i] != unit[j])
+    i, j = i[ok], j[ok]
+    swap = unit[i] > unit[j]
+    a, b = np.where(swap, j, i), np.where(swap, i, j)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (unit[a], unit[b], n[a], n[b])], ["a", "b", "na", "nb"])
+
+
+def _hub_pairs(unit: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each shingle's texts with one of them that the shingle chooses."""
+    chosen = mix(unit.view(np.uint64) ^ mix(key.view(np.uint64)))
+    order = np.lexsort((chosen, key))
+    unit, n, at, comp, key = (x[order] for x in (unit, n, at, comp, key))
     begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(key))))
-    wide = int(n.max()) + 2
-    place = group * wide + n  # increasing; ends of what is long enough are found in it
-    stop = np.searchsorted(place, group * wide + np.minimum(10 * n // LEAST, wide - 1), side="right")
-    count = stop - np.arange(len(n)) - 1
+    hub = np.repeat(begin, np.diff(np.append(begin, len(key))))
+    j = np.flatnonzero(comp != comp[hub])
+    yield _allowed(hub[j], j, unit, n, at)
+
+
+def _cross_pairs(unit: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each shingle's pairs of texts of different components."""
+    order = np.lexsort((comp, key))
+    unit, n, at, comp, key = (x[order] for x in (unit, n, at, comp, key))
+
+    def end(new: np.ndarray) -> np.ndarray:
+        begin = np.flatnonzero(np.concatenate(([True], new)))
+        return np.repeat(np.append(begin[1:], len(key)), np.diff(np.append(begin, len(key))))
+
+    other = key[1:] != key[:-1]
+    run = end(other | (comp[1:] != comp[:-1]))
+    count = end(other) - run
     upto = np.concatenate(([0], np.cumsum(count)))
     first = 0
     while first < len(n):
         last = max(int(np.searchsorted(upto, upto[first] + CHUNK, side="right")) - 1, first + 1)
         c = count[first:last]
         i = np.repeat(np.arange(first, last), c)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
-        most = np.minimum(at[i], at[j]) + 1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1
-        ok = ((10 + LEAST) * most >= LEAST * (n[i] + n[j])) & (unit[i] != unit[j])
-        i, j = i[ok], j[ok]
-        swap = unit[i] > unit[j]
-        a, b = np.where(swap, j, i), np.where(swap, i, j)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (unit[a], unit[b], n[a], n[b])], ["a", "b", "na", "nb"])
+        yield _allowed(i, run[i] + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c), unit, n, at)
         first = last
 
 
-def similar_pairs(docs: DataFrame, prints: DataFrame, scratch: Scratch, text_col: str = "text") -> DataFrame:
-    """(a, b) fingerprints, not equal, of the texts that are similar. prints: (digest, fp) of the rows of docs."""
-    from .simhash import MOST, _split
+class SimilarSets:
+    """The texts of docs with the prefixes of their sets. prints: (digest, fp) of the rows of docs."""
+
+    def __init__(self, docs: DataFrame, prints: DataFrame, scratch: Scratch, text_col: str = "text"):
+        self.scratch = scratch
+        self.rows = docs.select(text_digest(text_col).alias("digest"), F.col(f"`{text_col}`").cast("string").alias("text"))
+        heads = _sets(self.rows, sampled_order(self.rows)).where("n > 0").dropDuplicates(["digest"])
+        heads = scratch.write("heads", heads.withColumn("unit", F.monotonically_increasing_id()))
+        of = prints.select("digest", "fp").dropDuplicates(["digest"])
+        self.units = scratch.write("units", heads.join(of.hint("merge"), "digest").select("unit", "digest", "fp", "n", "shingles"))
+        scratch.drop("heads")
+
+    def _met(self, joined: DataFrame | None, pairs) -> DataFrame:
+        """(a, b, na, nb) units that meet at a shingle, for each; joined: (node, root) of fingerprints that links join."""
+        from .simhash import MOST, _split
+
+        if joined is None:
+            units = self.units.withColumn("comp", F.col("unit"))
+        else:
+            units = self.units.join(joined.hint("merge"), F.col("fp") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "fp"))
+        posted = units.select("unit", "n", "comp", F.posexplode("shingles").alias("at", "shard"))
+        posted = posted.select(F.struct("unit", "n", "at", "comp").alias("fp"), "shard")
+
+        def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size = [], 0
+            for rb in found:
+                held.append([rb.column(c).to_numpy().astype(np.int64) for c in range(5)])
+                size += rb.num_rows
+                if size >= CHUNK:
+                    cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+                    cut = int(np.searchsorted(cols[4], cols[4][-1]))  # where the last shingle begins; it may go on
+                    if cut:
+                        yield from pairs(*[c[:cut] for c in cols])
+                    held, size = [[c[cut:] for c in cols]], size - cut
+            if size:
+                yield from pairs(*[np.concatenate(c) for c in zip(*held, strict=True)])
+
+        dealt = _split(posted, self.scratch, MOST).select("fp.unit", "fp.n", "fp.at", "fp.comp", "shard").repartition("shard").sortWithinPartitions("shard")
+        return dealt.mapInArrow(run, "a long, b long, na long, nb long")
+
+    def _confirmed(self, met: DataFrame) -> DataFrame:
+        """(a, b) fingerprints, not equal, of the pairs of units that are similar by their whole sets."""
+        one = lambda s: self.units.select(F.col("unit").alias(s), F.col("digest").alias(f"digest_{s}"), F.col("fp").alias(f"fp_{s}")).hint("merge")
+        maybe = self.scratch.write("maybe", met.join(one("a"), "a").join(one("b"), "b").where("fp_a <> fp_b"))
+        need = maybe.select(F.col("digest_a").alias("digest")).union(maybe.select("digest_b")).distinct()
+        whole = self.scratch.write("whole", _sets(self.rows.join(need.hint("merge"), "digest", "left_semi").dropDuplicates(["digest"]), None))
+        side = lambda s: whole.select(F.col("digest").alias(f"digest_{s}"), F.col("shingles").alias(f"s_{s}")).hint("merge")
+        both = F.size(F.array_intersect("s_a", "s_b")).cast("long")
+        sure = maybe.join(side("a"), "digest_a").join(side("b"), "digest_b").where((10 + LEAST) * both >= LEAST * (F.col("na") + F.col("nb")))
+        return self.scratch.write("sure", sure.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
+
+    def hub_links(self, joined: DataFrame) -> DataFrame:
+        """Similar pairs of the first round."""
+        return self._confirmed(self._met(joined, _hub_pairs).distinct())
+
+    def cross_links(self, joined: DataFrame | None = None) -> DataFrame:
+        """All similar pairs of fingerprints that ``joined`` does not join; without it, all."""
+        met = self._met(joined, _cross_pairs).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+        left = lambda n: F.expr(f"{n} - ({n} - ceil({LEAST} * {n} / 10) + 1)")  # noqa: E731  shingles that are not of the prefix
+        most = F.col("c") + F.greatest(left("na"), left("nb"))
+        return self._confirmed(met.where((10 + LEAST) * most >= LEAST * (F.col("na") + F.col("nb"))))
 
-    rows = docs.select(text_digest(text_col).alias("digest"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    heads = _sets(rows, False).where("n > 0").dropDuplicates(["digest"])
-    heads = scratch.write("heads", heads.withColumn("unit", F.monotonically_increasing_id()))
-    posted = heads.select("unit", "n", F.posexplode("shingles").alias("at", "shard"))
-    posted = posted.select(F.struct("unit", "n", "at").alias("fp"), "shard")
 
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for rb in found:
-            held.append([rb.column(c).to_numpy() for c in range(4)])
-            size += rb.num_rows
-            if size >= CHUNK:
-                cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-                cut = int(np.searchsorted(cols[3], cols[3][-1]))  # where the last shingle begins; it may go on
-                if cut:
-                    yield from _met(*[c[:cut] for c in cols])
-                held, size = [[c[cut:] for c in cols]], size - cut
-        if size:
-            yield from _met(*[np.concatenate(c) for c in zip(*held, strict=True)])
-
-    dealt = _split(posted, scratch, MOST).select("fp.unit", "fp.n", "fp.at", "shard").repartition("shard").sortWithinPartitions("shard")
-    met = dealt.mapInArrow(run, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
-    left = lambda n: F.expr(f"{n} - ({n} - ceil({LEAST} * {n} / 10) + 1)")  # noqa: E731  shingles that are not of the prefix
-    most = F.col("c") + F.greatest(left("na"), left("nb"))
-    met = met.where((10 + LEAST) * most >= LEAST * (F.col("na") + F.col("nb")))
-    of = heads.join(prints.select("digest", "fp").dropDuplicates(["digest"]).hint("merge"), "digest").select("unit", "digest", "fp")
-    of = scratch.write("units", of)
-    one = lambda s: of.select(F.col("unit").alias(s), F.col("digest").alias(f"digest_{s}"), F.col("fp").alias(f"fp_{s}")).hint("merge")
-    maybe = scratch.write("maybe", met.join(one("a"), "a").join(one("b"), "b").where("fp_a <> fp_b"))
-    need = maybe.select(F.col("digest_a").alias("digest")).union(maybe.select("digest_b")).distinct()
-    whole = scratch.write("whole", _sets(rows.join(need.hint("merge"), "digest", "left_semi").dropDuplicates(["digest"]), True))
-    side = lambda s: whole.select(F.col("digest").alias(f"digest_{s}"), F.col("shingles").alias(f"s_{s}")).hint("merge")
-    both = F.size(F.array_intersect("s_a", "s_b")).cast("long")
-    sure = maybe.join(side("a"), "digest_a").join(side("b"), "digest_b").where((10 + LEAST) * both >= LEAST * (F.col("na") + F.col("nb")))
-    return sure.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+def similar_pairs(docs: DataFrame, prints: DataFrame, scratch: Scratch, text_col: str = "text") -> DataFrame:
+    """(a, b) fingerprints, not equal, of all texts that are similar. prints: (digest, fp) of the rows of docs."""
+    return SimilarSets(docs, prints, scratch, text_col).cross_links()

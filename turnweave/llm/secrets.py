@@ -8,10 +8,11 @@ Only DataFrame functions. The models are tables of at most 65 x 65 counts, whate
 corpus, and are put into the plan as one literal array. Texts are scanned whole; positions
 come from the lengths of the pieces between matches.
 
-Fitting: the samples come from at most ``sample_docs`` documents, those with the smallest
-hash of their id: values the patterns find are secrets, the other words with letters are
-identifiers. A transition's count is smoothed by the frequency of the character it leads to, so
-that without secrets the random model is uniform.
+Fitting: the samples come from at most ``sample_docs`` documents, those with the smallest hash of
+their id. Labelled random are base64 digests of their words, random by construction whatever the
+texts hold, and the keys and hexadecimal strings that the patterns find; labelled ordinary are their other words and
+identifiers. What stands after ``password:`` is in neither, as it may be a word. A transition's count is
+smoothed by the frequency of the character it leads to.
 
 Defined cases: a null text is empty and has no spans; rows that repeat an id have a row
 each; an empty table gives an empty result; extra columns are ignored.
@@ -40,23 +41,47 @@ STATES = len(ALPHABET) + 1
 SPAN = "array<struct<start:int,end:int,kind:int>>"
 
 
+#: Elements of an array that are summed one after the other.
+STRETCH = 256
+
+
+def _before(values: Column) -> Column:
+    """The sum of the values before each, in stretches, so that the work grows little faster than their number."""
+    zero = F.lit(0).cast("long")
+
+    def over(part: Column) -> Column:
+        start = F.struct(zero.alias("at"), F.expr("cast(array() as array<bigint>)").alias("out"))
+        return F.aggregate(part, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    first = F.filter(F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(STRETCH)), lambda i: i <= F.size(values))
+    parts = F.transform(first, lambda i: over(F.slice(values, i, STRETCH)))
+
+    def joined(parts: Column) -> Column:
+        ahead = over(F.transform(parts, lambda p: p["at"]))["out"]
+        return F.flatten(F.zip_with(parts, ahead, lambda p, at: F.transform(p["out"], lambda x: x + at)))
+
+    return F.element_at(F.transform(F.array(parts), joined), 1)
+
+
 def spans_of(text: Column, pattern: str, kind: int, least: int, group: int) -> Column:
     """Leftmost non-overlapping matches whose group has ``least`` characters, as spans in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    size = lambda xs: F.transform(xs, lambda x: F.length(x).cast("long"))
     valued = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    pieces = F.arrays_zip(
-        gaps.alias("gap"), F.transform(found, lambda x: F.length(x)).alias("n"), F.transform(valued, lambda x: F.length(x)).alias("v")
-    )
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("spans"))
+    given = F.struct(size(F.split(text, pattern, -1)).alias("gap"), size(found).alias("n"), size(valued).alias("v"))
+
+    def placed(g: Column) -> Column:
+        whole = F.struct(g["n"].alias("n"), g["v"].alias("v"), g["gap"].alias("gap"), _before(F.zip_with(g["gap"], g["n"], lambda x, y: x + F.coalesce(y, F.lit(0)))).alias("at"))
 
-    def step(acc, p):
-        begin = acc["at"] + p["gap"]
-        end = begin + F.coalesce(p["n"], F.lit(0))
-        span = F.array(F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind")))
-        return F.struct(end.alias("at"), F.when(p["v"] >= least, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        def spans(w: Column) -> Column:
+            starts = F.zip_with(w["at"], w["gap"], lambda x, y: x + y)
+            cut = F.arrays_zip(starts.alias("start"), w["n"].alias("n"), w["v"].alias("v"))
+            some = F.filter(cut, lambda p: p["v"] >= least)
+            return F.transform(some, lambda p: F.struct(p["start"].cast("int").alias("start"), (p["start"] + p["n"]).cast("int").alias("end"), F.lit(kind).alias("kind")))
 
-    spans = F.aggregate(pieces, start, step)["spans"]
+        return F.element_at(F.transform(F.array(whole), spans), 1)
+
+    spans = F.element_at(F.transform(F.array(given), placed), 1)
     return F.when(text.rlike(pattern), spans).otherwise(F.expr(f"cast(array() as {SPAN})"))
 
 
@@ -77,20 +102,17 @@ def _long(values: Column, least: int) -> Column:
 
 
 def labelled_samples(docs: DataFrame, sample_docs: int) -> DataFrame:
-    """(token, label) of the documents with the smallest hashes: 1 for what the patterns find, else 0."""
+    """(token, label) of the documents with the smallest hashes: 1 random, 0 ordinary."""
     ids = docs.select("id").where("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_docs)
-    few = docs.where(F.col("id").isin([r["id"] for r in ids.collect()])).select("text")
-    values = F.array_distinct(
-        F.concat(*[_long(F.regexp_extract_all("text", F.lit(p), F.lit(g)), least) for _, p, least, g in KINDS])
-    )
-    found = few.select("text", values.alias("values"))
-    secret = found.select(F.explode("values").alias("token"), F.lit(1).alias("label"))
-    words = F.filter(
-        F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_=-]{4,}+"), F.lit(0)),
-        lambda w: w.rlike("[A-Za-z]") & ~w.rlike("[0-9]{3}"),
-    )
-    plain = found.select(F.explode(F.array_except(words, F.col("values"))).alias("token"), F.lit(0).alias("label"))
-    return secret.unionByName(plain)
+    few = docs.join(ids.hint("broadcast"), "id").select("text")  # sample_docs rows
+    values, *keys = [_long(F.regexp_extract_all("text", F.lit(p), F.lit(g)), least) for _, p, least, g in KINDS]
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_=-]{4,}+"), F.lit(0)))
+    found = few.select(F.array_distinct(F.concat(*keys)).alias("keys"), values.alias("values"), words.alias("words"))
+    digest = lambda w: F.regexp_replace(F.base64(F.unhex(F.sha2(w, 256))), "=", "")
+    random = found.select(F.explode(F.concat("keys", F.transform(F.slice("words", 1, 10), digest))).alias("token"), F.lit(1).alias("label"))
+    # a long one with digits may be a secret itself
+    plain = F.filter(F.array_except("words", F.concat("keys", "values")), lambda w: (F.length(w) < 20) | ~w.rlike("[0-9]"))
+    return random.unionByName(found.select(F.explode(plain).alias("token"), F.lit(0).alias("label")))
 
 
 def fit_markov(samples: DataFrame, smoothing: float = 5.0) -> list[float]:
@@ -150,10 +172,11 @@ def scan(
     none = F.expr(f"cast(array() as {SPAN})")
     rows = docs.select("id", base_spans(F.col("text")).alias("base"), F.when(has, tokens).alias("tokens"), F.when(has, spans_of(F.col("text"), TOKEN, kind, 20, 0)).alias("at"))
     pairs = F.arrays_zip(F.col("tokens").alias("token"), F.col("at").alias("at"))
-    free = F.filter(pairs, lambda p: ~F.exists("base", lambda b: (b["start"] < p["at"]["end"]) & (p["at"]["start"] < b["end"])))
     score = lambda p: markov_score(p["token"], model)
-    random = F.filter(free, lambda p: (score(p) >= least_score) & (score(p) >= least_mean * F.length(p["token"])))
-    added = F.coalesce(F.transform(random, lambda p: p["at"]), none)
+    enough = lambda s, p: (s >= least_score) & (s >= least_mean * F.length(p["token"]))
+    random = F.filter(pairs, lambda p: F.exists(F.array(score(p)), lambda s: enough(s, p)))
+    free = F.filter(random, lambda p: ~F.exists("base", lambda b: (b["start"] < p["at"]["end"]) & (p["at"]["start"] < b["end"])))
+    added = F.coalesce(F.transform(free, lambda p: p["at"]), none)
     return rows.select("id", "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
 

@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, pick, text_digest
-from .near_sets import similar_pairs
-from .stars import components
+from .near_sets import SimilarSets
+from .stars import components, with_least
 
 SHINGLE = 4
 RADIUS = 4
@@ -43,6 +43,8 @@ FRONTIER = 2_000_000
 MOST = 50_000
 #: Large shards whose list is broadcast.
 SHORT = 100_000
+#: Parts of the rows of one fingerprint.
+PARTS = 128
 #: Rows of whole shards that a task holds at a time.
 CHUNK = 1_000_000
 
@@ -210,17 +212,22 @@ def near_duplicates(
     """(id, fp, component) of every row, with digest also that; component: the smallest id that links reach from it.
     With similar (which needs digest) also texts of similar shingle sets are linked."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.write("prints", fingerprints(docs, id_col, text_col, shingle, digest))
-    reps = scratch.write("reps", prints.groupBy("fp").agg(F.min("id").alias("rep")))
-    links = near_links(reps.select("fp"), scratch, radius, agree)
+    prints = fingerprints(docs, id_col, text_col, shingle, digest).withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int"))
+    prints = scratch.write("prints", prints)
+    # a fingerprint's rows in parts, so that many copies are not one key
+    parts = scratch.write("parts", prints.groupBy("fp", "part").agg(F.min("id").alias("rep")))
+    reps = scratch.write("reps", parts.groupBy("fp").agg(F.min("rep").alias("rep")))
+    roots = scratch.write("roots", components(near_links(reps.select("fp"), scratch, radius, agree), scratch))
     if similar:
-        links = links.unionByName(similar_pairs(docs, prints, scratch, text_col))
-    roots = components(links, scratch)
-    joined = reps.join(roots.hint("merge"), reps["fp"] == roots["node"], "left")
-    joined = scratch.write("rooted", joined.select("fp", "rep", F.coalesce("root", "fp").alias("root")))
-    ids = joined.groupBy("root").agg(F.min("rep").alias("component"))
-    by_fp = joined.join(ids.hint("merge"), "root").select("fp", "component")
-    return prints.join(by_fp.hint("merge"), "fp").select(*prints.columns, "component")
+        sets = SimilarSets(docs, prints, scratch, text_col)
+        for round_ in (sets.hub_links, sets.cross_links):
+            edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(round_(roots))
+            roots = scratch.write("roots", components(edges, scratch))
+    joined = reps.join(roots.hint("merge"), reps["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    by_fp = with_least(scratch.write("rooted", joined), "root", "rep", "fp", "component").select("fp", "component")
+    by_part = parts.select("fp", "part").join(by_fp.hint("merge"), "fp")
+    found = prints.join(by_part.hint("merge"), ["fp", "part"])
+    return found.select("id", "fp", *["digest"] * digest, "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: bool = False) -> DataFrame:

@@ -19,12 +19,16 @@ offsets:
 4. The windows of the others are ranked one by one, past the threshold; the first of equals stay.
 
 A document then keeps what no window that fell covers. Names that are compared in 1 and 4 have
-128 bits; in 2 and 3 a clash of shorter ones only leaves more for 4. Ties are broken by id, then start. Equal contexts meet only as map-side minima, so
+128 bits; in 2 and 3 a clash of shorter ones only leaves more for 4. Ties are broken by id, then text, then start.
+Equal contexts meet only as map-side minima, so
 a passage that a third of all documents hold is one row for each task; no task sees a group whole.
+A text is looked at in chunks, and what falls and stays is told in stretches, so that a long text needs
+little more memory than its own bytes.
 
-Defined cases: a null text is empty; a null doc_id comes before all others; rows that repeat
-an id count as one document: a start kept in one is kept in the other. Extra columns are ignored; an empty
-table gives an empty result.
+Defined cases: a null text is empty; a null doc_id comes before all others. Rows that repeat an id are
+documents of their own, one after the other in the order of a hash of their texts; of rows equal in id and text,
+which are the same but for that, one counts as the first. Extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -37,11 +41,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick
+from .common import Scratch, pick, text_or_empty
 
 LENGTH = 100
 SEED_BYTES = 24
-#: Bytes of text that are looked at together; a longer text is looked at alone.
+#: Bytes of text that are looked at together.
 CHUNK = 1 << 20
 _A, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -94,17 +98,23 @@ def anchors(buf: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray
     return doc[first], at[first], at[last], place, name[place], before, after
 
 
-def _chunks(texts: list) -> Iterator[tuple[int, bytes, np.ndarray]]:
-    at, size, held = 0, 0, []
+def _chunks(texts: list, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, bytes, np.ndarray]]:
+    """(text, its bytes before, bytes, where each piece begins) of stretches of pieces of texts. Pieces of
+    a text overlap by length - 1 bytes, so that each window is in one of them."""
+    doc, before, held, size = [], [], [], 0
     for i, t in enumerate(texts):
         b = (t or "").encode("utf-8", "surrogatepass")
-        if held and size + len(b) > CHUNK:
-            yield at, b"".join(held), np.concatenate(([0], np.cumsum([len(x) for x in held])))
-            at, size, held = i, 0, []
-        held.append(b)
-        size += len(b)
+        for at in range(0, max(len(b) - length + 1, 1), CHUNK):
+            piece = b[at : at + CHUNK + length - 1]
+            if held and size + len(piece) > CHUNK:
+                yield np.array(doc), np.array(before), b"".join(held), np.concatenate(([0], np.cumsum([len(x) for x in held])))
+                doc, before, held, size = [], [], [], 0
+            doc.append(i)
+            before.append(at)
+            held.append(piece)
+            size += len(piece)
     if held:
-        yield at, b"".join(held), np.concatenate(([0], np.cumsum([len(x) for x in held])))
+        yield np.array(doc), np.array(before), b"".join(held), np.concatenate(([0], np.cumsum([len(x) for x in held])))
 
 
 def _digests(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -114,22 +124,24 @@ def _digests(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def contexts(docs: DataFrame, length: int) -> DataFrame:
-    """(c1, c2, anchor, id, lo, n, gap, before, after): name of each context and of its anchor, its
-    first window and their number, bytes from there to the anchor, short names of its halves."""
+    """(c1, c2, anchor, id, of, place, halves): names of each context and of its anchor, its text's
+    id and hash, its first window with their number and the bytes from there to the anchor (_place), short names of its halves."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            for at, raw, begin in _chunks(rb.column(1).to_pylist()):
+            for text, ahead, raw, begin in _chunks(rb.column(2).to_pylist(), length):
                 doc, lo, hi, place, anchor, before, after = anchors(np.frombuffer(raw, np.uint8), begin, length)
                 c = _digests(raw, lo, hi + length)
-                ids = rb.column(0).take(pa.array(doc + at))
+                at = pa.array(text[doc])
+                where = ((lo - begin[doc] + ahead[doc]) << 32) | ((hi - lo + 1) << 16) | (place - lo)
+                halves = (before & np.uint64(0xFFFFFFFF00000000)) | (after >> np.uint64(32))
                 yield pa.RecordBatch.from_arrays(
-                    [*map(pa.array, (c[:, 0], c[:, 1], anchor.view(np.int64))), ids, pa.array((lo - begin[doc]).astype(np.int32)), pa.array((hi - lo + 1).astype(np.int32)), pa.array((place - lo).astype(np.int32)), *(pa.array((x >> np.uint64(32)).astype(np.uint32).view(np.int32)) for x in (before, after))],
-                    ["c1", "c2", "anchor", "id", "lo", "n", "gap", "before", "after"],
+                    [*map(pa.array, (c[:, 0], c[:, 1], anchor.view(np.int64))), rb.column(0).take(at), rb.column(1).take(at), pa.array(where), pa.array(halves.view(np.int64))],
+                    ["c1", "c2", "anchor", "id", "of", "place", "halves"],
                 )
 
-    return docs.mapInArrow(run, f"c1 long, c2 long, anchor long, id {kind}, lo int, n int, gap int, before int, after int")
+    return docs.mapInArrow(run, f"c1 long, c2 long, anchor long, id {kind}, of long, place long, halves long")
 
 
 def _packed(lo, n):
@@ -138,58 +150,75 @@ def _packed(lo, n):
 
 
 def _unpack(lists: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of a row's stretches, in order."""
     got = lists[i].values
-    x = got.to_numpy(zero_copy_only=False).astype(np.int64) if got is not None else np.zeros(0, np.int64)
+    x = np.sort(got.to_numpy(zero_copy_only=False).astype(np.int64)) if got is not None else np.zeros(0, np.int64)
     return x >> 32, x & 0xFFFFFFFF
 
 
+def _united(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches, given by rising starts, as ones that neither meet nor touch."""
+    if not len(lo):
+        return lo, hi
+    reached = np.maximum.accumulate(hi)
+    new = np.concatenate(([True], lo[1:] > reached[:-1]))
+    return lo[new], reached[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(lo) - 1]))]
+
+
+def _told(docs: DataFrame, stretches: DataFrame, how: str) -> DataFrame:
+    """docs with the stretches (id, of, stretches) of their rows."""
+    told = stretches.select(F.col("id").alias("__id"), F.col("of").alias("__of"), "stretches").hint("merge")
+    rows = docs.join(told, F.col("id").eqNullSafe(F.col("__id")) & (F.col("of") == F.col("__of")), how)
+    return rows.select("id", "of", "text", "stretches")
+
+
 def windows(docs: DataFrame, open_starts: DataFrame, length: int) -> DataFrame:
-    """(w1, w2, id, lo) of every window in the stretches of open_starts (id, stretches)."""
+    """(w1, w2, id, of, lo) of every window in the stretches of open_starts (id, of, stretches)."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             for i in range(rb.num_rows):
-                raw = (rb.column(1)[i].as_py() or "").encode("utf-8", "surrogatepass")
-                lo, n = _unpack(rb.column(2), i)
-                starts = np.unique(np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-                starts = starts[starts + length <= len(raw)]
-                w = _digests(raw, starts, starts + length)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(w[:, 0]), pa.array(w[:, 1]), rb.column(0).take(pa.array(np.full(len(starts), i))), pa.array(starts.astype(np.int32))], ["w1", "w2", "id", "lo"]
-                )
-
-    told = open_starts.select(F.col("id").alias("__id"), "stretches").hint("merge")
-    rows = docs.join(told, F.col("id").eqNullSafe(F.col("__id"))).select("id", "text", "stretches")
-    return rows.mapInArrow(run, f"w1 long, w2 long, id {kind}, lo int")
-
-
-def removed(length_of_text: int, lo: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
-    """Marks the bytes that a window covers whose start is in no kept stretch."""
-    n_windows = length_of_text - length + 1
-    if n_windows <= 0:
-        return np.zeros(length_of_text, bool)
-    edges = np.zeros(n_windows + 1, np.int32)
-    ok = lo < n_windows
-    np.add.at(edges, lo[ok], 1)
-    np.add.at(edges, np.minimum(lo[ok] + n[ok], n_windows), -1)
-    fell = np.flatnonzero(np.cumsum(edges[:-1]) == 0)
-    cover = np.zeros(length_of_text + 1, np.int32)
-    np.add.at(cover, fell, 1)
-    np.add.at(cover, fell + length, -1)
-    return np.cumsum(cover[:-1]) > 0
+                raw = (rb.column(2)[i].as_py() or "").encode("utf-8", "surrogatepass")
+                lo, n = _unpack(rb.column(3), i)
+                lo, hi = _united(lo, np.minimum(lo + n, len(raw) - length + 1))
+                for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
+                    for at in range(a, b, CHUNK):
+                        starts = np.arange(at, min(b, at + CHUNK))
+                        w = _digests(raw, starts, starts + length)
+                        row = pa.array(np.full(len(starts), i))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(w[:, 0]), pa.array(w[:, 1]), rb.column(0).take(row), rb.column(1).take(row), pa.array(starts.astype(np.int32))], ["w1", "w2", "id", "of", "lo"]
+                        )
+
+    return _told(docs, open_starts, "inner").mapInArrow(run, f"w1 long, w2 long, id {kind}, of long, lo int")
+
+
+def removed(n_bytes: int, lo: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the bytes that a window covers whose start is in no kept stretch (lo, n)."""
+    n_windows = max(n_bytes - length + 1, 0)
+    lo, hi = _united(lo, np.minimum(lo + n, n_windows))
+    fell, until = np.concatenate(([0], hi)), np.concatenate((lo, [n_windows]))
+    some = fell < until
+    return _united(fell[some], until[some] - 1 + length)
 
 
 def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(id, n_bytes, n_removed, spans, kept): the bytes left of each text, and the (start, end) of what went."""
+    """(id, n_bytes, n_removed, spans, kept): the bytes left of each text, and the (start, end) of what went.
+    length: under 65,536."""
+    if not 0 < length < 1 << 16:
+        raise ValueError("length is from 1 to 65,535")
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
     kind = docs.schema[id_col].dataType.simpleString()
-    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text_or_empty(text_col)).alias("of"), F.col(f"`{text_col}`").cast("string").alias("text"))
     found = contexts(docs, length)
-    firsts = found.groupBy("c1", "c2").agg(F.min(F.struct("id", "lo", "anchor", "n", "gap", "before", "after")).alias("f")).select("f.*")
+    firsts = found.groupBy("c1", "c2").agg(F.min(F.struct("id", "of", "place", "anchor", "halves")).alias("f")).select("f.*")
     firsts = scratch.write("firsts", firsts)
     shared = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("anchor").alias("a"))
-    judged = firsts.join(shared.hint("merge"), F.col("anchor") == F.col("a"), "left")
+    lo = F.shiftright("place", 32).cast("int").alias("lo")
+    n, gap = (F.shiftright("place", x).bitwiseAND(F.lit(0xFFFF)).cast("int").alias(y) for x, y in ((16, "n"), (0, "gap")))
+    before, after = F.shiftright("halves", 32).cast("int").alias("before"), F.shiftright(F.shiftleft("halves", 32), 32).cast("int").alias("after")
+    judged = firsts.join(shared.hint("merge"), F.col("anchor") == F.col("a"), "left").select("id", "of", "anchor", "a", lo, n, gap, before, after)
     whole = F.array(F.struct(F.lit(0).alias("side"), F.lit(0).alias("name"), F.col("lo").alias("lo"), F.col("n").alias("n")))
     # the windows that reach half behind the anchor begin no later than cut, the others after it
     cut = F.greatest(F.lit(0), F.least("n", F.col("gap") - reach(length)))
@@ -197,40 +226,48 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.struct(F.lit(1).alias("side"), F.col("before").alias("name"), F.col("lo").alias("lo"), cut.alias("n")),
         F.struct(F.lit(2).alias("side"), F.col("after").alias("name"), (F.col("lo") + cut).alias("lo"), (F.col("n") - cut).alias("n")),
     )
-    parts = judged.select("id", "anchor", F.explode(F.when(F.col("a").isNull(), whole).otherwise(halves)).alias("h")).select("id", "anchor", "h.*").where("n > 0")
+    parts = judged.select("id", "of", "anchor", F.explode(F.when(F.col("a").isNull(), whole).otherwise(halves)).alias("h")).select("id", "of", "anchor", "h.*").where("n > 0")
     parts = scratch.write("parts", parts)
     known = parts.where("side > 0")
     shared = known.groupBy("anchor", "side", "name").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m").withColumn("open", F.lit(True))
-    known = known.join(shared.hint("merge"), ["anchor", "side", "name"], "left").select("id", "lo", "n", F.coalesce("open", F.lit(False)).alias("open"))
-    judged = parts.where("side = 0").select("id", "lo", "n", F.lit(False).alias("open")).unionByName(known)
-    judged = scratch.write("judged", judged.select("id", _packed(F.col("lo"), F.col("n")).alias("s"), "open"))
-    scratch.drop("parts")
-    scratch.drop("firsts")
-    open_starts = judged.where("open").groupBy("id").agg(F.collect_list("s").alias("stretches"))
+    known = known.join(shared.hint("merge"), ["anchor", "side", "name"], "left").select("id", "of", "lo", "n", F.coalesce("open", F.lit(False)).alias("open"))
+    judged = parts.where("side = 0").select("id", "of", "lo", "n", F.lit(False).alias("open")).unionByName(known)
+    judged = scratch.write("judged", judged.select("id", "of", _packed(F.col("lo"), F.col("n")).alias("s"), "open"))
+    scratch.drop("parts", "firsts")
+    open_starts = judged.where("open").groupBy("id", "of").agg(F.collect_list("s").alias("stretches"))
     seen = windows(docs, open_starts, length)
-    stay = seen.groupBy("w1", "w2").agg(F.min(F.struct("id", "lo")).alias("f")).select("f.id", _packed(F.col("f.lo"), F.lit(1)).alias("s"))
+    stay = seen.groupBy("w1", "w2").agg(F.min(F.struct("id", "of", "lo")).alias("f")).select("f.id", "f.of", _packed(F.col("f.lo"), F.lit(1)).alias("s"))
     stay = scratch.write("stay", stay)
-    kept = judged.where("NOT open").select("id", "s").unionByName(stay).groupBy("id").agg(F.collect_list("s").alias("kept"))
-    told = kept.select(F.col("id").alias("__id"), "kept").hint("merge")
-    rows = docs.join(told, F.col("id").eqNullSafe(F.col("__id")), "left").select("id", "text", "kept")
+    kept = judged.where("NOT open").select("id", "of", "s").unionByName(stay).groupBy("id", "of").agg(F.collect_list("s").alias("stretches"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             sizes, gone, spans, left = [], [], [], []
             for i in range(rb.num_rows):
-                raw = np.frombuffer((rb.column(1)[i].as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
-                out = removed(len(raw), *_unpack(rb.column(2), i), length)
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], out.astype(np.int8), [0]))))
+                raw = (rb.column(2)[i].as_py() or "").encode("utf-8", "surrogatepass")
+                lo, hi = (x.tolist() for x in removed(len(raw), *_unpack(rb.column(3), i), length))
                 sizes.append(len(raw))
-                gone.append(int(out.sum()))
-                spans.append([{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()])
-                left.append(raw[~out].tobytes())
+                gone.append(sum(hi) - sum(lo))
+                spans.append([{"start": a, "end": b} for a, b in zip(lo, hi, strict=True)])
+                left.append(b"".join(raw[a:b] for a, b in zip([0, *hi], [*lo, len(raw)], strict=True)) if lo else raw)
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [rb.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, span), pa.array(left, pa.binary())], ["id", "n_bytes", "n_removed", "spans", "kept"]
             )
 
-    return rows.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    schema = f"id {kind}, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary"
+    twice = scratch.write("twice", docs.groupBy("id", "of").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+    if twice.isEmpty():
+        return _told(docs, kept, "left").mapInArrow(run, schema)
+    # of rows equal in id and text the first one's stretches are the text's; the others lose all windows
+    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("of") == F.col("__of"))
+    keys = twice.select(F.col("id").alias("__id"), F.col("of").alias("__of"), "rows").hint("merge")
+    again = docs.join(keys, same).groupBy("id", "of", "rows").agg(F.first("text").alias("text"))
+    again = scratch.write("again", again)
+    firsts = docs.join(keys, same, "left_anti").unionByName(again.select("id", "of", "text"))
+    others = again.select("id", "of", "text", F.explode(F.sequence(F.lit(2).cast("long"), "rows")).alias("nth")).drop("nth")
+    others = others.withColumn("stretches", F.lit(None).cast("array<long>"))
+    return _told(firsts, kept, "left").unionByName(others).mapInArrow(run, schema)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,20 +1,21 @@
 """Exact top-k inner products by columnar branch and bound.
 
-Vectors become integers and are packed into blocks; a block keeps its vectors dimension by
-dimension (vertical layout), dimensions by falling mass, with the mass that remains after each
-group of dimensions. A block of queries meets each block of candidates: scores grow by one
-group of dimensions at a time, and after each a candidate whose score plus the bound of the
-rest (the product of remaining norms) cannot reach the query's k-th best is dropped, the rest
-compacted. Bests found in earlier blocks of a partition carry over.
+Vectors become integers and are packed into blocks; a block is kept dimension by
+dimension (vertical layout), dimensions by falling mass of the block. A block of queries meets each block of
+candidates: scores grow by one group of dimensions at a time, and after each a candidate
+whose score plus the bound of the rest (the product of remaining norms) cannot reach the
+query's k-th best is dropped, the rest compacted. Bests found in earlier blocks of a cell carry
+over.
 
-Queries are dealt in blocks beside candidate blocks by an equi-join on the query block's
-number; nothing is broadcast or collected.
+Query groups and candidate groups form a grid of cells of about WORK scores. A query block is
+sent to the cells of its row, a candidate block to those of its column; the number of rows and columns is
+that which sends least for the cells there must be. Nothing is broadcast or collected.
 
 Defined cases: a vector that is null or has null or non-finite components takes no part, nor
-does a null id. Vectors of unequal length are padded with zeros. Components saturate at
-2**26 after scaling, so that sums stay within a long. Rows with the query's own id are never
-its candidates; a query id given twice is one query, its first vector in order. Extra columns
-are ignored; an empty table gives an empty result.
+does a null id. Vectors of unequal length are padded with zeros. A component or a score that
+does not fit a long ends the job with an error. Rows with the query's own id are never
+its candidates. If ids repeat, each row is a candidate, and the rows of a query id are ranked together: a
+candidate comes once for each. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +31,10 @@ from .common import Scratch
 
 SCALE = 1024
 GROUP = 16
-LIMIT = 1 << 26
+#: Scores of a cell of the grid.
+WORK = 1 << 30
+#: Integers below this times the norms' product are exact as doubles, or as longs.
+EXACT_DOUBLE, EXACT_LONG = 2**52, 2**62
 
 
 def quantise(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
@@ -38,28 +42,28 @@ def quantise(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCAL
     v = F.col(f"`{vector_col}`").cast("array<double>")
     odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.where(F.col(f"`{id_col}`").isNotNull() & v.isNotNull() & ~odd)
-    whole = F.transform(v, lambda x: F.floor(F.greatest(F.least(x * scale, F.lit(float(LIMIT))), F.lit(float(-LIMIT)))).cast("int"))
+    large = F.raise_error(F.lit("a component does not fit a long")).cast("long")
+    whole = F.transform(v, lambda x: F.when(F.abs(x * scale) < 2.0**63, F.floor(x * scale).cast("long")).otherwise(large))
     return rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), whole.alias("v"))
 
 
-def _matrix(vectors: list) -> np.ndarray:
+def _vertical(vectors: list) -> tuple[np.ndarray, np.ndarray]:
+    """Dimensions by falling mass, and the vectors' components there, dimension by dimension."""
     width = max((len(v) for v in vectors), default=0)
-    out = np.zeros((len(vectors), width), np.float64)
+    rows = np.zeros((len(vectors), width), np.int64)
     for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
-    return out
+        rows[i, : len(v)] = v
+    order = np.argsort(-(rows.astype(np.float64) ** 2).sum(axis=0), kind="stable")
+    return order, np.ascontiguousarray(rows[:, order].T)
 
 
 def _blocks(rows: DataFrame, size: int, by: str) -> DataFrame:
-    """(block, ids, m, width): blocks of about ``size`` vectors; m holds them as doubles, row by row."""
+    """(block, ids, dims, m): blocks of ``size`` vectors at most, of one value of column ``by`` each."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(b: int, ids: list, vs: list) -> pa.RecordBatch:
-            m = _matrix(vs)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([b]), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), pa.array([m.shape[1]], pa.int32())],
-                ["block", "ids", "m", "width"],
-            )
+            dims, m = _vertical(vs)
+            return pa.RecordBatch.from_arrays([pa.array([b]), *(pa.array([x.astype("<i8").tobytes()], pa.binary()) for x in (np.array(ids), dims, m))], ["block", "ids", "dims", "m"])
 
         held: dict[int, tuple[list, list]] = {}
         for batch in batches:
@@ -73,34 +77,37 @@ def _blocks(rows: DataFrame, size: int, by: str) -> DataFrame:
         for b, (ids, vs) in held.items():
             yield out(b, ids, vs)
 
-    return rows.select(by, "id", "v").mapInArrow(pack, "block long, ids binary, m binary, width int")
+    return rows.select(by, "id", "v").mapInArrow(pack, "block long, ids binary, dims binary, m binary")
 
 
-def best_in_block(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, best: list, k: int) -> None:
-    """Improves best, for each query a list of arrays (scores, ids) in order, by a block of candidates."""
-    width = max(q.shape[1], c.shape[1])
-    q = np.pad(q, ((0, 0), (0, width - q.shape[1])))
-    c = np.pad(c, ((0, 0), (0, width - c.shape[1])))
-    exact = np.float64 if width * np.abs(q).max(initial=0) * np.abs(c).max(initial=0) < 2**52 else np.int64
-    order = np.argsort(-(c * c).sum(axis=0), kind="stable")
-    q, cols = q[:, order], np.ascontiguousarray(c[:, order].T)
+def best_in_block(q: np.ndarray, q_dims: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_dims: np.ndarray, c_ids: np.ndarray, best: list, k: int) -> None:
+    """Improves best, for each query a list of arrays (scores, ids) in order, by a block of candidates.
+    q, c: components, dimension by dimension in the order of the dims, as whole numbers."""
+    width = len(c_dims)
+    mine = np.zeros((max(width, len(q_dims)), len(q_ids)), q.dtype)
+    mine[q_dims] = q
+    q = mine[c_dims].T  # a dimension that the candidates lack adds nothing
+    large = width * float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(c.astype(float)).max(initial=0))
+    exact = np.float64 if large < EXACT_DOUBLE else np.int64 if large < EXACT_LONG else object
+    q_real, c_real = q.astype(np.float64), c.astype(np.float64)
     cuts = [*range(0, width, GROUP), width] if width else [0]
-    sums = np.cumsum((cols * cols)[::-1], axis=0)[::-1] if width else np.zeros((0, len(c)))
-    rest_c = [np.sqrt(sums[at]) if at < width else np.zeros(len(c)) for at in cuts]
-    rest_q = [np.sqrt((q[:, at:] ** 2).sum(axis=1)) for at in cuts]
-    cols, q = cols.astype(exact), q.astype(exact)
-    first = q[:, : GROUP] @ cols[:GROUP] if width else np.zeros((len(q), len(c)), exact)
-    for i in range(len(q)):
+    sums = np.cumsum((c_real * c_real)[::-1], axis=0)[::-1] if width else np.zeros((0, len(c_ids)))
+    rest_c = [np.sqrt(sums[at]) if at < width else np.zeros(len(c_ids)) for at in cuts]
+    rest_q = [np.sqrt((q_real[:, at:] ** 2).sum(axis=1)) for at in cuts]
+    q, c = q.astype(exact), c.astype(exact)
+    first = q[:, :GROUP] @ c[:GROUP] if width else np.zeros((len(q_ids), len(c_ids)), exact)
+    for i in range(len(q_ids)):
         scores, ids = best[i]
         floor = scores[-1] if len(scores) == k else -np.inf
-        at, part = np.flatnonzero(c_ids != q_ids[i]), None
+        at = np.flatnonzero(c_ids != q_ids[i])
         part = first[i, at]
         for g in range(1, len(cuts)):
-            # one unit of slack: the bound is rounded
-            stay = part + rest_q[g][i] * rest_c[g][at] + 1 >= floor
+            bound = rest_q[g][i] * rest_c[g][at]
+            # some slack, as the bound is rounded
+            stay = (part.astype(np.float64) + bound) + (1 + 1e-12 * (bound + np.abs(part.astype(np.float64)))) >= floor
             at, part = at[stay], part[stay]
             if g + 1 < len(cuts) and len(at):
-                part = part + q[i, cuts[g] : cuts[g + 1]] @ cols[cuts[g] : cuts[g + 1], at]
+                part = part + q[i, cuts[g] : cuts[g + 1]] @ c[cuts[g] : cuts[g + 1], at]
         if len(at):
             s, n = np.concatenate((scores, part.astype(np.int64))), np.concatenate((ids, c_ids[at]))
             if len(s) > k:  # all that tie with the k-th score stay for the order by id
@@ -110,37 +117,57 @@ def best_in_block(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.nda
             best[i] = (s[top], n[top])
 
 
+def grid(queries: int, candidates: int, parallel: int, work: int = WORK) -> tuple[int, int]:
+    """Groups of queries and of candidates: cells of about ``work`` scores, at least ``parallel`` cells where there is work
+    for them, with the fewest vectors sent."""
+    scores = queries * candidates
+    cells = max(1, -(-scores // work), min(parallel, -(-scores // (work >> 10))))
+    rows = max(1, min(cells, round((cells * queries / max(candidates, 1)) ** 0.5)))
+    return rows, -(-cells // rows)
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, query_block: int = 1024, block: int = 4096) -> DataFrame:
     """(query_id, rank, id, score). queries, candidates: (id, v) of quantise(). All rows of candidates
     but those with the query's id are compared with each query."""
-    scratch = Scratch(queries.sparkSession, "topk")
-    queries = queries.groupBy("id").agg(F.min("v").alias("v"))
-    n = queries.count()
-    n_blocks = max(1, -(-n // query_block))
-    dealt = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("long")).repartition("qb")
-    q = scratch.write("queries", _blocks(dealt, 1 << 30, "qb").select(F.col("block").alias("qb"), F.col("ids").alias("q_ids"), F.col("m").alias("q"), F.col("width").alias("q_width")))
+    spark = queries.sparkSession
+    scratch = Scratch(spark, "topk")
+    n_q, n_c = queries.count(), candidates.count()
+    rows, columns = grid(n_q, n_c, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_blocks = max(1, -(-n_q // query_block))
+    hashed = F.xxhash64("id", "v")  # rows that share an id are dealt apart
+    dealt = queries.withColumn("qb", F.pmod(hashed, F.lit(n_blocks)).cast("long")).repartition("qb")
+    q = scratch.write("queries", _blocks(dealt, query_block, "qb"))
     c = scratch.write("candidates", _blocks(candidates.withColumn("b", F.lit(0).cast("long")), block, "b"))
-    pairs = c.select("ids", "m", "width", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>")).alias("qb")).join(q, "qb")
+    group = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.select(group(rows).alias("r"), F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("m").alias("q"), every(columns).alias("g"))
+    c = c.select(group(columns).alias("g"), "ids", "dims", "m", every(rows).alias("r"))
+    met = c.join(q.hint("merge"), ["g", "r"]).select("q_ids", "q_dims", "q", "ids", "dims", "m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, list]] = {}
-        for batch in batches:
-            for qb, ids, m, width, q_ids, qm, q_width in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                c_ids, own = np.frombuffer(ids, "<i8"), np.frombuffer(q_ids, "<i8")
-                cm, qs = np.frombuffer(m).reshape(len(c_ids), width), np.frombuffer(qm).reshape(len(own), q_width)
-                if qb not in best:
-                    none = np.empty(0, np.int64)
-                    best[qb] = (own, [(none, none)] * len(own))
-                best_in_block(qs, own, cm, c_ids, best[qb][1], k)
-        for own, found in best.values():
+        def out(own: np.ndarray, found: list) -> pa.RecordBatch:
             counts = [len(s) for s, _ in found]
-            if sum(counts):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(own, counts)), pa.array(np.concatenate([i for _, i in found])), pa.array(np.concatenate([s for s, _ in found]))],
-                    ["query_id", "id", "score"],
-                )
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(own, counts)), pa.array(np.concatenate([i for _, i in found])), pa.array(np.concatenate([s for s, _ in found]))], ["query_id", "id", "score"]
+            )
 
-    found = pairs.select("qb", "ids", "m", "width", "q_ids", "q", "q_width").mapInArrow(run, "query_id long, id long, score long")
+        best: dict[bytes, tuple[np.ndarray, list]] = {}
+        held = 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q_raw, q_dims, qm, ids, dims, m = (x[i].as_py() for x in batch.columns)
+                own, c_ids, q_dims, c_dims = (np.frombuffer(x, "<i8") for x in (q_raw, ids, q_dims, dims))
+                if q_raw not in best:
+                    if held > 1 << 20:  # bests of finished queries go on
+                        yield from (out(*x) for x in best.values())
+                        best, held = {}, 0
+                    best[q_raw] = (own, [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(own))
+                    held += len(own) * k
+                qs, cs = np.frombuffer(qm, "<i8").reshape(-1, len(own)), np.frombuffer(m, "<i8").reshape(-1, len(c_ids))
+                best_in_block(qs, q_dims, own, cs, c_dims, c_ids, best[q_raw][1], k)
+        yield from (out(*x) for x in best.values())
+
+    found = met.mapInArrow(run, "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
