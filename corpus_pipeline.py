@@ -3,6 +3,9 @@ of near copies, mixed to target weights, packed into sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but
 the last return the columns of documents, with n_chars of the text as it then is.
+
+Defined cases, for all stages: an empty table gives an empty one; extra columns stay through all but the last,
+whatever their names; a text of any length is judged whole; rows that share an id are judged each by its own text.
 """
 
 from __future__ import annotations
@@ -22,27 +25,33 @@ def _same_columns(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose positive-unlabelled score reaches the limit."""
+    """Documents whose positive-unlabelled score reaches the limit. Null and empty texts are scored as texts without
+    words; a row without an id is scored but not learned from; ties at the limit stay."""
     return _same_columns(quality_pu.keep_good(docs, read(spark, sf_dir, "labels")), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more of them hold."""
+    """Documents without the lines that ten or more of them hold. A null text is an empty one from here on; rows of one id,
+    or without one, count as one document; a document of which nothing is left stays."""
     return _same_columns(line_dedup.dedup_lines(docs, report=False), docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies: linked as in op5, or by 0.8 or more of their five-word shingles."""
+    """The document of smallest id of each group of near copies: linked as in op5, or by 0.8 or more of their
+    five-word shingles. Empty texts are copies of each other; rows without an id stay, as do all rows that share the
+    smallest id and are of the group."""
     return _same_columns(simhash.keep_one(docs, similar=True), docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each pass that the mix takes over a document, with the text it takes."""
+    """A row for each pass that the mix takes over a document and shard that takes it, with the text it takes. A null source
+    is one of its own; empty texts go, as nothing of them is taken; repeated rows are documents of their own."""
     return _same_columns(mixing.mixed_documents(docs), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their sequence and place there."""
+    """Pieces of the documents with their sequence and place there. A null or empty text is the end id alone; repeated rows are
+    packed each."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False).withColumnRenamed("id", "doc_id")

@@ -141,6 +141,24 @@ def _cross_pairs(unit: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarr
         first = last
 
 
+def _shared(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by shard, those whose shard has other rows too."""
+    held, last = None, None  # a row that may be alone; the shard of the rows before, if they went on
+    for rb in found:
+        if held is not None:
+            rb, held = pa.Table.from_batches([held, rb]).combine_chunks().to_batches()[0], None
+        if not rb.num_rows:
+            continue
+        key = rb.column("shard").to_numpy()
+        same = key[1:] == key[:-1]
+        stay = np.concatenate(([key[0] == last], same)) | np.concatenate((same, [False]))
+        if stay[-1]:
+            last = key[-1]
+        else:
+            held = rb.slice(rb.num_rows - 1)
+        yield rb.filter(pa.array(stay))
+
+
 class SimilarSets:
     """The texts of docs with the prefixes of their sets. prints: (digest, fp) of the rows of docs."""
 
@@ -150,7 +168,9 @@ class SimilarSets:
         heads = _sets(self.rows, sampled_order(self.rows)).where("n > 0").dropDuplicates(["digest"])
         heads = scratch.write("heads", heads.withColumn("unit", F.monotonically_increasing_id()))
         of = prints.select("digest", "fp").dropDuplicates(["digest"])
-        self.units = scratch.write("units", heads.join(of.hint("merge"), "digest").select("unit", "digest", "fp", "n", "shingles"))
+        posted = heads.select("unit", "n", F.posexplode("shingles").alias("at", "shard")).repartition("shard").sortWithinPartitions("shard")
+        self.posted = scratch.write("posted", posted.mapInArrow(_shared, "unit long, n int, at int, shard long"))
+        self.units = scratch.write("units", heads.join(of.hint("merge"), "digest").select("unit", "digest", "fp"))
         scratch.drop("heads")
 
     def _met(self, joined: DataFrame | None, pairs) -> DataFrame:
@@ -158,10 +178,10 @@ class SimilarSets:
         from .simhash import MOST, _split
 
         if joined is None:
-            units = self.units.withColumn("comp", F.col("unit"))
+            posted = self.posted.withColumn("comp", F.col("unit"))
         else:
-            units = self.units.join(joined.hint("merge"), F.col("fp") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "fp"))
-        posted = units.select("unit", "n", "comp", F.posexplode("shingles").alias("at", "shard"))
+            of = self.units.join(joined.hint("merge"), F.col("fp") == F.col("node"), "left").select("unit", F.coalesce("root", "fp").alias("comp"))
+            posted = self.posted.join(of.hint("merge"), "unit")
         posted = posted.select(F.struct("unit", "n", "at", "comp").alias("fp"), "shard")
 
         def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,8 +10,8 @@ come from the lengths of the pieces between matches.
 
 Fitting: the samples come from at most ``sample_docs`` documents, those with the smallest hash of
 their id. Labelled random are base64 digests of their words, random by construction whatever the
-texts hold, and the keys and hexadecimal strings that the patterns find; labelled ordinary are their other words and
-identifiers. What stands after ``password:`` is in neither, as it may be a word. A transition's count is
+texts hold, and the keys and hexadecimal strings that the patterns find; labelled ordinary are their other words, and
+names joined of these. What stands after ``password:`` is in neither, as it may be a word. A transition's count is
 smoothed by the frequency of the character it leads to.
 
 Defined cases: a null text is empty and has no spans; rows that repeat an id have a row
@@ -112,7 +112,10 @@ def labelled_samples(docs: DataFrame, sample_docs: int) -> DataFrame:
     random = found.select(F.explode(F.concat("keys", F.transform(F.slice("words", 1, 10), digest))).alias("token"), F.lit(1).alias("label"))
     # a long one with digits may be a secret itself
     plain = F.filter(F.array_except("words", F.concat("keys", "values")), lambda w: (F.length(w) < 20) | ~w.rlike("[0-9]"))
-    return random.unionByName(found.select(F.explode(plain).alias("token"), F.lit(0).alias("label")))
+    some = F.filter(F.slice("words", 1, 40), lambda w: w.rlike("^[A-Za-z]+$"))
+    named = F.transform(some, lambda w, i: F.concat(w, F.get(F.array(*[F.lit(x) for x in "_-/"], F.lit("")), i % 4), F.when(i % 8 < 4, w).when(i % 16 < 12, F.upper(w)).otherwise(F.initcap(w))))
+    plain = found.select(F.explode(F.concat(plain, named)).alias("token"), F.lit(0).alias("label"))
+    return random.unionByName(plain)
 
 
 def fit_markov(samples: DataFrame, smoothing: float = 5.0) -> list[float]:
@@ -159,7 +162,7 @@ def scan(
     model: list[float] | None = None,
     sample_docs: int = 2000,
     least_score: float = 15.0,
-    least_mean: float = 0.5,
+    least_mean: float = 1.0,
 ) -> DataFrame:
     """(id, base, spans): spans the patterns find, and all spans with those of the models, by
     start, then kind. Added spans touch no base span. model: of fit_markov, else trained here."""

@@ -36,7 +36,7 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
-    """(node, root) of every node of an edge; root is the smallest node it reaches.
+    """(node, root) of every node of an edge but the roots; root is the smallest node it reaches.
 
     edges: (a, b), not null. Ends once a round changes nothing; each round is written, so
     the plan stays short and a lost executor costs one round. A hub's edges are parted by hash."""

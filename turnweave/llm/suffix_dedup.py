@@ -197,7 +197,7 @@ def windows(docs: DataFrame, open_starts: DataFrame, length: int) -> DataFrame:
 def removed(n_bytes: int, lo: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the bytes that a window covers whose start is in no kept stretch (lo, n)."""
     n_windows = max(n_bytes - length + 1, 0)
-    lo, hi = _united(lo, np.minimum(lo + n, n_windows))
+    lo, hi = _united(np.minimum(lo, n_windows), np.minimum(lo + n, n_windows))
     fell, until = np.concatenate(([0], hi)), np.concatenate((lo, [n_windows]))
     some = fell < until
     return _united(fell[some], until[some] - 1 + length)
