@@ -1,4 +1,4 @@
-"""Terms and search tables over documents (doc_id, text)."""
+"""Terms and search tables over documents (doc_id, text), one row each."""
 
 from __future__ import annotations
 
@@ -6,11 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
+from .lineage import sized
+
+
+def counted_terms(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_terms, counts) of each row of docs; counts: (term, tf) of its distinct terms. Terms are counted where
+    the text is, by runs in their sorted list, so that nothing is shuffled for it."""
+    rows = docs.select("doc_id", F.sort_array(terms(F.col("text"))).alias("t"))
+    new = F.filter(F.sequence(F.lit(0), F.greatest(F.size("t") - 1, F.lit(0))), lambda i: ~F.get("t", i).eqNullSafe(F.get("t", i - 1)))
+    rows = rows.select("doc_id", "t", F.when(F.size("t") > 0, new).otherwise(F.array().cast("array<int>")).alias("at"))
+    end = F.concat(F.slice("at", 2, 100_000_000), F.array(F.size("t")))
+    counts = F.zip_with("at", end, lambda i, j: F.struct(F.get("t", i).alias("term"), (j - i).cast("long").alias("tf")))
+    return rows.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.filter(counts, lambda x: x["term"].isNotNull()).alias("counts"))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    rows = docs.select("doc_id", F.explode(terms(F.col("text"))).alias("term"))
-    return rows.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return counted_terms(docs).select("doc_id", F.explode("counts").alias("c")).select("doc_id", "c.term", "c.tf")
 
 
 def term_stats(docs: DataFrame) -> DataFrame:
@@ -21,47 +32,65 @@ def term_stats(docs: DataFrame) -> DataFrame:
 
 
 def keyphrases(docs: DataFrame, k: int = 5) -> DataFrame:
-    """The k terms of highest tf-idf of each document."""
-    tf = term_counts(docs)
-    scored = tf.join(term_stats(docs).select("term", "idf"), "term").withColumn("score", F.round(F.col("tf") * F.col("idf"), 6))
+    """The k terms of highest tf-idf of each document. A vocabulary that is small when counted goes to every task,
+    and only each task's best rows are shuffled; a large one meets the counts by a merge join."""
+    scored = term_counts(docs).join(sized(term_stats(docs).select("term", "idf")), "term").withColumn("score", F.round(F.col("tf") * F.col("idf"), 6))
     order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "term")
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("doc_id", "rank", "term", "tf", "score")
 
 
 def collocations(docs: DataFrame, min_count: int = 20) -> DataFrame:
-    """Neighbouring terms found min_count times, with their pointwise mutual information."""
+    """Neighbouring terms found min_count times, with their pointwise mutual information. Terms and pairs are
+    counted together, in one pass."""
     t = docs.select(terms(F.col("text")).alias("t"))
-    pairs = t.select(F.explode(F.arrays_zip(F.col("t").alias("a"), F.slice("t", 2, 100_000_000).alias("b"))).alias("p")).where("p.b IS NOT NULL")
-    by = pairs.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
-    ones = t.select(F.explode("t").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("c"))
+    grams = t.select(F.explode(F.arrays_zip(F.col("t").alias("a"), F.slice("t", 2, 100_000_000).alias("b"))).alias("g"))
+    alone = F.struct("g.a", F.lit(None).cast("string").alias("b"))
+    both = grams.select(F.explode(F.array(alone, F.when(F.col("g.b").isNotNull(), F.col("g")))).alias("x")).where("x IS NOT NULL").select("x.a", "x.b")
+    by = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    ones = by.where("b IS NULL").select(F.col("a").alias("term"), F.col("n").alias("c"))
     whole = ones.agg(F.sum("c").alias("total"))
-    x = by.where(F.col("n") >= min_count)
+    x = by.where((F.col("n") >= min_count) & F.col("b").isNotNull())
     x = x.join(ones.select(F.col("term").alias("a"), F.col("c").alias("ca")), "a").join(ones.select(F.col("term").alias("b"), F.col("c").alias("cb")), "b")
     pmi = F.ln(F.col("n").cast("double") * F.col("total") / (F.col("ca").cast("double") * F.col("cb")))
     return x.join(F.broadcast(whole)).select("a", "b", "n", F.round(pmi, 5).alias("pmi"))  # whole is one row
 
 
-def inverted_index(docs: DataFrame) -> DataFrame:
-    """Each term's documents in order, with its occurrences there, as JSON."""
-    by = term_counts(docs).groupBy("term").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("p"))
+def inverted_index(docs: DataFrame, block: int = 1000) -> DataFrame:
+    """Each term's documents in order, with its occurrences there, as ``doc:tf``. A row holds those of ``block``
+    ids in succession, so that the list of a term that most documents hold is many rows."""
+    tf = term_counts(docs)
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    by = tf.groupBy("term", F.floor(F.col("doc_id") / block).cast("long").alias("block")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("p"))
     shown = F.array_join(F.transform("p", lambda x: F.concat_ws(":", x["doc_id"], x["tf"])), ",")
-    return by.select("term", F.size("p").cast("long").alias("df"), shown.alias("postings"))
+    return by.select("term", "block", shown.alias("postings")).join(sized(df), "term").select("term", "block", "df", "postings")
+
+
+def matches(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(item_id, doc_id, n_terms, shared, score): for each query (item_id, text) and document with a term of it, the
+    distinct terms of the query, those shared, and the BM25 score. Rows of no query's term go before any shuffle."""
+    q = queries.select("item_id", F.array_distinct(terms(F.col("text"))).alias("t"))
+    q = q.select("item_id", F.size("t").cast("long").alias("n_terms"), F.explode("t").alias("term"))
+    lists = docs.select(terms(F.col("text")).alias("t"))
+    whole = lists.agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.size("t"), F.lit(0))).alias("all_tokens"))
+    rows = counted_terms(docs).select("doc_id", F.col("n_terms").alias("dl"), F.explode("counts").alias("c")).select("doc_id", "dl", "c.term", "c.tf")
+    asked = sized(q.select("term").distinct())
+    df = rows.join(asked, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    hits = rows.join(sized(q.join(df, "term")), "term").join(F.broadcast(whole))  # one row
+    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = k1 * (1 - b + b * F.col("dl") / (F.col("all_tokens") / F.col("n")))
+    score = F.round(F.sum(idf * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)), 6)
+    return hits.groupBy("item_id", "doc_id", "n_terms").agg(F.count(F.lit(1)).alias("shared"), score.alias("score"))
+
+
+def best(rows: DataFrame, by: str, k: int) -> DataFrame:
+    """The k rows of each item_id with the highest ``by``, ranked; ties to the smaller doc_id."""
+    order = Window.partitionBy("item_id").orderBy(F.desc(by), "doc_id")
+    return rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The k documents of highest BM25 score for each query (item_id, text)."""
-    tf = term_counts(docs)
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    size = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    mean = size.agg(F.sum("dl").alias("all_tokens"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    q = queries.select("item_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    hits = q.join(df, "term").join(tf, "term").join(size, "doc_id").join(F.broadcast(n)).join(F.broadcast(mean))  # one row each
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = k1 * (1 - b + b * F.col("dl") / (F.col("all_tokens") / F.col("n")))
-    by = hits.groupBy("item_id", "doc_id").agg(F.round(F.sum(idf * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)), 6).alias("score"))
-    order = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    return by.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
+    return best(matches(docs, queries, k1, b), "score", k).select("item_id", "rank", "doc_id", "score")
 
 
 def label_summary(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -72,6 +101,10 @@ def label_summary(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def catalog(docs: DataFrame) -> DataFrame:
-    """Documents and characters by language and source, with all subtotals."""
-    return docs.cube("lang", "source").agg(F.grouping_id().cast("long").alias("level"), F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("n_chars"))
+def catalog(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Documents and characters by language, source and quality, with all subtotals. Of a document's labels the best
+    counts; quality is null without any."""
+    known = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    rows = docs.select("doc_id", "lang", "source", "n_chars").join(known, "doc_id", "left")
+    counted = rows.cube("lang", "source", "quality").agg(F.grouping_id().cast("long").alias("level"), F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("n_chars"))
+    return counted.select("lang", "source", "quality", "level", "n", "n_chars")

@@ -24,3 +24,10 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def sized(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """df, made once, for a join: broadcast if it has at most ``most`` rows when counted, else merged. For rows of a few
+    numbers or words."""
+    df = cut(df)
+    return df.hint("broadcast" if df.count() <= most else "merge")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
 from .lineage import cut
 
 LENGTHS = (2, 3)
+#: Each length is a pass over the turns.
+MOST_LENGTHS = 20
 
 
 def grams(turns: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
@@ -31,9 +33,15 @@ def phrases(turns: DataFrame, min_count: int = 5) -> DataFrame:
     return grams(turns).groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count).select("phrase")
 
 
-def link_mentions(turns: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """Phrases of the gazetteer in each turn, leftmost first and the longest of those that begin there; none overlap."""
-    hits = grams(turns).join(gazetteer.select("phrase").distinct(), "phrase")
+def link_mentions(turns: DataFrame, gazetteer: DataFrame, lengths: tuple[int, ...] | None = None) -> DataFrame:
+    """Phrases of the gazetteer in each turn, leftmost first and the longest of those that begin there; none overlap.
+    lengths: in terms, of the phrases; else those that the gazetteer has."""
+    if lengths is None:
+        told = gazetteer.select(F.size(F.split("phrase", " ")).alias("n")).distinct().orderBy("n").limit(MOST_LENGTHS + 1)
+        lengths = tuple(r.n for r in told.collect()) or LENGTHS
+        if len(lengths) > MOST_LENGTHS:
+            raise ValueError(f"phrases of over {MOST_LENGTHS} lengths")
+    hits = grams(turns, lengths).join(gazetteer.select("phrase").distinct(), "phrase")
     longest = hits.groupBy("conv_id", "turn", "pos").agg(F.max(F.struct("len", "phrase")).alias("x"))
     row = F.struct("pos", "x.len", "x.phrase")
     by = longest.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(row)).alias("found"))
@@ -79,14 +87,16 @@ def rank_entities(edges: DataFrame, iters: int = 10, damping: float = 0.85) -> D
     return ranks.select(F.col("src").alias("phrase"), F.round("rank", 9).alias("rank"))
 
 
-def centroid_classify(vectors: DataFrame, most_labels: int = 1000) -> DataFrame:
-    """Vectors (embedding, label) by label and by the label of the nearest mean vector, counted.
+def centroid_classify(vectors: DataFrame, most_labels: int = 1000, learn: Column | None = None) -> DataFrame:
+    """Vectors (embedding, label) by label and by the label of the nearest mean vector, counted. The means are
+    those of the rows where ``learn`` holds and the others are classified; without it, all are both.
     The means go to every task, as one row; more labels than most_labels are refused."""
     rows = vectors.where("embedding IS NOT NULL AND label IS NOT NULL")
-    x = rows.select("label", F.posexplode("embedding").alias("dim", "x"))
+    known = rows if learn is None else rows.where(learn)
+    x = known.select("label", F.posexplode("embedding").alias("dim", "x"))
     means = x.groupBy("label", "dim").agg(F.avg(F.col("x").cast("double")).alias("c"))
     means = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("dim", "c"))).alias("c"))
-    if rows.select("label").distinct().limit(most_labels + 1).count() > most_labels:
+    if known.select("label").distinct().limit(most_labels + 1).count() > most_labels:
         raise ValueError(f"over {most_labels} labels")
     whole = means.select("label", F.transform("c", lambda y: y["c"]).alias("c")).agg(F.collect_list(F.struct("label", "c")).alias("means"))
 
@@ -95,5 +105,6 @@ def centroid_classify(vectors: DataFrame, most_labels: int = 1000) -> DataFrame:
         return F.aggregate(parts, F.lit(0.0), lambda s, d: s + d)
 
     best = F.array_min(F.transform("means", lambda m: F.struct(distance(m["c"]).alias("d"), m["label"].alias("label"))))
-    found = rows.join(F.broadcast(whole)).select("label", best["label"].alias("predicted"))
+    tried = rows if learn is None else rows.where(~F.coalesce(learn, F.lit(False)))
+    found = tried.join(F.broadcast(whole)).select("label", best["label"].alias("predicted"))
     return found.groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("n"))

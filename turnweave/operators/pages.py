@@ -30,6 +30,8 @@ def pages_to_text(pages: DataFrame) -> DataFrame:
 
 
 def canonical_pages(pages: DataFrame) -> DataFrame:
-    """Pages by URL without scheme, www. or m., query and fragment: the smallest id and their number."""
-    bare = F.regexp_replace(F.regexp_replace(F.lower("url"), r"^[a-z]+://(www\.|m\.)?", ""), r"/?([?#].*)?$", "")
-    return pages.groupBy(bare.alias("canonical_url")).agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("n_pages"))
+    """Pages by URL without scheme, www. or m., query and fragment, the host in lower case: the smallest id and their number."""
+    rest = F.regexp_replace("url", r"^[A-Za-z]+://", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(rest, r"^[^/?#]*", 0)), r"^(www\.|m\.)", "")
+    path = F.regexp_replace(F.regexp_extract(rest, r"(?s)^[^/?#]*(.*)$", 1), r"(?s)/?([?#].*)?$", "")
+    return pages.groupBy(F.concat(host, path).alias("canonical_url")).agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("n_pages"))

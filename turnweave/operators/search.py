@@ -1,26 +1,24 @@
-"""Rankings (item_id, rank, doc_id) of documents for queries: another one, fused ones, their measures."""
+"""Rankings (item_id, rank, doc_id) of documents for queries: fused ones and their measures."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import terms
-from .knowledge import bm25, term_counts
+from .knowledge import best, matches
+from .lineage import cut, sized
 
 
-def shared_terms(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(item_id, doc_id, shared, n_terms): distinct terms of the query that the document holds, and all of the query's."""
-    q = queries.select("item_id", F.array_distinct(terms(F.col("text"))).alias("t"))
-    q = q.select("item_id", F.size("t").cast("long").alias("n_terms"), F.explode("t").alias("term"))
-    return q.join(term_counts(docs), "term").groupBy("item_id", "doc_id", "n_terms").agg(F.count(F.lit(1)).alias("shared"))
-
-
-def by_overlap(docs: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """The k documents that hold most terms of each query."""
-    order = Window.partitionBy("item_id").orderBy(F.desc("shared"), "doc_id")
-    ranked = shared_terms(docs, queries).withColumn("rank", F.row_number().over(order).cast("long"))
-    return ranked.where(F.col("rank") <= k).select("item_id", "rank", "doc_id")
+def rank_all(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """rows with their rank within a key, in an order without ties. Rows are dealt by range and counted for each key and part,
+    so that a key with most of the rows is ranked by many tasks."""
+    dealt = cut(rows.repartitionByRange(key, *order).withColumn("__part", F.spark_partition_id()))
+    by = dealt.groupBy(key, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    upto = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = by.select(key, "__part", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(key, "__part").orderBy(*order)
+    ranked = dealt.withColumn("__nth", F.row_number().over(inside)).join(sized(before), [key, "__part"])
+    return ranked.withColumn("rank", (F.col("__before") + F.col("__nth")).cast("long")).drop("__part", "__nth", "__before")
 
 
 def fuse(rankings: list[DataFrame], k: int = 5, constant: int = 60) -> DataFrame:
@@ -29,8 +27,7 @@ def fuse(rankings: list[DataFrame], k: int = 5, constant: int = 60) -> DataFrame
     for more in rankings[1:]:
         rows = rows.unionByName(more.select("item_id", "rank", "doc_id"))
     by = rows.groupBy("item_id", "doc_id").agg(F.round(F.sum(1.0 / (constant + F.col("rank"))), 9).alias("score"))
-    order = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    return by.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
+    return best(by, "score", k).select("item_id", "rank", "doc_id", "score")
 
 
 def evaluate(ranking: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
@@ -49,11 +46,12 @@ def evaluate(ranking: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
 
 
 def fused_search(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """BM25 and term overlap, fused."""
-    return fuse([bm25(docs, queries, 20), by_overlap(docs, queries, 20)])
+    """BM25 and term overlap, each over all documents with a term of the query, fused."""
+    found = cut(matches(docs, queries))
+    return fuse([rank_all(found.select("item_id", "doc_id", by), "item_id", [F.desc(by), F.asc("doc_id")]) for by in ("score", "shared")])
 
 
 def measured_search(docs: DataFrame, queries: DataFrame, share: float = 0.8) -> DataFrame:
     """BM25 measured against the documents that hold at least ``share`` of the query's terms."""
-    relevant = shared_terms(docs, queries).where(F.col("shared") >= share * F.col("n_terms"))
-    return evaluate(bm25(docs, queries, 10), relevant)
+    found = cut(matches(docs, queries))
+    return evaluate(best(found, "score", 10), found.where(F.col("shared") >= share * F.col("n_terms")))

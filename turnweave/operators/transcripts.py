@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sentences
 
+
 def by_turn():
-    return Window.partitionBy("conv_id").orderBy("turn")
+    """Turns of a conversation in order; a turn given twice by role, then text."""
+    return Window.partitionBy("conv_id").orderBy("turn", "role", "text")
 
 
 def validate_turns(turns: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import articles as b
 from ..operators import knowledge as k
 from ..operators import mentions as m
@@ -18,7 +20,7 @@ def _on(name, f, *more):
 
 
 def _mentions(turns):
-    return m.link_mentions(turns, m.phrases(turns))
+    return m.link_mentions(turns, m.phrases(turns), m.LENGTHS)
 
 
 QUERIES = {
@@ -39,7 +41,7 @@ QUERIES = {
     "k4_link_mentions": _on("conversations", _mentions),
     "k5_cooccurrence": _on("conversations", lambda t: m.cooccurrence(_mentions(t))),
     "k6_rank_entities": _on("conversations", lambda t: m.rank_entities(m.cooccurrence(_mentions(t)))),
-    "k8_centroid_classify": _on("embeddings", m.centroid_classify),
+    "k8_centroid_classify": _on("embeddings", lambda v: m.centroid_classify(v, learn=F.col("vec_id") % 2 == 0)),
     "r1_inverted_index": _on("documents", k.inverted_index),
     "r2_bm25": _on("documents", k.bm25, "benchmark"),
     "r5_fuse": _on("documents", r.fused_search, "benchmark"),
@@ -47,10 +49,11 @@ QUERIES = {
     "b1_summarize": _on("documents", b.summarize),
     "b2_related": _on("documents", b.related),
     "b3_assemble_articles": _on("conversations", b.assemble_articles),
-    "b4_catalog": _on("documents", k.catalog),
+    "b4_catalog": _on("documents", k.catalog, "labels"),
     "s1_engagement": _on("events", a.engagement),
     "s2_rolling": _on("events", lambda e: a.engagement(e, "2 hours", "1 hour")),
     "s3_sessions": _on("events", a.sessions),
+    "s4_dedup_stream": _on("events", a.dedup_stream),
     "s5_trending": _on("events", a.trending),
     "s6_user_state": _on("events", a.user_state),
     "s7_last_touch": _on("events", a.last_touch),
@@ -89,13 +92,13 @@ _SHARED = r"""q AS (SELECT item_id, len(t) AS n_terms, unnest(t) AS term FROM (S
 shared AS (SELECT item_id, doc_id, n_terms, count(*) AS shared FROM q JOIN tf USING (term) GROUP BY ALL)"""
 
 
-def _bm25(k: int) -> str:
+def _bm25(k: int | None) -> str:
     """Ranked documents, as b, after _TF and _SHARED."""
     return f"""df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY doc_id),
 c AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM dl) AS total),
 s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (total / n)))), 6) AS score
   FROM q JOIN df USING (term) JOIN tf USING (term) JOIN dl USING (doc_id), c GROUP BY item_id, doc_id),
-b AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= {k})"""
+b AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s{f" QUALIFY rank <= {k}" if k else ""})"""
 
 
 def _on_docs(part: str) -> str:
@@ -111,7 +114,7 @@ def _plain(html: str) -> str:
 
 
 SQL = {
-    "t1_validate_turns": """WITH l AS (SELECT *, lag(turn) OVER w AS b, lag(role) OVER w AS r FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+    "t1_validate_turns": """WITH l AS (SELECT *, lag(turn) OVER w AS b, lag(role) OVER w AS r FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
 SELECT conv_id, turn, 'duplicate' AS issue FROM conversations GROUP BY conv_id, turn HAVING count(*) > 1
 UNION ALL SELECT conv_id, turn, 'gap' FROM l WHERE turn - coalesce(b, -1) > 1
 UNION ALL SELECT conv_id, turn, 'blank' FROM l WHERE trim(coalesce(text, '')) = ''
@@ -135,7 +138,8 @@ n AS (SELECT role, next_role, count(*) AS n FROM l WHERE next_role IS NOT NULL G
 SELECT *, round(n / sum(n) OVER (PARTITION BY role), 6) AS p FROM n""",
     "c1_pages_to_text": rf"""SELECT page_id, regexp_extract(html, '(?is)<html[^>]*\blang="([^"]*)"', 1) AS lang,
 {_plain("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS title, {_plain("regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1)")} AS text FROM pages""",
-    "c2_canonical_pages": r"""WITH c AS (SELECT page_id, split_part(split_part(regexp_replace(lower(url), '^[a-z]+://(www\.|m\.)?', ''), '#', 1), '?', 1) AS u FROM pages)
+    "c2_canonical_pages": r"""WITH b AS (SELECT page_id, split_part(split_part(regexp_replace(url, '^[A-Za-z]+://', ''), '#', 1), '?', 1) AS u FROM pages),
+c AS (SELECT page_id, regexp_replace(lower(split_part(u, '/', 1)), '^(www\.|m\.)', '') || substr(u, length(split_part(u, '/', 1)) + 1) AS u FROM b)
 SELECT regexp_replace(u, '/$', '') AS canonical_url, min(page_id) AS page_id, count(*) AS n_pages FROM c GROUP BY canonical_url""",
     "c12_label_summary": """SELECT lang, source, count(*) AS n, count(quality) AS n_labelled, round(avg(quality), 6) AS good, round(avg(toxic), 6) AS toxic
 FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang, source""",
@@ -153,13 +157,13 @@ SELECT a, b, n, round(ln(n::DOUBLE * (SELECT sum(c) FROM o) / (x.c::DOUBLE * y.c
 d AS (SELECT phrase, sum(n) AS d FROM (SELECT src AS phrase, n FROM e UNION ALL SELECT dst, n FROM e) GROUP BY phrase)
 SELECT src, dst, n, round(ln(4.0::DOUBLE * n * (SELECT sum(n) FROM e) / (x.d::DOUBLE * y.d)), 5) AS pmi FROM e JOIN d x ON x.phrase = src JOIN d y ON y.phrase = dst""",
     "k6_rank_entities": f"WITH RECURSIVE {_MENTIONS}, {_EDGES}, {_RANKS} SELECT src AS phrase, round(rank, 9) AS rank FROM r10",
-    "k8_centroid_classify": """WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS d FROM embeddings),
+    "k8_centroid_classify": """WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS d FROM embeddings WHERE vec_id % 2 = 0),
 c AS (SELECT label, d, avg(x) AS c FROM x GROUP BY ALL), cc AS (SELECT label, list(c ORDER BY d) AS c FROM c GROUP BY label),
-s AS (SELECT vec_id, e.label, cc.label AS predicted, list_sum(list_transform(list_zip(embedding, c), lambda p: (p[1]::DOUBLE - p[2]) * (p[1]::DOUBLE - p[2]))) AS far FROM embeddings e, cc),
+s AS (SELECT vec_id, e.label, cc.label AS predicted, list_sum(list_transform(list_zip(embedding, c), lambda p: (p[1]::DOUBLE - p[2]) * (p[1]::DOUBLE - p[2]))) AS far FROM embeddings e, cc WHERE vec_id % 2 <> 0),
 b AS (SELECT label, predicted FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY far, predicted) = 1)
 SELECT label, predicted, count(*) AS n FROM b GROUP BY ALL""",
-    "r5_fuse": f"""WITH {_TF}, {_SHARED}, {_bm25(20)},
-o AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS rank FROM shared QUALIFY rank <= 20),
+    "r5_fuse": f"""WITH {_TF}, {_SHARED}, {_bm25(None)},
+o AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS rank FROM shared),
 f AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM b UNION ALL SELECT * FROM o) GROUP BY item_id, doc_id)
 SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM f QUALIFY rank <= 5""",
     "r6_evaluate": f"""WITH {_TF}, {_SHARED}, {_bm25(10)}, rel AS (SELECT item_id, doc_id FROM shared WHERE shared >= 0.8::DOUBLE * n_terms),
@@ -172,7 +176,8 @@ norm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id),
 d AS (SELECT a.doc_id, b.doc_id AS other, sum(a.w * b.w) AS dot FROM w a JOIN w b ON a.term = b.term AND a.doc_id <> b.doc_id WHERE a.df BETWEEN 2 AND 20 GROUP BY ALL),
 s AS (SELECT d.doc_id, other, round(dot / (x.norm * y.norm), 6) AS score FROM d JOIN norm x ON x.doc_id = d.doc_id JOIN norm y ON y.doc_id = other)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, other) AS rank, other, score FROM s QUALIFY rank <= 3""",
-    "r1_inverted_index": f"WITH {_TF} SELECT term, count(*) AS df, string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id) AS postings FROM tf GROUP BY term",
+    "r1_inverted_index": f"""WITH {_TF}, df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
+SELECT term, doc_id // 1000 AS block, any_value(df) AS df, string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id) AS postings FROM tf JOIN df USING (term) GROUP BY term, block""",
     "r2_bm25": rf"""WITH {_TF}, df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY doc_id),
 c AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM dl) AS total),
 q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS term FROM benchmark),
@@ -190,13 +195,16 @@ tags AS (SELECT doc_id, string_agg(term, ',' ORDER BY rank) AS tags, string_agg(
 l AS (SELECT *, lead(role) OVER o AS nr, lead(text) OVER o AS answer FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
 asked AS (SELECT conv_id AS doc_id, count(*) AS n_sections, string_agg(text || chr(10) || answer, chr(10) || chr(10) ORDER BY turn) AS body FROM l WHERE role = 'user' AND nr = 'assistant' GROUP BY conv_id)
 SELECT docs.doc_id AS conv_id, title, tags, summary, coalesce(n_sections, 0) AS n_sections, body FROM docs LEFT JOIN tags USING (doc_id) LEFT JOIN summed USING (doc_id) LEFT JOIN asked USING (doc_id)""",
-    "b4_catalog": "SELECT lang, source, grouping_id(lang, source)::BIGINT AS level, count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY CUBE (lang, source)",
+    "b4_catalog": """WITH l AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id)
+SELECT lang, source, quality, grouping_id(lang, source, quality)::BIGINT AS level, count(*) AS n, sum(n_chars)::BIGINT AS n_chars
+FROM documents LEFT JOIN l USING (doc_id) GROUP BY CUBE (lang, source, quality)""",
     "s1_engagement": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
     "s2_rolling": """SELECT time_bucket(INTERVAL 1 HOUR, ts) - b * INTERVAL 1 HOUR AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS value
 FROM events, (VALUES (0), (1)) AS v(b) GROUP BY ALL""",
     "s3_sessions": """WITH l AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS e FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(e) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM l)
 SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, s""",
+    "s4_dedup_stream": "SELECT DISTINCT ON (event_id) event_id, ts, user_id, event_type, value, props FROM events",
     "s5_trending": """WITH n AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, user_id, count(*) AS n FROM events GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY n DESC, user_id) AS rank FROM n) SELECT window_start, rank, user_id, n FROM r WHERE rank <= 3""",
     "s6_user_state": """SELECT user_id, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents, count(*) FILTER (event_type = 'purchase') AS n_purchases,
