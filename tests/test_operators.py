@@ -1,7 +1,8 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from turnweave.operators import articles, mentions, pages, search
+from turnweave.operators import articles, knowledge, mentions, pages, search
 from turnweave.operators import transcripts as t
 from turnweave.plans.catalog import QUERIES, SQL
 from turnweave.streaming import audience, incremental
@@ -119,3 +120,71 @@ def test_articles_without_questions_or_letters(spark):
     turns = spark.createDataFrame([(1, 0, "user", "Why so?"), (1, 1, "assistant", "Because."), (2, 0, "system", "12")], "conv_id long, turn long, role string, text string")
     found = {r.conv_id: (r.n_sections, r.body) for r in articles.assemble_articles(turns).collect()}
     assert found == {1: (1, "Why so?\nBecause."), 2: (0, None)}
+
+
+def streamed(spark, df, name, log, mode):
+    run = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+    run.option("checkpointLocation", str(log)).start().awaitTermination()
+    return sorted(map(tuple, spark.table(name).collect()))
+
+
+def test_windows_and_sessions_of_a_stream_are_those_of_the_batch(spark, tmp_path):
+    stream = events_in_files(spark, str(tmp_path / "in"))
+    batch = spark.read.parquet(str(tmp_path / "in"))
+    for i, f in enumerate((lambda e: audience.engagement(e, "10 seconds"), lambda e: audience.engagement(e, "10 seconds", "5 seconds"), lambda e: audience.sessions(e, "4 seconds"))):
+        assert streamed(spark, f(stream), f"windows{i}", tmp_path / f"log{i}", "complete") == sorted(map(tuple, f(batch).collect()))
+
+
+def test_repeated_events_of_a_stream_come_once(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    events_in_files(spark, folder)
+    spark.read.parquet(folder).where("event_id % 2 = 0").write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    got = streamed(spark, audience.dedup_stream(stream).select("event_id"), "once", tmp_path / "log", "append")
+    assert got == [(i,) for i in range(30)] == sorted(map(tuple, audience.dedup_stream(spark.read.parquet(folder)).select("event_id").collect()))
+
+
+def test_means_of_one_half_classify_the_other(spark):
+    rows_ = spark.createDataFrame([(0, [1.0], 0), (2, [9.0], 1), (4, [2.0], 0), (1, [8.0], 1), (3, [4.0], 1), (None, [9.0], 1)], "vec_id long, embedding array<double>, label int")
+    got = mentions.centroid_classify(rows_, learn=F.col("vec_id") % 2 == 0).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 1), (1, 1, 2)]
+
+
+def test_mentions_of_any_length(spark):
+    turns = spark.createDataFrame([(1, 0, "a b c d e f, x")], "conv_id long, turn long, text string")
+    names = spark.createDataFrame([("x",), ("b c d e f",), ("b c",)], "phrase string")
+    assert [(r.pos, r.phrase) for r in mentions.link_mentions(turns, names).orderBy("pos").collect()] == [(1, "b c d e f"), (6, "x")]
+    assert mentions.link_mentions(turns, names.limit(0)).count() == 0
+
+
+def test_paths_keep_their_case(spark):
+    rows_ = [(1, "HTTPS://WWW.A.org/X", ""), (2, "https://a.org/x", ""), (3, "https://a.ORG/x/?y", ""), (4, None, "")]
+    found = pages.canonical_pages(spark.createDataFrame(rows_, "page_id long, url string, html string")).collect()
+    assert {tuple(r) for r in found} == {("a.org/X", 1, 1), ("a.org/x", 2, 2), (None, 4, 1)}
+
+
+def test_repeated_roles_and_turns_in_any_order(spark):
+    rows_ = [(1, 0, "user", "b"), (1, 0, "assistant", "a"), (1, 1, "user", "c"), (1, 2, "user", "d")]
+    shape = "conv_id long, turn long, role string, text string"
+    found = [sorted(map(tuple, t.validate_turns(spark.createDataFrame(r, shape).repartition(3)).collect())) for r in (rows_, rows_[::-1])]
+    assert found[0] == found[1] and (1, 2, "role_repeated") in found[0] and (1, 1, "role_repeated") in found[0]
+
+
+def test_terms_of_a_row_are_counted(spark):
+    docs = spark.createDataFrame([(1, "B a b, A b."), (2, None), (3, "12 !"), (4, "")], "doc_id long, text string")
+    assert sorted(map(tuple, knowledge.term_counts(docs).collect())) == [(1, "a", 2), (1, "b", 3)]
+    assert sorted(map(tuple, knowledge.collocations(docs, 1).select("a", "b", "n").collect())) == [("a", "b", 2), ("b", "a", 2)]
+
+
+def test_postings_come_in_blocks(spark):
+    docs = spark.createDataFrame([(i, "a b" if i % 2 else "a") for i in (0, 1, 9, 10, 25)], "doc_id long, text string")
+    got = sorted(map(tuple, knowledge.inverted_index(docs, 10).collect()))
+    assert got == [("a", 0, 5, "0:1,1:1,9:1"), ("a", 1, 5, "10:1"), ("a", 2, 5, "25:1"), ("b", 0, 3, "1:1,9:1"), ("b", 2, 3, "25:1")]
+
+
+def test_ranks_over_many_parts(spark):
+    rows_ = spark.createDataFrame([(i % 50 and 1, i, float(i * 7 % 31)) for i in range(500)], "item_id long, doc_id long, score double")
+    got = search.rank_all(rows_, "item_id", [F.desc("score"), F.asc("doc_id")]).collect()
+    for item in (0, 1):
+        mine = sorted((r for r in got if r.item_id == item), key=lambda r: (-r.score, r.doc_id))
+        assert [r["rank"] for r in mine] == list(range(1, len(mine) + 1))

@@ -20,8 +20,14 @@ def counted_terms(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.filter(counts, lambda x: x["term"].isNotNull()).alias("counts"))
 
 
+def each_count(rows: DataFrame, *names: str) -> DataFrame:
+    """The named columns with term and tf for each of counts. An outer explode, as the filter that Spark infers
+    for the other would work the counts out a second time."""
+    return rows.select(*names, F.explode_outer("counts").alias("c")).where("c IS NOT NULL").select(*names, "c.term", "c.tf")
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    return counted_terms(docs).select("doc_id", F.explode("counts").alias("c")).select("doc_id", "c.term", "c.tf")
+    return each_count(counted_terms(docs), "doc_id")
 
 
 def term_stats(docs: DataFrame) -> DataFrame:
@@ -43,7 +49,7 @@ def collocations(docs: DataFrame, min_count: int = 20) -> DataFrame:
     """Neighbouring terms found min_count times, with their pointwise mutual information. Terms and pairs are
     counted together, in one pass."""
     t = docs.select(terms(F.col("text")).alias("t"))
-    grams = t.select(F.explode(F.arrays_zip(F.col("t").alias("a"), F.slice("t", 2, 100_000_000).alias("b"))).alias("g"))
+    grams = t.select(F.explode_outer(F.arrays_zip(F.col("t").alias("a"), F.slice("t", 2, 100_000_000).alias("b"))).alias("g")).where("g.a IS NOT NULL")
     alone = F.struct("g.a", F.lit(None).cast("string").alias("b"))
     both = grams.select(F.explode(F.array(alone, F.when(F.col("g.b").isNotNull(), F.col("g")))).alias("x")).where("x IS NOT NULL").select("x.a", "x.b")
     by = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
@@ -72,7 +78,7 @@ def matches(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.7
     q = q.select("item_id", F.size("t").cast("long").alias("n_terms"), F.explode("t").alias("term"))
     lists = docs.select(terms(F.col("text")).alias("t"))
     whole = lists.agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.size("t"), F.lit(0))).alias("all_tokens"))
-    rows = counted_terms(docs).select("doc_id", F.col("n_terms").alias("dl"), F.explode("counts").alias("c")).select("doc_id", "dl", "c.term", "c.tf")
+    rows = each_count(counted_terms(docs).withColumnRenamed("n_terms", "dl"), "doc_id", "dl")
     asked = sized(q.select("term").distinct())
     df = rows.join(asked, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     hits = rows.join(sized(q.join(df, "term")), "term").join(F.broadcast(whole))  # one row
