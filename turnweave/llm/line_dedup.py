@@ -31,7 +31,8 @@ def line_key(line: Column) -> Column:
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """(id, digest, pos, hash, bucket) of every line whose key has min_chars code points."""
-    rows = docs.select("id", "digest", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    # outer, as the filter that Spark infers for the other would split every text a second time; there always is a line
+    rows = docs.select("id", "digest", F.posexplode_outer(F.split("text", "\n", -1)).alias("pos", "line"))
     rows = rows.select("id", "digest", "pos", line_key(F.col("line")).alias("key"))
     rows = rows.where(F.length("key") >= min_chars)
     bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")
