@@ -188,3 +188,11 @@ def test_ranks_over_many_parts(spark):
     for item in (0, 1):
         mine = sorted((r for r in got if r.item_id == item), key=lambda r: (-r.score, r.doc_id))
         assert [r["rank"] for r in mine] == list(range(1, len(mine) + 1))
+
+
+def test_copies_are_related_whatever_their_number(spark):
+    docs = spark.createDataFrame([(i, "one two three") for i in range(30)] + [(40, "one two four"), (41, "four five"), (42, ""), (43, None)], "doc_id long, text string")
+    got = {(r.doc_id, r["rank"]): (r.other, r.score) for r in articles.related(docs).collect()}
+    assert [got[29, k][0] for k in (1, 2, 3)] == [0, 1, 2] and [got[1, k][0] for k in (1, 2, 3)] == [0, 2, 3]
+    assert got[0, 1][1] == 1.0 and got[40, 1][1] < 1 and (42, 1) not in got
+    assert {r for r in got if r[0] == 41} == {(41, 1)} and got[41, 1][0] == 40

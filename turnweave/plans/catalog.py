@@ -171,11 +171,15 @@ n AS (SELECT item_id, count(*) AS n_relevant FROM rel GROUP BY item_id),
 h AS (SELECT item_id, count(*) AS hits, min(rank) AS first, sum(1 / log2(rank + 1)) AS dcg FROM b JOIN rel USING (item_id, doc_id) GROUP BY item_id)
 SELECT item_id, n_relevant, coalesce(hits, 0) AS hits, round(coalesce(hits, 0) / n_relevant, 6) AS recall, round(coalesce(1.0::DOUBLE / first, 0), 6) AS rr,
 round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(10, n_relevant) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM n LEFT JOIN h USING (item_id)""",
-    "b2_related": f"""WITH {_TF}, {_STATS}, w AS MATERIALIZED (SELECT doc_id, tf.term, df, (tf * round(idf * 1000)::BIGINT)::DOUBLE AS w FROM tf JOIN stats USING (term)),
+    "b2_related": f"""WITH g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS rep FROM documents),
+docs AS (SELECT documents.* FROM documents JOIN g USING (doc_id) WHERE doc_id = rep),
+{_on_docs(_TF)}, {_on_docs(_STATS)}, w AS MATERIALIZED (SELECT doc_id, tf.term, df, (tf * round(idf * 1000)::BIGINT)::DOUBLE AS w FROM tf JOIN stats USING (term)),
 norm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id),
 d AS (SELECT a.doc_id, b.doc_id AS other, sum(a.w * b.w) AS dot FROM w a JOIN w b ON a.term = b.term AND a.doc_id <> b.doc_id WHERE a.df BETWEEN 2 AND 20 GROUP BY ALL),
-s AS (SELECT d.doc_id, other, round(dot / (x.norm * y.norm), 6) AS score FROM d JOIN norm x ON x.doc_id = d.doc_id JOIN norm y ON y.doc_id = other)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, other) AS rank, other, score FROM s QUALIFY rank <= 3""",
+s AS (SELECT d.doc_id, other, round(dot / (x.norm * y.norm), 6) AS score FROM d JOIN norm x ON x.doc_id = d.doc_id JOIN norm y ON y.doc_id = other
+  UNION ALL SELECT doc_id, doc_id, 1.0 FROM norm WHERE norm > 0)
+SELECT a.doc_id, row_number() OVER (PARTITION BY a.doc_id ORDER BY score DESC, b.doc_id) AS rank, b.doc_id AS other, score
+FROM s JOIN g a ON a.rep = s.doc_id JOIN g b ON b.rep = s.other WHERE a.doc_id <> b.doc_id QUALIFY rank <= 3""",
     "r1_inverted_index": f"""WITH {_TF}, df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
 SELECT term, doc_id // 1000 AS block, any_value(df) AS df, string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id) AS postings FROM tf JOIN df USING (term) GROUP BY term, block""",
     "r2_bm25": rf"""WITH {_TF}, df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY doc_id),
