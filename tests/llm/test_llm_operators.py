@@ -119,10 +119,13 @@ def test_chat_layouts(spark):
         "instruct": '{"instruction": "q", "output": "a"}',
         "nested": '{"dialog": {"turns": [{"speaker": "human", "text": "q"}, {"speaker": "bot", "text": "a"}]}}',
     }
-    rows = [*layouts.items(), ("odd", '{"x": 1}'), ("broken", "{"), ("none", None)]
+    rows = [*layouts.items(), ("odd", '{"x": 1}'), ("broken", "{"), ("none", None), ("null", '{"prompt": "q", "response": null}'), ("number", '{"prompt": 5, "response": true}')]
+    rows += [("mixed", '{"messages": [{"role": "user", "content": 1.5}, {"role": "gpt", "content": null}]}'), ("more", '{"prompt": "q", "response": "a", "id": 3}')]
     got = {r.id: [(t.role, t.text) for t in r.turns] for r in chat_format.canonical_turns_json(spark.createDataFrame(rows, "id string, j string"), "id", "j").collect()}
     assert all(got[k] == [("user", "q"), ("assistant", "a")] for k in layouts)
-    assert got["odd"] == got["broken"] == got["none"] == []
+    assert got["odd"] == got["broken"] == got["none"] == got["more"] == []
+    assert (got["null"], got["number"]) == ([("user", "q")], [("user", "5"), ("assistant", "true")])
+    assert got["mixed"] == [("user", "1.5"), ("assistant", "")]
     with pytest.raises(ValueError):
         chat_format.canonical_turns(spark.createDataFrame([(1, "x")], "id long, y string"), "id")
 

@@ -11,8 +11,10 @@ one row; nothing else is gathered.
 
 Defined cases: null roles and texts are empty strings; a null turn number comes first;
 rows that repeat a turn are all kept, ordered by role, then text; a null conversation id is
-one conversation. A layout without a mapping raises ValueError for typed tables and gives
-an empty list of turns, with its fingerprint, for JSON records. Extra columns of a typed
+one conversation. A layout without a mapping, as one with further fields, raises ValueError for typed tables and gives
+an empty list of turns, with its fingerprint, for JSON records. In JSON, numbers and flags count as their
+text; of the fields of a record those that are null make no turn. Tables with a row for each turn keep the
+names of their roles, others get the canonical ones. Extra columns of a typed
 table are ignored only if the mapping's own fields are picked first.
 """
 
@@ -113,6 +115,7 @@ def canonical_turns(records: DataFrame, id_col: str) -> DataFrame:
 
 
 _DDL = "array<struct<role:string,text:string>>"
+_SCALAR = r"(: |<)(?:VOID|BIGINT|DOUBLE|FLOAT|BOOLEAN|VARIANT|DECIMAL\([0-9, ]+\))(?=[,>])"
 
 
 def _json_shape(paths: tuple[str, ...]) -> str:
@@ -137,7 +140,9 @@ def _json_shape(paths: tuple[str, ...]) -> str:
 def canonical_turns_json(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """(id_col, fingerprint, turns) of JSON records, each in a layout of its own."""
     rows = records.select(id_col, F.try_parse_json(F.col(json_col)).alias("v"))
-    rows = rows.withColumn("fingerprint", F.sha2(F.schema_of_variant("v"), 256))
+    # numbers, flags and nulls stand where texts do
+    shape = F.regexp_replace(F.schema_of_variant("v"), _SCALAR, "$1STRING")
+    rows = rows.withColumn("fingerprint", F.sha2(shape, 256))
     turns = F.lit(None).cast(_DDL)
     for m in MAPPINGS:
         if m.rows:
@@ -147,7 +152,8 @@ def canonical_turns_json(records: DataFrame, id_col: str, json_col: str) -> Data
             listed = F.try_variant_get("v", f"$.{path}", f"array<struct<`{role}`:string,`{text}`:string>>")
             got = _named(_picked(listed, role, text))
         else:
-            got = F.array(*[_turn(F.lit(r), F.try_variant_get("v", f"$.{f}", "string")) for r, f in m.fields])
+            given = [(r, F.try_variant_get("v", f"$.{f}", "string")) for r, f in m.fields]
+            got = F.array_compact(F.array(*[F.when(x.isNotNull(), _turn(F.lit(r), x)) for r, x in given]))
         known = hashlib.sha256(_json_shape(m.paths).encode()).hexdigest()
         turns = F.when(F.col("fingerprint") == known, got).otherwise(turns)
     return rows.select(id_col, "fingerprint", F.coalesce(turns, F.array().cast(_DDL)).alias("turns"))
