@@ -48,7 +48,10 @@ class Scratch:
         self.paths: dict[str, str] = {}
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        path = self.paths[name] = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        if name in self.paths:  # it is freed with the others
+            self.paths[self.paths[name]] = self.paths[name]
+        self.paths[name] = path
         keys = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
         old = {k: self.spark.conf.get(k) for k in keys}
         for k, v in keys.items():

@@ -212,9 +212,9 @@ class SimilarSets:
         sure = maybe.join(side("a"), "digest_a").join(side("b"), "digest_b").where((10 + LEAST) * both >= LEAST * (F.col("na") + F.col("nb")))
         return self.scratch.write("sure", sure.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
 
-    def hub_links(self, joined: DataFrame) -> DataFrame:
+    def hub_links(self) -> DataFrame:
         """Similar pairs of the first round."""
-        return self._confirmed(self._met(joined, _hub_pairs).distinct())
+        return self._confirmed(self._met(None, _hub_pairs).distinct())
 
     def cross_links(self, joined: DataFrame | None = None) -> DataFrame:
         """All similar pairs of fingerprints that ``joined`` does not join; without it, all."""

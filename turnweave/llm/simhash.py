@@ -217,14 +217,16 @@ def near_duplicates(
     # a fingerprint's rows in parts, so that many copies are not one key
     parts = scratch.write("parts", prints.groupBy("fp", "part").agg(F.min("id").alias("rep")))
     reps = scratch.write("reps", parts.groupBy("fp").agg(F.min("rep").alias("rep")))
-    roots = scratch.write("roots", components(near_links(reps.select("fp"), scratch, radius, agree), scratch))
-    if similar:
-        sets = SimilarSets(docs, prints, scratch, text_col)
-        for round_ in (sets.hub_links, sets.cross_links):
-            edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(round_(roots))
-            roots = scratch.write("roots", components(edges, scratch))
+    links = near_links(reps.select("fp"), scratch, radius, agree)
+    sets = SimilarSets(docs, prints, scratch, text_col) if similar else None
+    roots = scratch.write("roots", components(links.unionByName(sets.hub_links()) if sets else links, scratch))
+    if sets:
+        edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(sets.cross_links(roots))
+        roots = scratch.write("roots", components(edges, scratch))
     joined = reps.join(roots.hint("merge"), reps["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    by_fp = with_least(scratch.write("rooted", joined), "root", "rep", "fp", "component").select("fp", "component")
+    joined = scratch.write("rooted", joined)
+    scratch.drop_but("prints", "parts", "rooted")
+    by_fp = with_least(joined, "root", "rep", "fp", "component").select("fp", "component")
     by_part = parts.select("fp", "part").join(by_fp.hint("merge"), "fp")
     found = prints.join(by_part.hint("merge"), ["fp", "part"])
     return found.select("id", "fp", *["digest"] * digest, "component")
