@@ -210,7 +210,9 @@ class SimilarSets:
         side = lambda s: whole.select(F.col("digest").alias(f"digest_{s}"), F.col("shingles").alias(f"s_{s}")).hint("merge")
         both = F.size(F.array_intersect("s_a", "s_b")).cast("long")
         sure = maybe.join(side("a"), "digest_a").join(side("b"), "digest_b").where((10 + LEAST) * both >= LEAST * (F.col("na") + F.col("nb")))
-        return self.scratch.write("sure", sure.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
+        sure = self.scratch.write("sure", sure.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
+        self.scratch.drop("maybe", "whole")
+        return sure
 
     def hub_links(self) -> DataFrame:
         """Similar pairs of the first round."""
