@@ -119,7 +119,12 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths and how often each is used; uses every piece of counts."""
+    """Patterns of lengths and how often each is used; uses every piece of counts. Of two plans, that of fewer sequences:
+    what a new sequence has left is filled at once, by the longest that fit, or stays open for shorter ones."""
+    return min((_plan(counts, size, now) for now in (False, True)), key=lambda found: sum(times for _, times in found))
+
+
+def _plan(counts: dict[int, int], size: int, now: bool) -> list[tuple[tuple[int, ...], int]]:
     left = Counter({n: c for n, c in counts.items() if c})
     out: list[tuple[tuple[int, ...], int]] = []
     if left[size]:
@@ -131,12 +136,12 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...]
             if a + b < size:
                 pairs[a + b].append((a, b))
 
-    def fillers(gap: int) -> Iterator[tuple[int, ...]]:
+    def fillers(gap: int, most: int = 3) -> Iterator[tuple[int, ...]]:
         """Singles, pairs and triples of lengths whose sum is gap."""
         if gap in left:
             yield (gap,)
         yield from pairs.get(gap, ())
-        for a in lengths:
+        for a in lengths if most > 2 else ():
             if a < gap <= 3 * a and left[a]:
                 yield from ((a, b, c) for b, c in pairs.get(gap - a, ()) if b <= a and left[b] and left[c])
 
@@ -149,27 +154,46 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...]
                 insort(gaps, gap)
             open_at[gap].append((pattern, times))
 
+    def use(pattern: tuple[int, ...], combo: tuple[int, ...], gap: int, most: int) -> int:
+        """Puts combo, at most ``most`` times, behind pattern, which leaves gap; how often."""
+        need = Counter(combo)
+        times = min(most, *(left[m] // k for m, k in need.items()))
+        put(pattern + combo, gap, times)
+        for m, k in need.items():
+            left[m] -= k * times
+        return times
+
+    def take(n: int) -> bool:
+        """Puts n into an open gap: one that it fills, alone or with others, or else the least that takes it."""
+        i = bisect_left(gaps, n)
+        if i == len(gaps):
+            return False
+        fits = ((gap, (n, *combo)) for gap in gaps[i:] for combo in ([()] if gap == n else fillers(gap - n, 2)) if all(left[m] >= k for m, k in Counter((n, *combo)).items()))
+        gap, combo = next(fits, (gaps[i], (n,)))
+        pattern, times = open_at[gap].pop()
+        if not open_at[gap]:
+            gaps.remove(gap)
+        put(pattern, gap, times - use(pattern, combo, gap - sum(combo), times))
+        return True
+
     for n in lengths:
+        while left[n] and take(n):
+            pass
         for combo in fillers(size - n):
-            need = Counter((n, *combo))
-            times = min(left[m] // k for m, k in need.items())
-            put((n, *combo), 0, times)
-            for m, k in need.items():
-                left[m] -= k * times
             if not left[n]:
                 break
-        while left[n]:  # into the least open gap that takes it, or a new sequence
-            i = bisect_left(gaps, n)
-            gap = gaps[i] if i < len(gaps) else size
-            pattern, times = open_at[gap].pop() if i < len(gaps) else ((), left[n])
-            if i < len(gaps) and not open_at[gap]:
-                del gaps[i]
-            each = min(gap // n, left[n])
-            used = min(times, left[n] // each)
-            put(pattern + (n,) * each, gap - n * each, used)
-            if pattern:
-                put(pattern, gap, times - used)
-            left[n] -= each * used
+            use((), (n, *combo), 0, left[n])
+        while now and left[n]:
+            combo, gap, taken = (n,), size - n, Counter((n,))
+            while m := next((m for m in lengths if m <= gap and left[m] > taken[m]), 0):
+                combo, gap = (*combo, m), gap - m
+                taken[m] += 1
+            use((), combo, gap, left[n])
+        if left[n]:  # new sequences
+            each = size // n
+            use((), (n,) * each, size - n * each, left[n])
+            if left[n]:
+                use((), (n,) * left[n], size - n * left[n], 1)
     return out + [p for gap in gaps for p in open_at[gap]]
 
 
