@@ -47,6 +47,8 @@ LENGTH = 100
 SEED_BYTES = 24
 #: Bytes of text that are looked at together.
 CHUNK = 1 << 20
+#: Repeated ids whose list is broadcast.
+SHORT = 100_000
 _A, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -203,6 +205,20 @@ def removed(n_bytes: int, lo: np.ndarray, n: np.ndarray, length: int) -> tuple[n
     return _united(fell[some], until[some] - 1 + length)
 
 
+def _told_apart(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """docs with column of, which tells texts of one id apart: a hash of the text, or 0 where an id is of one row, as
+    zeros cost next to nothing in all that is shuffled; and whether any id repeats. The ids that do are broadcast if
+    they are few when counted; if not, every text has its hash."""
+    again = scratch.write("again-ids", docs.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("id").alias("__again"), F.lit(True).alias("__more")))
+    n, told = again.count(), F.xxhash64(text_or_empty("text"))
+    if not n:
+        return docs.select("id", F.lit(0).cast("long").alias("of"), "text"), False
+    if n > SHORT:
+        return docs.select("id", told.alias("of"), "text"), True
+    rows = docs.join(again.hint("broadcast"), F.col("id").eqNullSafe(F.col("__again")), "left")
+    return rows.select("id", F.when(F.col("__more"), told).otherwise(F.lit(0).cast("long")).alias("of"), "text"), True
+
+
 def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(id, n_bytes, n_removed, spans, kept): the bytes left of each text, and the (start, end) of what went.
     length: under 65,536."""
@@ -210,7 +226,7 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError("length is from 1 to 65,535")
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
     kind = docs.schema[id_col].dataType.simpleString()
-    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text_or_empty(text_col)).alias("of"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    docs, repeats = _told_apart(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")), scratch)
     found = contexts(docs, length)
     firsts = found.groupBy("c1", "c2").agg(F.min(F.struct("id", "of", "place", "anchor", "halves")).alias("f")).select("f.*")
     firsts = scratch.write("firsts", firsts)
@@ -256,8 +272,8 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             )
 
     schema = f"id {kind}, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary"
-    twice = scratch.write("twice", docs.groupBy("id", "of").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
-    if twice.isEmpty():
+    twice = scratch.write("twice", docs.groupBy("id", "of").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")) if repeats else None
+    if not repeats or twice.isEmpty():
         return _told(docs, kept, "left").mapInArrow(run, schema)
     # of rows equal in id and text the first one's stretches are the text's; the others lose all windows
     same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("of") == F.col("__of"))
