@@ -1,6 +1,6 @@
 """The queries of the training-data operators and the SQL of those that SQL can express."""
 
-from . import chat_format, line_dedup, mixing, packing, quality_pu, quality_rules, secrets, simhash, suffix_dedup, topk
+from . import chat_format, collocations, hard_negatives, line_dedup, mixing, packing, quality_pu, quality_rules, secrets, simhash, suffix_dedup, topk, toxicity
 
 
 def queries():
@@ -15,6 +15,9 @@ def queries():
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_quality_pu": quality_pu.op9_quality_pu,
         "op10_mixing": mixing.op10_mixing,
+        "op11_toxicity": toxicity.op11_toxicity,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+        "op13_collocations": collocations.op13_collocations,
     }
 
 
@@ -23,4 +26,6 @@ def oracle_sql():
         "op4_chat_format": chat_format.OP4_SQL,
         "op6_exact_topk": topk.OP6_SQL,
         "op7_line_dedup": line_dedup.OP7_SQL,
+        "op12_hard_negatives": hard_negatives.OP12_SQL,
+        "op13_collocations": collocations.OP13_SQL,
     }
