@@ -2,7 +2,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from turnweave.operators import articles, knowledge, mentions, pages, search
+from turnweave.operators import articles, knowledge, mentions, pages, related, search
 from turnweave.operators import transcripts as t
 from turnweave.plans.catalog import QUERIES, SQL
 from turnweave.streaming import audience, incremental
@@ -182,17 +182,27 @@ def test_postings_come_in_blocks(spark):
     assert got == [("a", 0, 5, "0:1,1:1,9:1"), ("a", 1, 5, "10:1"), ("a", 2, 5, "25:1"), ("b", 0, 3, "1:1,9:1"), ("b", 2, 3, "25:1")]
 
 
-def test_ranks_over_many_parts(spark):
-    rows_ = spark.createDataFrame([(i % 50 and 1, i, float(i * 7 % 31)) for i in range(500)], "item_id long, doc_id long, score double")
-    got = search.rank_all(rows_, "item_id", [F.desc("score"), F.asc("doc_id")]).collect()
-    for item in (0, 1):
-        mine = sorted((r for r in got if r.item_id == item), key=lambda r: (-r.score, r.doc_id))
-        assert [r["rank"] for r in mine] == list(range(1, len(mine) + 1))
+def test_fused_scores_are_those_of_whole_rankings(spark):
+    import random
+
+    draw = random.Random(5)
+    for few in (3, 1000):  # with many ties, and with rankings that hardly agree
+        rows_ = [(item, doc, float(draw.randrange(few)), draw.randrange(few)) for item in (1, 2) for doc in range(300 if item == 1 else 4)]
+        found = spark.createDataFrame(rows_, "item_id long, doc_id long, score double, shared long")
+        whole = search.fuse([knowledge.best(found, c, 1000) for c in ("score", "shared")])
+        assert sorted(map(tuple, search.fuse_scores(found, ["score", "shared"]).collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_passages_are_found_inside_words(spark):
+    docs = spark.createDataFrame([(1, "an xone two threey b"), (2, "one two, three"), (3, None), (4, "two")], "doc_id long, text string")
+    queries = spark.createDataFrame([(7, "one two three"), (8, "two"), (9, None)], "item_id long, text string")
+    got = search.holding(docs, queries, knowledge.matches(docs, queries)).collect()
+    assert sorted(map(tuple, got)) == [(7, 1)]
 
 
 def test_copies_are_related_whatever_their_number(spark):
     docs = spark.createDataFrame([(i, "one two three") for i in range(30)] + [(40, "one two four"), (41, "four five"), (42, ""), (43, None)], "doc_id long, text string")
-    got = {(r.doc_id, r["rank"]): (r.other, r.score) for r in articles.related(docs).collect()}
+    got = {(r.doc_id, r["rank"]): (r.other, r.score) for r in related.related(docs).collect()}
     assert [got[29, k][0] for k in (1, 2, 3)] == [0, 1, 2] and [got[1, k][0] for k in (1, 2, 3)] == [0, 2, 3]
     assert got[0, 1][1] == 1.0 and got[40, 1][1] < 1 and (42, 1) not in got
     assert {r for r in got if r[0] == 41} == {(41, 1)} and got[41, 1][0] == 40

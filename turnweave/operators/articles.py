@@ -6,56 +6,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sentences, terms
-from .knowledge import keyphrases, term_counts, term_stats
-from .lineage import cut, sized
+from .knowledge import keyphrases, term_stats
+from .lineage import sized
 from .transcripts import assemble, exchanges
 
 
+def sentence_terms(docs: DataFrame) -> DataFrame:
+    """(doc_id, term, tf, at): the distinct terms of each row with how often they occur and the number of the sentence of each
+    time. They are counted where the text is, in one pass over it."""
+    said = F.flatten(F.transform(sentences(F.col("text")), lambda x, i: F.transform(terms(x), lambda t: F.struct(t.alias("term"), i.alias("pos")))))
+    rows = docs.select("doc_id", F.sort_array(said).alias("t"))
+    new = F.filter(F.sequence(F.lit(0), F.greatest(F.size("t") - 1, F.lit(0))), lambda i: ~F.get("t", i)["term"].eqNullSafe(F.get("t", i - 1)["term"]))
+    rows = rows.select("doc_id", "t", F.when(F.size("t") > 0, new).otherwise(F.array().cast("array<int>")).alias("first"))
+    end = F.concat(F.slice("first", 2, 100_000_000), F.array(F.size("t")))
+    times = F.zip_with("first", end, lambda i, j: F.struct(F.get("t", i)["term"].alias("term"), (j - i).cast("long").alias("tf"), F.slice("t", i + 1, j - i)["pos"].alias("at")))
+    rows = rows.select("doc_id", F.explode_outer(F.filter(times, lambda x: x["term"].isNotNull())).alias("c")).where("c IS NOT NULL")
+    return rows.select("doc_id", "c.term", "c.tf", "c.at")
+
+
 def summarize(docs: DataFrame, n: int = 2) -> DataFrame:
     """The n sentences of highest mean tf-idf of each document, in their order; ties to the earlier one.
     Documents without letters have none. Weights are whole millionths, so that sums do not depend on order."""
-    rows = docs.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "raw"))
-    rows = rows.select("doc_id", "pos", F.btrim("raw", F.lit(" \n")).alias("sentence"))
-    said = rows.select("doc_id", "pos", F.explode(terms(F.col("sentence"))).alias("term"))
-    said = said.groupBy("doc_id", "pos", "term").agg(F.count(F.lit(1)).alias("times"))
     millionths = F.round(F.col("idf") * 1_000_000).cast("long")
-    weight = term_counts(docs).join(sized(term_stats(docs).select("term", millionths.alias("idf"))), "term")
-    weight = weight.select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("weight"))
-    by = said.join(weight, ["doc_id", "term"]).groupBy("doc_id", "pos")
-    scored = by.agg((F.sum(F.col("times") * F.col("weight")) / F.sum("times")).alias("score"))
+    weighed = sentence_terms(docs).join(sized(term_stats(docs).select("term", millionths.alias("idf"))), "term")
+    by = weighed.select("doc_id", F.explode("at").alias("pos"), (F.col("tf") * F.col("idf")).alias("weight")).groupBy("doc_id", "pos")
+    scored = by.agg((F.sum("weight") / F.count(F.lit(1))).alias("score"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "pos")
     top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-    kept = top.join(rows, ["doc_id", "pos"]).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("s"))
-    return kept.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.array_join(F.transform("s", lambda x: x["sentence"]), " ").alias("summary"))
-
-
-def related(docs: DataFrame, k: int = 3, most_df: int = 20) -> DataFrame:
-    """The k documents most like each, by the cosine of tf-idf vectors. Documents of the same text are one vector, at 1 from each
-    other, whatever their number. Products count terms found in at most most_df texts; a term makes at most most_df ** 2
-    pairs. Weights are whole thousandths, so sums are exact."""
-    keyed = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("same"))
-    first = F.row_number().over(Window.partitionBy("same").orderBy("doc_id"))
-    few = keyed.withColumn("nth", first).where(F.col("nth") <= k + 1)  # no list needs more documents of one text
-    members = cut(few.groupBy("same").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))).withColumn("rep", F.element_at("ids", 1))
-    texts = docs.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    stats = term_stats(texts).select("term", "df", F.round(F.col("idf") * 1000).cast("long").alias("idf"))
-    w = term_counts(texts).join(sized(stats), "term").select("doc_id", "term", "df", (F.col("tf") * F.col("idf")).cast("double").alias("w"))
-    norm = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    rare = w.where(F.col("df").between(2, most_df)).select("doc_id", "term", "w")
-    other = rare.select(F.col("doc_id").alias("other"), "term", F.col("w").alias("v"))
-    dot = rare.join(other, "term").where("doc_id <> other").groupBy("doc_id", "other").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    x = dot.join(norm, "doc_id").join(norm.select(F.col("doc_id").alias("other"), F.col("norm").alias("other_norm")), "other")
-    x = x.select("doc_id", "other", F.round(F.col("dot") / (F.col("norm") * F.col("other_norm")), 6).alias("score"))
-    top = Window.partitionBy("doc_id").orderBy(F.desc("score"), "other")
-    x = x.withColumn("nth", F.row_number().over(top)).where(F.col("nth") <= k).drop("nth")
-    itself = norm.where("norm > 0").select("doc_id", F.col("doc_id").alias("other"), F.lit(1.0).alias("score"))
-    # from texts back to documents
-    ids = members.select(F.col("rep").alias("other"), "ids")
-    lists = x.unionByName(itself).join(ids, "other").groupBy("doc_id").agg(F.collect_list(F.struct("score", "ids")).alias("found"))  # k + 1 texts
-    lists = lists.join(members.select(F.col("rep").alias("doc_id"), "same"), "doc_id").select("same", "found")
-    each = keyed.join(sized(lists), "same").select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.score", F.explode("f.ids").alias("other"))
-    ranked = each.where("doc_id <> other").withColumn("rank", F.row_number().over(top).cast("long"))
-    return ranked.where(F.col("rank") <= k).select("doc_id", "rank", "other", "score")
+    top = top.groupBy("doc_id").agg(F.array_sort(F.collect_list("pos")).alias("at"))
+    rows = docs.select("doc_id", "text").join(top, "doc_id")
+    chosen = F.transform("at", lambda i: F.btrim(F.get(sentences(F.col("text")), i), F.lit(" \n")))
+    return rows.select("doc_id", F.size("at").cast("long").alias("n_sentences"), F.array_join(chosen, " ").alias("summary"))
 
 
 def assemble_articles(turns: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from ..operators import articles as b
 from ..operators import knowledge as k
 from ..operators import mentions as m
 from ..operators import pages as p
+from ..operators import related as rel
 from ..operators import search as r
 from ..operators import transcripts as t
 from ..sources.tables import table
@@ -47,7 +48,7 @@ QUERIES = {
     "r5_fuse": _on("documents", r.fused_search, "benchmark"),
     "r6_evaluate": _on("documents", r.measured_search, "benchmark"),
     "b1_summarize": _on("documents", b.summarize),
-    "b2_related": _on("documents", b.related),
+    "b2_related": _on("documents", rel.related),
     "b3_assemble_articles": _on("conversations", b.assemble_articles),
     "b4_catalog": _on("documents", k.catalog, "labels"),
     "s1_engagement": _on("events", a.engagement),
@@ -166,7 +167,7 @@ SELECT label, predicted, count(*) AS n FROM b GROUP BY ALL""",
 o AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS rank FROM shared),
 f AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM b UNION ALL SELECT * FROM o) GROUP BY item_id, doc_id)
 SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM f QUALIFY rank <= 5""",
-    "r6_evaluate": f"""WITH {_TF}, {_SHARED}, {_bm25(10)}, rel AS (SELECT item_id, doc_id FROM shared WHERE shared >= 0.8::DOUBLE * n_terms),
+    "r6_evaluate": rf"""WITH {_TF}, {_SHARED}, {_bm25(10)}, rel AS (SELECT item_id, doc_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text) WHERE len(list_distinct(regexp_extract_all(lower(benchmark.text), '\p{{L}}+'))) >= 3),
 n AS (SELECT item_id, count(*) AS n_relevant FROM rel GROUP BY item_id),
 h AS (SELECT item_id, count(*) AS hits, min(rank) AS first, sum(1 / log2(rank + 1)) AS dcg FROM b JOIN rel USING (item_id, doc_id) GROUP BY item_id)
 SELECT item_id, n_relevant, coalesce(hits, 0) AS hits, round(coalesce(hits, 0) / n_relevant, 6) AS recall, round(coalesce(1.0::DOUBLE / first, 0), 6) AS rr,
@@ -175,7 +176,7 @@ round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(10, n_relevant)
 docs AS (SELECT documents.* FROM documents JOIN g USING (doc_id) WHERE doc_id = rep),
 {_on_docs(_TF)}, {_on_docs(_STATS)}, w AS MATERIALIZED (SELECT doc_id, tf.term, df, (tf * round(idf * 1000)::BIGINT)::DOUBLE AS w FROM tf JOIN stats USING (term)),
 norm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id),
-d AS (SELECT a.doc_id, b.doc_id AS other, sum(a.w * b.w) AS dot FROM w a JOIN w b ON a.term = b.term AND a.doc_id <> b.doc_id WHERE a.df BETWEEN 2 AND 20 GROUP BY ALL),
+d AS (SELECT a.doc_id, b.doc_id AS other, sum(a.w * b.w) AS dot FROM w a JOIN w b ON a.term = b.term AND a.doc_id <> b.doc_id WHERE a.w > 0 GROUP BY ALL),
 s AS (SELECT d.doc_id, other, round(dot / (x.norm * y.norm), 6) AS score FROM d JOIN norm x ON x.doc_id = d.doc_id JOIN norm y ON y.doc_id = other
   UNION ALL SELECT doc_id, doc_id, 1.0 FROM norm WHERE norm > 0)
 SELECT a.doc_id, row_number() OVER (PARTITION BY a.doc_id ORDER BY score DESC, b.doc_id) AS rank, b.doc_id AS other, score
