@@ -206,3 +206,34 @@ def test_copies_are_related_whatever_their_number(spark):
     assert [got[29, k][0] for k in (1, 2, 3)] == [0, 1, 2] and [got[1, k][0] for k in (1, 2, 3)] == [0, 2, 3]
     assert got[0, 1][1] == 1.0 and got[40, 1][1] < 1 and (42, 1) not in got
     assert {r for r in got if r[0] == 41} == {(41, 1)} and got[41, 1][0] == 40
+
+
+def test_chunks_that_would_not_move_on_are_refused(spark):
+    turns = spark.createDataFrame([(1, 0, "a b c")], "conv_id long, turn long, text string")
+    assert [r.text for r in t.chunk(turns, 2, 1).orderBy("chunk_no").collect()] == ["a b", "b c"]
+    with pytest.raises(ValueError):
+        t.chunk(turns, 2, 2)
+
+
+def test_related_texts_are_those_of_all_products(spark):
+    """Against every pair, with blocks and cells smaller than the table."""
+    import collections
+    import math
+    import random
+
+    draw = random.Random(9)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(150)]
+    texts = [" ".join(draw.choices(words, weights=[1 / (i + 1) for i in range(150)], k=draw.randrange(1, 40))) for _ in range(120)]
+    docs = spark.createDataFrame([(i * 3, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    vectors = related.text_vectors(docs).cache()
+    got = collections.defaultdict(list)
+    for r in related.most_alike(vectors, 3, block=16, work=400).orderBy("doc_id", F.desc("score"), "other").collect():
+        got[r.doc_id].append((r.other, r.score))
+    v = {r.doc_id: ({x["term"]: x["w"] for x in r.v}, r.norm) for r in vectors.collect()}
+    assert got
+    for a, (x, nx) in v.items():
+        scored = [(round(sum(w * y.get(t, 0) for t, w in x.items()) / (nx * ny), 6), b) for b, (y, ny) in v.items() if b != a and x.keys() & y.keys()]
+        want = sorted(((b, s) for s, b in scored), key=lambda p: (-p[1], p[0]))[:3]
+        assert [p[1] for p in got[a]] == pytest.approx([p[1] for p in want], abs=1e-6)
+        assert [p[0] for p in got[a]] == [p[0] for p in want] or len({p[1] for p in want}) < 3
+    assert math.isclose(v[0][1], math.sqrt(sum(w * w for w in v[0][0].values())))

@@ -35,7 +35,7 @@ def assemble(turns: DataFrame, sep: str = "\n") -> DataFrame:
 
 
 def merge_turns(turns: DataFrame, min_chars: int = 40) -> DataFrame:
-    """Without turns shorter than min_chars, neighbours of one role become one turn."""
+    """Without turns shorter than min_chars, or without text, neighbours of one role become one turn."""
     long = turns.where(F.length("text") >= min_chars)
     edge = F.when(F.lag("role").over(by_turn()).eqNullSafe(F.col("role")), 0).otherwise(1)
     runs = long.withColumn("edge", edge).withColumn("run", F.sum("edge").over(by_turn()))
@@ -52,6 +52,8 @@ def split_sentences(turns: DataFrame) -> DataFrame:
 
 def chunk(turns: DataFrame, size: int = 50, overlap: int = 10) -> DataFrame:
     """Windows of size words that start every size - overlap words of a turn."""
+    if not 0 <= overlap < size:
+        raise ValueError("overlap is from 0 to under size")
     step = size - overlap
     words = turns.select("conv_id", "turn", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w")).where(F.size("w") > 0)
     n = F.greatest(F.lit(1), F.ceil((F.size("w") - overlap) / step).cast("int"))

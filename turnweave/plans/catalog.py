@@ -14,6 +14,7 @@ from ..operators import transcripts as t
 from ..sources.tables import table
 from ..streaming import audience as a
 from ..streaming.incremental import streamed_term_stats
+from ..streaming.totals import streamed_user_state
 
 
 def _on(name, f, *more):
@@ -56,7 +57,7 @@ QUERIES = {
     "s3_sessions": _on("events", a.sessions),
     "s4_dedup_stream": _on("events", a.dedup_stream),
     "s5_trending": _on("events", a.trending),
-    "s6_user_state": _on("events", a.user_state),
+    "s6_user_state": lambda spark, sf: streamed_user_state(spark, f"{sf}/events.parquet"),
     "s7_last_touch": _on("events", a.last_touch),
     "s8_incremental": lambda spark, sf: streamed_term_stats(spark, f"{sf}/documents.parquet"),
 }
