@@ -69,3 +69,34 @@ def test_groups_of_given_documents_are_brute_force(spark):
     while not np.array_equal(nxt := np.array([least[m].min() for m in near]), least):
         least = nxt
     assert sorted(r.doc_id for r in keep_one(docs, similar=True).collect()) == sorted(ids[ids == least].tolist())
+
+
+def test_a_shingle_of_many_texts_makes_no_pairs(spark):
+    r = np.random.default_rng(8)
+    passage = " ".join(r.choice(VOCABULARY, 5))
+    rows = [(i, " ".join(r.choice(VOCABULARY, 30)) + " " + passage + " " + " ".join(r.choice(VOCABULARY, 30))) for i in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scratch = Scratch(spark, "test-order")
+    prints = fingerprints(docs, digest=True)
+    sets = near_sets.SimilarSets(docs, prints, scratch)
+    assert sets.posted.where("n > 0").count() < 1000  # the passage is in no prefix but by chance
+    assert sets._met(None, near_sets._cross_pairs).count() < 5000
+    assert near_sets.similar_pairs(docs, prints, scratch).count() == 0
+
+
+def test_a_text_that_many_meet_is_confirmed_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(near_sets, "HOT", 3)
+    r = np.random.default_rng(9)
+    base = list(r.choice(VOCABULARY, 120))
+    rows = [(0, " ".join(base))]
+    for i in range(1, 30):
+        w = base.copy()
+        w[int(r.integers(len(w)))] = f"new{i}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = fingerprints(docs, digest=True)
+    of = {p.fp: p.id for p in prints.collect()}
+    got = {tuple(sorted((of[p.a], of[p.b]))) for p in near_sets.similar_pairs(docs, prints, Scratch(spark, "test-hot")).collect()}
+    want = {(a, b) for a in range(30) for b in range(a + 1, 30) if jaccard(rows[a][1], rows[b][1]) >= 0.8}
+    assert len(of) == 30 and got == want and len(want) > 100
+    assert [x.doc_id for x in keep_one(docs, similar=True).collect()] == [0]

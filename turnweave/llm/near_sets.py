@@ -1,10 +1,11 @@
 """Links between texts whose sets of word shingles have a Jaccard similarity of LEAST or more, by prefix filter.
 
-Shingles are 64-bit hashes in one order: first those that are not frequent in a sample of the texts, then
-the others by their count there. The sample decides the order alone and with it how much work there is, never which
-pairs are found. Of a set of n, any other that is similar enough holds one of its n - ceil(4n/5) + 1
-first, so texts meet at those only. Pairs that length, place and number of the shingles they
-met at cannot rule out are confirmed by whole sets.
+Shingles are 64-bit hashes in one order, from rare to frequent. Spark counts the shingles of all texts in COUNTERS counters, which
+shingles share by hash; every task gets these, and a shingle stands where the power of two of its counter, as a multiple of the mean, puts it,
+then by value. The counters decide the order alone and with it how much work there is, never which pairs are found; as their
+number is fixed, a shingle is told to be frequent once it has more than an even share of all. Of a set of n, any other that is similar enough
+holds one of its n - ceil(4n/5) + 1 first, so texts meet at those only. Pairs that length, place and number of the
+shingles they met at cannot rule out are confirmed by whole sets; a text in more than HOT pairs meets them in parts.
 
 For components a group of copies need not be all its pairs. In a first round the texts of a shingle meet one of
 them, another for each shingle, and in a second round only texts that links so far have not joined
@@ -31,8 +32,10 @@ SHINGLE = 5
 LEAST = 8
 #: Rows of whole shingles that a task holds at a time, and pairs it looks at together.
 CHUNK = 1_000_000
-#: Texts of the sample that orders the shingles, how many of them hold a frequent one, and the most that are told apart.
-SAMPLE, OFTEN, FREQUENT = 20_000, 10, 100_000
+#: Counters of shingles, 8 MB, and those of them that are summed together.
+COUNTERS, TOGETHER = 1 << 21, 1 << 15
+#: Pairs of one text that a task confirms.
+HOT = 2000
 
 
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -57,27 +60,26 @@ def prefix(n: int) -> int:
     return n - -(-LEAST * n // 10) + 1 if n else 0
 
 
+def counter(shingle: np.ndarray, counters: int) -> np.ndarray:
+    return (mix(shingle ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(counters)).astype(np.int64)
+
+
 class Order:
-    """The order of shingles: by count in the sample, if frequent there, then by value."""
+    """The order of shingles by the class of their counter, then by value."""
 
-    def __init__(self, frequent: list[tuple[int, int]]):
-        told = np.array(sorted(frequent), np.int64).reshape(-1, 2)
-        value = told[:, 0].view(np.uint64)
-        order = np.argsort(value)
-        self.value, self.count = value[order], told[order, 1]
+    def __init__(self, counts: np.ndarray):
+        mean = max(counts.mean(), 1e-9) if len(counts) else 1.0
+        self.rank = np.floor(np.log2(np.maximum(counts / mean, 1))).astype(np.uint8)
 
     def sorted(self, s: np.ndarray) -> np.ndarray:
-        if not len(self.value):
-            return s
-        at = np.minimum(np.searchsorted(self.value, s), len(self.value) - 1)
-        count = np.where(self.value[at] == s, self.count[at], 0)
-        return s[np.lexsort((s, count))]
+        return s[np.lexsort((s, self.rank[counter(s, len(self.rank))]))]
 
 
-def _sets(rows: DataFrame, order: Order | None) -> DataFrame:
-    """(digest, n, shingles) of (digest, text): the prefix of each set in an order, or else all shingles."""
+def _sets(rows: DataFrame, shared=None) -> DataFrame:
+    """(digest, n, shingles) of (digest, text): the prefix of each set in a broadcast order, or else all shingles."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = shared.value if shared else None
         for rb in found:
             sets = list(shingle_sets(rb.column(1).to_pylist()))
             cut = [order.sorted(s)[: prefix(len(s))] if order else s for s in sets]
@@ -89,13 +91,34 @@ def _sets(rows: DataFrame, order: Order | None) -> DataFrame:
     return rows.mapInArrow(run, "digest binary, n int, shingles array<long>")
 
 
-def sampled_order(rows: DataFrame) -> Order:
-    """Counts in at most about SAMPLE texts, those whose digest falls into a class; at most FREQUENT numbers are collected."""
-    classes = max(1, -(-rows.count() // SAMPLE))
-    some = rows.where(F.pmod(F.xxhash64("digest"), F.lit(classes)) == 0).dropDuplicates(["digest"])
-    by = _sets(some, None).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"))
-    few = by.where(F.col("c") >= OFTEN).orderBy(F.desc("c"), "s").limit(FREQUENT)
-    return Order([(r.s, r.c) for r in few.collect()])
+def counted_order(rows: DataFrame, counters: int = COUNTERS) -> Order:
+    """The order by the number of rows (digest, text) that hold a shingle. A task sends the counters it has used; they are summed in stretches of
+    TOGETHER, and the driver gets COUNTERS sums, whatever the number of rows."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(counters, np.uint32)
+        for rb in found:
+            for s in shingle_sets(rb.column(0).to_pylist()):
+                counts[counter(s, counters)] += np.uint32(1)  # a set's shingles that share a counter count once
+        used = np.flatnonzero(counts)
+        for part in np.split(used, np.searchsorted(used, np.arange(TOGETHER, counters, TOGETHER))):
+            if len(part):
+                at, n = (part % TOGETHER).astype("<u2"), counts[part].astype("<u4")
+                yield pa.RecordBatch.from_arrays([pa.array([int(part[0]) // TOGETHER]), *(pa.array([x.tobytes()], pa.binary()) for x in (at, n))], ["stretch", "at", "n"])
+
+    def add(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for rb in found:
+            for stretch, at, n in zip(*(c.to_pylist() for c in rb.columns), strict=True):
+                sums.setdefault(stretch, np.zeros(TOGETHER, np.uint64))[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<u4")
+        for stretch, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([stretch]), pa.array([x.astype("<u8").tobytes()], pa.binary())], ["stretch", "n"])
+
+    parts = rows.select("text").mapInArrow(run, "stretch long, at binary, n binary").repartition("stretch")
+    out = np.zeros(max(counters, TOGETHER), np.uint64)
+    for r in parts.mapInArrow(add, "stretch long, n binary").toLocalIterator():
+        out[r.stretch * TOGETHER : (r.stretch + 1) * TOGETHER] = np.frombuffer(r.n, "<u8")
+    return Order(out[:counters])
 
 
 def _allowed(i: np.ndarray, j: np.ndarray, unit: np.ndarray, n: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
@@ -165,8 +188,10 @@ class SimilarSets:
     def __init__(self, docs: DataFrame, prints: DataFrame, scratch: Scratch, text_col: str = "text"):
         self.scratch = scratch
         self.rows = docs.select(text_digest(text_col).alias("digest"), F.col(f"`{text_col}`").cast("string").alias("text"))
-        heads = _sets(self.rows, sampled_order(self.rows)).where("n > 0").dropDuplicates(["digest"])
+        order = docs.sparkSession.sparkContext.broadcast(counted_order(self.rows))  # COUNTERS bytes
+        heads = _sets(self.rows, order).where("n > 0").dropDuplicates(["digest"])
         heads = scratch.write("heads", heads.withColumn("unit", F.monotonically_increasing_id()))
+        order.destroy()
         of = prints.select("digest", "fp").dropDuplicates(["digest"])
         posted = heads.select("unit", "n", F.posexplode("shingles").alias("at", "shard")).repartition("shard").sortWithinPartitions("shard")
         self.posted = scratch.write("posted", posted.mapInArrow(_shared, "unit long, n int, at int, shard long"))
@@ -206,14 +231,31 @@ class SimilarSets:
         one = lambda s: self.units.select(F.col("unit").alias(s), F.col("digest").alias(f"digest_{s}"), F.col("fp").alias(f"fp_{s}")).hint("merge")
         maybe = self.scratch.write("maybe", met.join(one("a"), "a").join(one("b"), "b").where("fp_a <> fp_b"))
         need = maybe.select(F.col("digest_a").alias("digest")).union(maybe.select("digest_b")).distinct()
-        whole = self.scratch.write("whole", _sets(self.rows.join(need.hint("merge"), "digest", "left_semi").dropDuplicates(["digest"]), None))
-        side = lambda s: whole.select(F.col("digest").alias(f"digest_{s}"), F.col("shingles").alias(f"s_{s}")).hint("merge")
+        whole = self.scratch.write("whole", _sets(self.rows.join(need.hint("merge"), "digest", "left_semi").dropDuplicates(["digest"])))
+        side = lambda s: whole.select(F.col("digest").alias(f"digest_{s}"), F.col("shingles").alias(f"s_{s}"))
         both = F.size(F.array_intersect("s_a", "s_b")).cast("long")
-        sure = maybe.join(side("a"), "digest_a").join(side("b"), "digest_b").where((10 + LEAST) * both >= LEAST * (F.col("na") + F.col("nb")))
+        sides = self._with(self._with(maybe, side("a"), "digest_a", "b"), side("b"), "digest_b", "a")
+        sure = sides.where((10 + LEAST) * both >= LEAST * (F.col("na") + F.col("nb")))
         sure = self.scratch.write("sure", sure.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
         self.scratch.drop("maybe", "whole")
         return sure
 
+    def _with(self, pairs: DataFrame, table: DataFrame, key: str, other: str) -> DataFrame:
+        """pairs, written, with the row of table that has their key. A key of more than HOT pairs is as many rows of table as it needs parts, and its
+        pairs are dealt to them by column ``other``. The list of such keys is broadcast if it is short."""
+        from .simhash import SHORT
+
+        hot = pairs.groupBy(F.col(key).alias("__key")).agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("__parts")).where("__parts > 1")
+        hot = self.scratch.write("hot", hot)
+        n = hot.count()
+        if not n:
+            return pairs.join(table.hint("merge"), key)
+        hot = hot.hint("broadcast" if n <= SHORT else "merge")
+        told = lambda rows: rows.join(hot, F.col(key) == F.col("__key"), "left").withColumn("__parts", F.coalesce("__parts", F.lit(1))).drop("__key")
+        left = told(pairs).withColumn("__part", F.pmod(F.xxhash64(other), F.col("__parts")).cast("int")).drop("__parts")
+        right = told(table).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+        return left.join(right.hint("merge"), [key, "__part"]).drop("__part")
+
     def hub_links(self) -> DataFrame:
         """Similar pairs of the first round."""
         return self._confirmed(self._met(None, _hub_pairs).distinct())
