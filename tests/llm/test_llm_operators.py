@@ -461,6 +461,26 @@ def test_splitting_tree_keeps_its_sums(spark, scale):
     assert len(per_shard) == mixing.SHARDS and per_shard.max() - per_shard.min() <= 1
 
 
+def test_splitting_tree_of_many_sources(spark):
+    """More of them than there are halvings whose sums are broadcast."""
+    rows = spark.range(1, 5001, 1, 4).selectExpr("concat('host', id) AS source", "id AS nth", "id % 5 AS quota")
+    got = mixing.split_quotas(rows, Scratch(spark, "test")).groupBy("source").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
+    assert rows.join(got, "source").where("n = quota AND least >= 0").count() == 5000
+    per_shard = [r.n for r in mixing.split_quotas(rows, Scratch(spark, "test")).groupBy("shard").agg(F.sum("n").alias("n")).collect()]
+    assert len(per_shard) == mixing.SHARDS and max(per_shard) - min(per_shard) <= 1 and sum(per_shard) == 10_000
+
+
+def test_blocks_are_permuted_one_by_one_or_with_their_document(spark):
+    d = spark.createDataFrame([(i, prose(200, i), "s" if i % 2 else "t") for i in range(80)], "doc_id long, text string, source string")
+    for whole in (False, True):
+        scratch = Scratch(spark, "test")
+        sizes = scratch.write("sizes", mixing.document_sizes(d, "doc_id", "text", "source"))
+        blocks, _ = mixing.mix(sizes, scratch, block_words=10, whole=whole)
+        n = [r.n for r in blocks.where("pass = 1").groupBy("id").agg(F.count(F.lit(1)).alias("n")).collect()]  # t has a second pass in part
+        cut = sum(x < 20 for x in n)
+        assert (cut <= 1) if whole else (cut > 10)
+
+
 def test_mixing_query_is_brute_force(spark, tmp_path):
     rows = [(i, prose(40 + 13 * i % 900, i), s) for i, s in enumerate(["b", "a", "é", "Z", None] * 12)] + [(900, None, "a"), (901, "", "only"), (902, prose(5, 1), "tiny"), (902, prose(5, 1), "tiny"), (903, prose(9, 2), "a")]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")

@@ -155,3 +155,13 @@ def test_stages_of_an_empty_table(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, str(tmp_path)).count() == 0
+
+
+def test_the_run_leaves_only_what_its_result_reads(spark, tmp_path, monkeypatch):
+    from turnweave.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}/shared")
+    out = corpus_pipeline.run(spark, SF)
+    left = sorted(re.sub(r"-[0-9a-f]{8,}", "", str(p.parent.relative_to(tmp_path / "shared"))) for p in (tmp_path / "shared").rglob("_SUCCESS"))
+    assert [x for x in left if x.startswith("pipeline")] == ["pipeline/mixing"]
+    assert {x.split("/")[0] for x in left} == {"pipeline", "packing"} and out.count() > 100
