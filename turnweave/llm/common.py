@@ -40,12 +40,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 class Scratch:
     """Intermediate tables in the shared folder. A written table cuts lineage and
-    outlives the executors that made it; ``drop`` frees the ones no longer read."""
+    outlives the executors that made it; ``drop`` frees the ones no longer read. What is left goes when the driver ends."""
+
+    #: Those that still have tables, in the order they were made.
+    made: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        system, path = self._path(self.root)
+        system.mkdirs(path)  # a path that is not there is not noted
+        system.deleteOnExit(path)
+        Scratch.made.append(self)
+
+    @staticmethod
+    def release(after: int) -> None:
+        """Drops all tables of those made since there were ``after``, once nothing reads what they led to."""
+        for scratch in Scratch.made[after:]:
+            scratch.drop_but()
+            system, path = scratch._path(scratch.root)
+            system.delete(path, True)
+        del Scratch.made[after:]
+
+    def _path(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
@@ -64,10 +84,9 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            system, path = self._path(self.paths.pop(name))
+            system.delete(path, True)
 
     def drop_but(self, *names: str) -> None:
         """Frees all tables but the named ones, which are still read."""

@@ -1,18 +1,19 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Each document is cut into blocks of words, and a source's blocks are permuted, those of a
-document together. A source's exact quota of draws is the number that brings its words nearest to
+Each document is cut into blocks of words, and a source's blocks are permuted: each for itself, or those of a
+document together where the mix is to keep documents whole. A source's exact quota of draws is the number that brings its words nearest to
 its target: whole passes over the permutation, then its first blocks. The vector of
 quotas is split among the output shards by a binary tree: at each node the left half's counts
 are a multivariate hypergeometric draw, so row and column sums stay exact. That draw is a tree
 too: from all sources down to single ones, the draws that fall to the first half of a stretch of sources
-are hypergeometric. Each (source, shard) cell takes its own stretch of the source's draws; blocks
-outside all cells are not taken. A shard's pieces are in the order of a hash.
+are hypergeometric. Each (source, shard) cell takes its own stretch of the source's draws; the tree decides which shard has a draw, the
+quotas how many draws there are. A shard's pieces are in the order of a hash.
 
 Only DataFrame functions. Ranks within a source come from sums over hash ranges
 (``RANGES`` a source) and a window inside one range, so that a source with a third of
 all rows is never in one task; what is known of a source reaches its blocks by source and range. Sources are
-ranked by sums over ranges of them. A level of the splitting tree is one written table.
+ranked by sums over ranges of them. A level of the splitting tree is one written table; the sums of its long stretches of sources, of
+which there are few whatever the number of sources, are broadcast, so that the stretch of all sources is no key of a shuffle.
 
 Defined cases: a null text has size 0, as has an empty one; a null source is a source
 of its own, last in order. Rows that repeat a doc_id are documents of their own and
@@ -39,6 +40,8 @@ SEED = 42
 SALTS = 32
 #: Candidates of a hypergeometric draw; each is accepted with a probability over one half.
 TRIALS = 64
+#: Halvings of the sources whose sums are broadcast: at most shards x 2 ** TOPS rows.
+TOPS = 10
 #: Parts that a shard's pieces are dealt to by their hash.
 PARTS = 4096
 
@@ -146,8 +149,13 @@ def split_quotas(quotas: DataFrame, scratch: Scratch, shards: int = SHARDS, seed
         each = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("j"))
         each = each.withColumn("stretch", F.expr(f"shiftright(idx, {bits} - j)")).withColumn("side", F.expr(f"shiftright(idx, {bits} - j - 1) & 1"))
         sums = each.groupBy("node", "j", "stretch").agg(F.sum("n").alias("pool"), F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).alias("first"))
+        sums = scratch.write(f"sums{level}", sums)
         path = F.array_sort(F.collect_list(F.struct("j", "stretch", "side", "pool", "first")))
-        paths = each.join(sums, ["node", "j", "stretch"]).groupBy("node", "idx", "source", "n").agg(path.alias("path"))
+        on = ["node", "j", "stretch"]
+        met = each.where(F.col("j") < TOPS).join(sums.where(F.col("j") < TOPS).hint("broadcast"), on)
+        if bits > TOPS:
+            met = met.unionByName(each.where(F.col("j") >= TOPS).join(sums.where(F.col("j") >= TOPS).hint("merge"), on))
+        paths = met.groupBy("node", "idx", "source", "n").agg(path.alias("path"))
 
         paths = paths.withColumn("level", F.lit(level)).withColumn("left", left)
         halves = F.array(
@@ -176,9 +184,9 @@ def _same(a: str, b: str, *more: str) -> Column:
     return out
 
 
-def mix(sizes: DataFrame, scratch: Scratch, shards: int = SHARDS, seed: int = SEED, block_words: int = BLOCK_WORDS):
+def mix(sizes: DataFrame, scratch: Scratch, shards: int = SHARDS, seed: int = SEED, block_words: int = BLOCK_WORDS, whole: bool = False):
     """sizes: of document_sizes(). Returns (blocks, targets): the blocks that the mix
-    takes, (row, id, source, pass, block, words, shard, place), and source_targets()."""
+    takes, (row, id, source, pass, block, words, shard, place), and source_targets(). whole: a document's blocks stand together in the permutation."""
     targets = scratch.write("targets", source_targets(sizes, scratch))
     n_blocks = F.ceil(F.col("size") / block_words).cast("int")
     blocks = sizes.where("size > 0").select("row", "id", "source", "size", "tie", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"))
@@ -188,7 +196,7 @@ def mix(sizes: DataFrame, scratch: Scratch, shards: int = SHARDS, seed: int = SE
         "source",
         "block",
         F.least(F.lit(block_words), F.col("size") - F.col("block") * block_words).cast("long").alias("words"),
-        F.xxhash64("id", "size", "tie", F.lit(seed)).alias("key"),
+        F.xxhash64("id", "size", "tie", *([] if whole else ["block"]), F.lit(seed)).alias("key"),
     ).withColumn("rng", F.shiftrightunsigned("key", 64 - RANGES.bit_length() + 1))
 
     # what comes before each range of a source's permutation
@@ -258,13 +266,13 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs as the mix takes them: a row for each pass over a document and each shard that takes blocks of
-    it then (nearly always one), with those blocks joined in order; documents of which nothing is taken go. Rows are
+    it then (nearly always one, as documents are kept whole: text that is read on is not cut every 256 words), with those blocks joined in order; documents of which nothing is taken go. Rows are
     dealt by shard and parts of it and are there in the shard's shuffled order. Other columns stay. Each row has its
     own passes, also where rows share an id."""
     scratch = Scratch(docs.sparkSession, "mixing")
     docs = scratch.write("keyed", docs.withColumn("__row", F.monotonically_increasing_id()))
     sizes = scratch.write("sizes", document_sizes(docs, id_col, text_col, source_col, F.col("__row")))
-    blocks, _ = mix(sizes, scratch)
+    blocks, _ = mix(sizes, scratch, whole=True)
     passes = blocks.groupBy("row", "pass", "shard").agg(F.array_sort(F.collect_set("block")).alias("__blocks"), F.min("place").alias("__place"))
     passes = scratch.write("passes", passes).select(F.col("row").alias("__row"), F.col("shard").alias("__shard"), "__place", "__blocks")
     scratch.drop_but("keyed", "passes")
