@@ -70,8 +70,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn. A stage's corpus is freed with all that it was made from once the next one's is written."""
     docs = read(spark, sf_dir, "documents")
-    scratch = Scratch(spark, "pipeline")
+    scratch, before = Scratch(spark, "pipeline"), ""
     for name, stage in STAGES[:-1]:
+        made = len(Scratch.made)
         docs = scratch.write(name.replace(" ", "-"), stage(spark, docs, sf_dir))
+        Scratch.release(made)
+        if before:
+            scratch.drop(before)
+        before = name.replace(" ", "-")
     return STAGES[-1][1](spark, docs, sf_dir)
