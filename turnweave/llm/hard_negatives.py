@@ -4,7 +4,8 @@ A vector is cut into two halves, and each half is dealt to the nearest word of t
 cell. For an anchor each word has a bound on what a half dealt to it can add to the inner product: the product with the
 word plus the product of the anchor half's norm and the word's radius, the distance of its farthest half. A cell's bound is the sum of its
 two words' bounds. A heap over the two lists of words, each by falling bound, gives cells by falling bound
-(multi-sequence), so that when it is at a cell no vector that is left scores above that cell's bound. A window
+(multi-sequence), so that when it is at a cell no vector that is left scores above that cell's bound; cells are looked at together until they
+have STEP vectors. A window
 (the best rows of the anchor's own label; for a positive, the best rows of other labels with a score from 80 to 100 percent of its)
 is certified once it is full with scores above the bound, or ends above it; when all windows of an anchor
 are certified, the search stops. What it returns is exact, whatever the codebooks are; these decide the amount of work alone.
@@ -38,6 +39,8 @@ SCALE = 256
 WORDS, ROUNDS, SAMPLE = 16, 12, 8192
 #: Vectors of a block of the index, and anchors that meet it together.
 BLOCK, ANCHORS = 8192, 1024
+#: Vectors that are scored together.
+STEP = 1024
 #: Scores of a cell of the grid.
 WORK = 1 << 29
 POSITIVES = NEGATIVES = 5
@@ -106,6 +109,21 @@ class Index:
         self.ids, self.labels, self.m = ids[order], labels[order], m[order]
         self.first = np.searchsorted(cell[order], np.arange(len(books[0]) * len(books[1]) + 1)).tolist()
         self.largest = float(np.abs(m.astype(float)).max(initial=0))
+        self.real = self.m.astype(float)
+
+    def steps(self, a: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
+        """(bound, rows) of stretches of cells; the bound is that of the first, and holds for all that come later."""
+        held, size, most = [], 0, 0.0
+        for bound, lo, hi in self.cells(a):
+            if not held:
+                most = bound
+            held.append(np.arange(lo, hi))
+            size += hi - lo
+            if size >= STEP:
+                yield most, np.concatenate(held)
+                held, size = [], 0
+        if held:
+            yield most, np.concatenate(held)
 
     def cells(self, a: np.ndarray) -> Iterator[tuple[float, int, int]]:
         """(bound, from, to) of the cells with rows by falling bound for anchor a."""
@@ -128,10 +146,12 @@ class Index:
                     seen.add((x, y))
                     heapq.heappush(heap, (-(one[x] + two[y]), x, y))
 
-    def scores(self, a: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    def scores(self, a: np.ndarray, rows: np.ndarray) -> np.ndarray:
         large = self.width * self.largest * float(np.abs(a.astype(float)).max(initial=0))
-        kind = np.float64 if large < EXACT_DOUBLE else np.int64 if large < EXACT_LONG else object
-        return (self.m[lo:hi].astype(kind) @ a.astype(kind)).astype(np.int64)
+        if large < EXACT_DOUBLE:
+            return (self.real[rows] @ a.astype(float)).astype(np.int64)
+        kind = np.int64 if large < EXACT_LONG else object
+        return (self.m[rows].astype(kind) @ a.astype(kind)).astype(np.int64)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,12 +165,12 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 def positives(index: Index, a: np.ndarray, own: int, label: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best rows of the block of the anchor's label."""
     s, i = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for bound, lo, hi in index.cells(a):
+    for bound, rows in index.steps(a):
         if len(s) == k and s[-1] > bound:
             break
-        mine = (index.labels[lo:hi] == label) & (index.ids[lo:hi] != own)
-        if mine.any():
-            s, i = _best(np.concatenate((s, index.scores(a, lo, hi)[mine])), np.concatenate((i, index.ids[lo:hi][mine])), k)
+        rows = rows[(index.labels[rows] == label) & (index.ids[rows] != own)]
+        if len(rows):
+            s, i = _best(np.concatenate((s, index.scores(a, rows))), np.concatenate((i, index.ids[rows])), k)
     return s, i
 
 
@@ -160,14 +180,14 @@ def negatives(index: Index, a: np.ndarray, own: int, label: int, windows: list[i
     # whole scores s with FROM * w <= 100 * s <= UPTO * w; no float, so any size is exact
     ends = [(-(-FROM * w // 100), UPTO * w // 100) for w in windows]
     left = [x for x, (low, high) in enumerate(ends) if low <= high]
-    for bound, lo, hi in index.cells(a):
+    for bound, rows in index.steps(a):
         left = [x for x in left if ends[x][0] <= bound and not (len(found[x][0]) == k and found[x][0][-1] > bound)]
         if not left:
             break
-        mine = (index.labels[lo:hi] != label) & (index.ids[lo:hi] != own)
-        if not mine.any():
+        rows = rows[(index.labels[rows] != label) & (index.ids[rows] != own)]
+        if not len(rows):
             continue
-        s, i = index.scores(a, lo, hi)[mine], index.ids[lo:hi][mine]
+        s, i = index.scores(a, rows), index.ids[rows]
         for x in left:
             inside = (s >= ends[x][0]) & (s <= ends[x][1])
             if inside.any():
@@ -175,7 +195,7 @@ def negatives(index: Index, a: np.ndarray, own: int, label: int, windows: list[i
     return found
 
 
-def _blocks(rows: DataFrame, books, size: int) -> DataFrame:
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
     """(ids, labels, width, m): blocks of at most ``size`` vectors. The task that reads a block sorts it by cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +263,8 @@ def mine(rows: DataFrame, anchor: Column, scratch: Scratch, n_positives: int = P
         nothing = "anchor_id long, positive_id long, place int, rank int, negative_id long, positive_score long, negative_score long"
         return rows.sparkSession.createDataFrame([], nothing)
     books = _fit(rows, words, sample)
-    blocks = scratch.write("blocks", _blocks(rows, books, BLOCK))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // BLOCK))
+    blocks = scratch.write("blocks", _blocks(rows.repartition(parts, "row"), BLOCK))
 
     def best_of_label(index: Index, a: dict) -> list[tuple]:
         s, i = positives(index, a["v"], a["id"], a["label"], n_positives)
