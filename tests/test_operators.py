@@ -1,8 +1,10 @@
+import os
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from turnweave.operators import articles, knowledge, mentions, pages, related, search
+from turnweave.operators import articles, knowledge, mentions, pages, ranges, related, search
 from turnweave.operators import transcripts as t
 from turnweave.plans.catalog import QUERIES, SQL
 from turnweave.streaming import audience, incremental
@@ -118,8 +120,10 @@ def test_a_batch_that_comes_again_counts_once(spark, tmp_path):
 
 def test_articles_without_questions_or_letters(spark):
     turns = spark.createDataFrame([(1, 0, "user", "Why so?"), (1, 1, "assistant", "Because."), (2, 0, "system", "12")], "conv_id long, turn long, role string, text string")
-    found = {r.conv_id: (r.n_sections, r.body) for r in articles.assemble_articles(turns).collect()}
-    assert found == {1: (1, "Why so?\nBecause."), 2: (0, None)}
+    made = articles.assemble_articles(turns)
+    found = {r.conv_id: (r.tags, r.summary, [tuple(s) for s in r.sections]) for r in made.collect()}
+    assert found[1][2] == [(0, "Why so?", "Because.")] and found[2] == ([], None, [])
+    assert sorted(map(str, articles.read_articles(articles.articles_json(made)).collect())) == sorted(map(str, made.collect()))
 
 
 def streamed(spark, df, name, log, mode):
@@ -237,3 +241,42 @@ def test_related_texts_are_those_of_all_products(spark):
         assert [p[1] for p in got[a]] == pytest.approx([p[1] for p in want], abs=1e-6)
         assert [p[0] for p in got[a]] == [p[0] for p in want] or len({p[1] for p in want}) < 3
     assert math.isclose(v[0][1], math.sqrt(sum(w * w for w in v[0][0].values())))
+
+
+def test_points_meet_the_ranges_that_hold_them(spark):
+    import random
+
+    draw = random.Random(2)
+    points = [(i, draw.randrange(-50, 50), i % 2) for i in range(60)] + [(99, None, 0)]
+    held = [(i, low, low + draw.randrange(-2, 40), i % 2) for i, low in enumerate(draw.choices(range(-60, 60), k=40))] + [(99, None, 5, 0)]
+    p, r = spark.createDataFrame(points, "p long, at long, key long"), spark.createDataFrame(held, "r long, low long, high long, key long")
+    for width in (1, 7, 1000):
+        for keys in ([], ["key"]):
+            right = r if keys else r.drop("key")
+            found = ranges.range_join(p, right, F.col("at"), F.col("low"), F.col("high"), width, keys)
+            want = {(a, b) for a, at, k in points for b, low, high, k2 in held if None not in (at, low) and low <= at < high and (k == k2 or not keys)}
+            got = [(x.p, x.r) for x in found.collect()]
+            assert set(got) == want and len(got) == len(want)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_properties_of_odd_texts(spark):
+    rows_ = [("a", '{"k": 1, "j": 2.5}'), ("a", '{"k": 3}'), ("a", None), ("b", "no object"), ("b", '{"k": "x"}'), ("b", "{}"), (None, '{"k": 4}')]
+    events = spark.createDataFrame(rows_, "event_type string, props string")
+    assert sorted(map(str, audience.properties(events).collect())) == sorted(
+        map(str, spark.createDataFrame([("a", "k", 2, 4.0, 1.0, 3.0), ("a", "j", 1, 2.5, 2.5, 2.5), (None, "k", 1, 4.0, 4.0, 4.0)], "event_type string, name string, n long, total double, least double, most double").collect())
+    )
+
+
+def test_written_tables_go(spark, tmp_path, monkeypatch):
+    from turnweave.operators import lineage
+
+    spark.range(3).write.parquet(str(tmp_path / "x"))
+    table = lineage.cut(spark.read.parquet(str(tmp_path / "x")))
+    folder = lineage.shared_folder(spark).removeprefix("file://")
+    assert table.count() == 3 and os.listdir(folder)
+    assert "broadcast" in lineage.sized(table)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" not in lineage.sized(table, most=2)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" not in lineage.sized(table, most_bytes=5)._jdf.queryExecution().logical().toString().lower()
+    lineage.clear(spark)
+    assert not os.path.exists(folder)

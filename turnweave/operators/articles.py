@@ -39,16 +39,32 @@ def summarize(docs: DataFrame, n: int = 2) -> DataFrame:
     return rows.select("doc_id", F.size("at").cast("long").alias("n_sentences"), F.array_join(chosen, " ").alias("summary"))
 
 
+SECTION = "array<struct<turn:bigint,question:string,answer:string>>"
+
+
 def assemble_articles(turns: DataFrame) -> DataFrame:
-    """An article for each conversation: title and tags from its keyphrases, a summary, and a section for each
-    question and its answer."""
+    """An article for each conversation: (conv_id, title, tags, summary, sections). Title and tags are its keyphrases, sections a row for each
+    question and its answer, in order. Without letters there is no title, tag or summary, without questions no section."""
     docs = assemble(turns).select(F.col("conv_id").alias("doc_id"), "text")
     tags = keyphrases(docs, 5).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t"))
     tags = tags.select("doc_id", F.transform("t", lambda x: x["term"]).alias("tags"))
     asked = exchanges(turns).groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "question", "answer"))).alias("sections"))
     x = docs.select("doc_id").join(tags, "doc_id", "left").join(summarize(docs), "doc_id", "left").join(asked, "doc_id", "left")
-    body = F.array_join(F.transform("sections", lambda s: F.concat_ws("\n", s["question"], s["answer"])), "\n\n")
+    none = F.array().cast("array<string>")
     return x.select(
-        F.col("doc_id").alias("conv_id"), F.array_join(F.slice("tags", 1, 3), " ").alias("title"), F.array_join("tags", ",").alias("tags"), "summary",
-        F.coalesce(F.size("sections"), F.lit(0)).cast("long").alias("n_sections"), body.alias("body"),
+        F.col("doc_id").alias("conv_id"), F.array_join(F.slice("tags", 1, 3), " ").alias("title"), F.coalesce("tags", none).alias("tags"), "summary",
+        F.coalesce(F.col("sections").cast(SECTION), F.array().cast(SECTION)).alias("sections"),
     )
+
+
+def articles_json(articles: DataFrame) -> DataFrame:
+    """(conv_id, n_sections, n_words, article): each article as a JSON text with all its fields, and the words of its sections."""
+    words = F.aggregate("sections", F.lit(0), lambda n, s: n + F.size(terms(s["question"])) + F.size(terms(s["answer"])))
+    text = F.to_json(F.struct("title", "tags", "summary", "sections"), {"ignoreNullFields": "false"})
+    return articles.select("conv_id", F.size("sections").cast("long").alias("n_sections"), words.cast("long").alias("n_words"), text.alias("article"))
+
+
+def read_articles(stored: DataFrame) -> DataFrame:
+    """assemble_articles() back from articles_json()."""
+    shape = f"title string, tags array<string>, summary string, sections {SECTION}"
+    return stored.select("conv_id", F.from_json("article", shape).alias("a")).select("conv_id", "a.*")

@@ -114,3 +114,19 @@ def catalog(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "lang", "source", "n_chars").join(known, "doc_id", "left")
     counted = rows.cube("lang", "source", "quality").agg(F.grouping_id().cast("long").alias("level"), F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("n_chars"))
     return counted.select("lang", "source", "quality", "level", "n", "n_chars")
+
+
+def coverage(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Documents, labelled ones and characters by language, by source, and by language and quality: three groupings in one pass."""
+    known = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    rows = docs.select("doc_id", "lang", "source", "n_chars").join(known, "doc_id", "left")
+    sets = rows.groupingSets([["lang"], ["source"], ["lang", "quality"]], "lang", "source", "quality")
+    return sets.agg(F.grouping_id().cast("long").alias("level"), F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("n_chars")).select("lang", "source", "quality", "level", "n", "n_chars")
+
+
+def term_drift(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(term, df, side): the rows of term_stats() that two tables of documents share, and those that one has alone."""
+    a, b = (term_stats(x).select("term", "df") for x in (before, after))
+    sides = ((a.intersect(b), "both"), (a.exceptAll(b), "before"), (b.exceptAll(a), "after"))
+    out = [x.withColumn("side", F.lit(name)) for x, name in sides]
+    return out[0].unionByName(out[1]).unionByName(out[2])

@@ -8,6 +8,7 @@ from ..operators import articles as b
 from ..operators import knowledge as k
 from ..operators import mentions as m
 from ..operators import pages as p
+from ..operators import ranges as rg
 from ..operators import related as rel
 from ..operators import search as r
 from ..operators import transcripts as t
@@ -43,6 +44,8 @@ QUERIES = {
     "k4_link_mentions": _on("conversations", _mentions),
     "k5_cooccurrence": _on("conversations", lambda t: m.cooccurrence(_mentions(t))),
     "k6_rank_entities": _on("conversations", lambda t: m.rank_entities(m.cooccurrence(_mentions(t)))),
+    "k9_passage_mentions": _on("conversations", lambda t: rg.passage_mentions(t, _mentions(t))),
+    "k10_term_drift": _on("documents", lambda d: k.term_drift(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 <> 0"))),
     "k8_centroid_classify": _on("embeddings", lambda v: m.centroid_classify(v, learn=F.col("vec_id") % 2 == 0)),
     "r1_inverted_index": _on("documents", k.inverted_index),
     "r2_bm25": _on("documents", k.bm25, "benchmark"),
@@ -50,8 +53,9 @@ QUERIES = {
     "r6_evaluate": _on("documents", r.measured_search, "benchmark"),
     "b1_summarize": _on("documents", b.summarize),
     "b2_related": _on("documents", rel.related),
-    "b3_assemble_articles": _on("conversations", b.assemble_articles),
+    "b3_assemble_articles": _on("conversations", lambda t: b.articles_json(b.assemble_articles(t))),
     "b4_catalog": _on("documents", k.catalog, "labels"),
+    "b5_coverage": _on("documents", k.coverage, "labels"),
     "s1_engagement": _on("events", a.engagement),
     "s2_rolling": _on("events", lambda e: a.engagement(e, "2 hours", "1 hour")),
     "s3_sessions": _on("events", a.sessions),
@@ -59,6 +63,10 @@ QUERIES = {
     "s5_trending": _on("events", a.trending),
     "s6_user_state": lambda spark, sf: streamed_user_state(spark, f"{sf}/events.parquet"),
     "s7_last_touch": _on("events", a.last_touch),
+    "s9_properties": _on("events", a.properties),
+    "s10_profiles": _on("events", a.profiles),
+    "s11_after_errors": _on("events", rg.after_errors),
+    "s12_daily": _on("events", a.daily),
     "s8_incremental": lambda spark, sf: streamed_term_stats(spark, f"{sf}/documents.parquet"),
 }
 
@@ -159,6 +167,8 @@ SELECT a, b, n, round(ln(n::DOUBLE * (SELECT sum(c) FROM o) / (x.c::DOUBLE * y.c
 d AS (SELECT phrase, sum(n) AS d FROM (SELECT src AS phrase, n FROM e UNION ALL SELECT dst, n FROM e) GROUP BY phrase)
 SELECT src, dst, n, round(ln(4.0::DOUBLE * n * (SELECT sum(n) FROM e) / (x.d::DOUBLE * y.d)), 5) AS pmi FROM e JOIN d x ON x.phrase = src JOIN d y ON y.phrase = dst""",
     "k6_rank_entities": f"WITH RECURSIVE {_MENTIONS}, {_EDGES}, {_RANKS} SELECT src AS phrase, round(rank, 9) AS rank FROM r10",
+    "k9_passage_mentions": _on("conversations", lambda t: rg.passage_mentions(t, _mentions(t))),
+    "k10_term_drift": _on("documents", lambda d: k.term_drift(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 <> 0"))),
     "k8_centroid_classify": """WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS d FROM embeddings WHERE vec_id % 2 = 0),
 c AS (SELECT label, d, avg(x) AS c FROM x GROUP BY ALL), cc AS (SELECT label, list(c ORDER BY d) AS c FROM c GROUP BY label),
 s AS (SELECT vec_id, e.label, cc.label AS predicted, list_sum(list_transform(list_zip(embedding, c), lambda p: (p[1]::DOUBLE - p[2]) * (p[1]::DOUBLE - p[2]))) AS far FROM embeddings e, cc WHERE vec_id % 2 <> 0),
@@ -196,14 +206,37 @@ SELECT doc_id, count(*) AS n_sentences, string_agg(sentence, ' ' ORDER BY pos) A
     "b3_assemble_articles": rf"""WITH docs AS (SELECT conv_id AS doc_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
 {_on_docs(_TF)}, {_on_docs(_STATS)}, s1 AS (SELECT doc_id, term, round(tf * idf, 6) AS score FROM tf JOIN stats USING (term)),
 k AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rank FROM s1 QUALIFY rank <= 5),
-tags AS (SELECT doc_id, string_agg(term, ',' ORDER BY rank) AS tags, string_agg(CASE WHEN rank <= 3 THEN term END, ' ' ORDER BY rank) AS title FROM k GROUP BY doc_id),
+tags AS (SELECT doc_id, list(term ORDER BY rank) AS tags, string_agg(CASE WHEN rank <= 3 THEN term END, ' ' ORDER BY rank) AS title FROM k GROUP BY doc_id),
 {_on_docs(_SENTENCES)}, summed AS (SELECT doc_id, string_agg(sentence, ' ' ORDER BY pos) AS summary FROM r JOIN s USING (doc_id, pos) WHERE rank <= 2 GROUP BY doc_id),
 l AS (SELECT *, lead(role) OVER o AS nr, lead(text) OVER o AS answer FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
-asked AS (SELECT conv_id AS doc_id, count(*) AS n_sections, string_agg(text || chr(10) || answer, chr(10) || chr(10) ORDER BY turn) AS body FROM l WHERE role = 'user' AND nr = 'assistant' GROUP BY conv_id)
-SELECT docs.doc_id AS conv_id, title, tags, summary, coalesce(n_sections, 0) AS n_sections, body FROM docs LEFT JOIN tags USING (doc_id) LEFT JOIN summed USING (doc_id) LEFT JOIN asked USING (doc_id)""",
+asked AS (SELECT conv_id AS doc_id, list({{'turn': turn, 'question': text, 'answer': answer}} ORDER BY turn) AS sections,
+  sum(len(regexp_extract_all(lower(text), '\p{{L}}+')) + len(regexp_extract_all(lower(answer), '\p{{L}}+')))::BIGINT AS n_words FROM l WHERE role = 'user' AND nr = 'assistant' GROUP BY conv_id)
+SELECT docs.doc_id AS conv_id, coalesce(len(sections), 0) AS n_sections, coalesce(n_words, 0) AS n_words,
+  to_json({{'title': title, 'tags': coalesce(tags, []), 'summary': summary, 'sections': coalesce(sections, [])}})::VARCHAR AS article
+FROM docs LEFT JOIN tags USING (doc_id) LEFT JOIN summed USING (doc_id) LEFT JOIN asked USING (doc_id)""",
     "b4_catalog": """WITH l AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id)
 SELECT lang, source, quality, grouping_id(lang, source, quality)::BIGINT AS level, count(*) AS n, sum(n_chars)::BIGINT AS n_chars
 FROM documents LEFT JOIN l USING (doc_id) GROUP BY CUBE (lang, source, quality)""",
+    "b5_coverage": """WITH l AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id)
+SELECT lang, source, quality, grouping_id(lang, source, quality)::BIGINT AS level, count(*) AS n, sum(n_chars)::BIGINT AS n_chars
+FROM documents LEFT JOIN l USING (doc_id) GROUP BY GROUPING SETS ((lang), (source), (lang, quality))""",
+    "k9_passage_mentions": f"""WITH RECURSIVE {_MENTIONS}, p AS (SELECT conv_id, turn, len(t) AS n, unnest(range(0, greatest(0, ceil((len(t) - 50) / 40.0)::BIGINT * 40) + 1, 40)) AS first FROM tok WHERE len(t) > 0)
+SELECT p.conv_id, p.turn, first, count(*) AS n, count(DISTINCT phrase) AS n_phrases FROM p JOIN m ON m.conv_id = p.conv_id AND m.turn = p.turn AND m.pos >= first AND m.pos < least(first + 50, p.n) GROUP BY ALL""",
+    "k10_term_drift": r"""WITH tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS term FROM documents),
+a AS (SELECT term, count(*) AS df FROM tok WHERE doc_id % 2 = 0 GROUP BY term), b AS (SELECT term, count(*) AS df FROM tok WHERE doc_id % 2 <> 0 GROUP BY term)
+SELECT *, 'both' AS side FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT *, 'before' FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)
+UNION ALL SELECT *, 'after' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""",
+    "s9_properties": """WITH x AS (SELECT event_type, unnest(json_keys(props)) AS name, props FROM events),
+y AS (SELECT event_type, name, (props ->> name)::DOUBLE AS x FROM x)
+SELECT event_type, name, count(*) AS n, round(sum(x), 4) AS total, min(x) AS least, max(x) AS most FROM y WHERE x IS NOT NULL GROUP BY event_type, name""",
+    "s10_profiles": """WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY ALL)
+SELECT user_id, sum(n)::BIGINT AS n, first(event_type ORDER BY n DESC, event_type) AS main,
+'{' || string_agg('"' || event_type || '":' || n, ',' ORDER BY event_type) || '}' AS profile FROM n GROUP BY user_id""",
+    "s11_after_errors": """SELECT e.event_id AS error_id, count(*) AS n, sum(round(p.value * 100)::BIGINT)::BIGINT AS cents, count(*) FILTER (e.user_id = p.user_id) AS n_own
+FROM events e JOIN events p ON e.event_type = 'error' AND p.event_type = 'purchase' AND p.ts >= e.ts AND p.ts < e.ts + INTERVAL 10 MINUTE GROUP BY e.event_id""",
+    "s12_daily": """WITH x AS (SELECT date_trunc('week', ts)::DATE AS week, ts::DATE AS day, event_type, round(value * 100)::BIGINT AS cents FROM events)
+SELECT week::VARCHAR AS week, day::VARCHAR AS day, event_type, grouping_id(week, day, event_type)::BIGINT AS level, count(*) AS n, sum(cents)::BIGINT AS cents
+FROM x GROUP BY ROLLUP (week, day, event_type)""",
     "s1_engagement": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
     "s2_rolling": """SELECT time_bucket(INTERVAL 1 HOUR, ts) - b * INTERVAL 1 HOUR AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS value
 FROM events, (VALUES (0), (1)) AS v(b) GROUP BY ALL""",

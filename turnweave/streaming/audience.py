@@ -100,3 +100,30 @@ def user_state(events: DataFrame) -> DataFrame:
     value = F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents")
     by = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), value, F.count_if(F.col("event_type") == "purchase").alias("n_purchases"), latest)
     return by.select("user_id", "n", "cents", "n_purchases", F.col("latest.ts").alias("last_ts"), F.col("latest.event_type").alias("last_type"))
+
+
+def properties(events: DataFrame) -> DataFrame:
+    """Of the numbers in props, a JSON object: (event_type, name, n, total, least, most). What is no object or no number counts nowhere."""
+    told = F.from_json("props", "map<string,double>")
+    rows = events.select("event_type", F.explode(F.map_filter(told, lambda _, v: v.isNotNull())).alias("name", "x"))
+    by = rows.groupBy("event_type", "name")
+    return by.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 4).alias("total"), F.min("x").alias("least"), F.max("x").alias("most"))
+
+
+def profiles(events: DataFrame) -> DataFrame:
+    """(user_id, n, main, profile): each user's events by type as a map, written as JSON in the order of names, and the type with most, ties to the first name."""
+    by = events.where("event_type IS NOT NULL").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    rows = by.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_type", "n"))).alias("t"), F.sum("n").alias("n"))
+    told = rows.withColumn("profile", F.map_from_entries("t"))
+    most = F.array_max(F.map_values("profile"))
+    main = F.array_min(F.map_keys(F.map_filter("profile", lambda _, v: v == most)))
+    return told.select("user_id", "n", main.alias("main"), F.to_json("profile").alias("profile"))
+
+
+def daily(events: DataFrame) -> DataFrame:
+    """Events and value in cents by week, day and type, with the subtotals of each day, each week and all."""
+    ts = F.col("ts").cast("timestamp")
+    day = lambda unit: F.date_trunc(unit, ts).cast("date")
+    rows = events.select(day("week").alias("week"), day("day").alias("day"), "event_type", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    by = rows.rollup("week", "day", "event_type").agg(F.grouping_id().cast("long").alias("level"), F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
+    return by.select(F.col("week").cast("string").alias("week"), F.col("day").cast("string").alias("day"), "event_type", "level", "n", "cents")
