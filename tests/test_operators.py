@@ -280,3 +280,29 @@ def test_written_tables_go(spark, tmp_path, monkeypatch):
     assert "broadcast" not in lineage.sized(table, most_bytes=5)._jdf.queryExecution().logical().toString().lower()
     lineage.clear(spark)
     assert not os.path.exists(folder)
+
+
+def test_near_vectors_are_found_and_copies_come_in_order(spark):
+    import numpy as np
+
+    from turnweave.operators import neighbours
+
+    r = np.random.default_rng(1)
+    centres = r.normal(size=(20, 16))
+    m = (centres[np.arange(400) % 20] + 0.2 * r.normal(size=(400, 16))).astype(np.float32)
+    rows_ = [(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(1000 + i, [float(x) for x in m[0]]) for i in range(30)]
+    odd = [(2000, None), (2001, [0.0] * 16), (2002, [None] * 16), (2003, [float("nan")] * 16), (None, rows_[1][1]), (2020, [1.0, 2.0])]
+    vectors = spark.createDataFrame(rows_ + odd, "vec_id long, embedding array<float>")
+    got = neighbours.knn_lsh(vectors, F.col("id") % 20 == 0, k=5).orderBy("query_id", "rank").collect()
+    by = {}
+    for x in got:
+        by.setdefault(x.query_id, []).append(x.id)
+    ids, all_ = np.array([i for i, _ in rows_]), np.array([v for _, v in rows_])
+    unit = all_ / np.linalg.norm(all_, axis=1)[:, None]
+    hits = 0
+    for q in [i for i in ids if i % 20 == 0]:
+        s = np.round(unit @ unit[ids == q][0], 6)
+        s[ids == q] = -9
+        hits += len(set(ids[np.lexsort((ids, -s))[:5]].tolist()) & set(by[q]))
+    assert hits >= 0.95 * 5 * sum(ids % 20 == 0)
+    assert by[0] == [1000, 1001, 1002, 1003, 1004] and by[1000][:3] == [0, 1001, 1002] and 2020 not in by

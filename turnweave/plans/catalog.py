@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import articles as b
 from ..operators import knowledge as k
 from ..operators import mentions as m
+from ..operators import neighbours as nb
 from ..operators import pages as p
 from ..operators import ranges as rg
 from ..operators import related as rel
@@ -49,6 +50,7 @@ QUERIES = {
     "k8_centroid_classify": _on("embeddings", lambda v: m.centroid_classify(v, learn=F.col("vec_id") % 2 == 0)),
     "r1_inverted_index": _on("documents", k.inverted_index),
     "r2_bm25": _on("documents", k.bm25, "benchmark"),
+    "r4_knn_lsh": _on("embeddings", lambda v: nb.knn_lsh(v, F.col("id") % 20 == 0)),
     "r5_fuse": _on("documents", r.fused_search, "benchmark"),
     "r6_evaluate": _on("documents", r.measured_search, "benchmark"),
     "b1_summarize": _on("documents", b.summarize),
@@ -174,6 +176,15 @@ c AS (SELECT label, d, avg(x) AS c FROM x GROUP BY ALL), cc AS (SELECT label, li
 s AS (SELECT vec_id, e.label, cc.label AS predicted, list_sum(list_transform(list_zip(embedding, c), lambda p: (p[1]::DOUBLE - p[2]) * (p[1]::DOUBLE - p[2]))) AS far FROM embeddings e, cc WHERE vec_id % 2 <> 0),
 b AS (SELECT label, predicted FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY far, predicted) = 1)
 SELECT label, predicted, count(*) AS n FROM b GROUP BY ALL""",
+    "r4_knn_lsh": """WITH h0 AS (SELECT unnest(range(0, 24 * 8 * 64)) AS i), h1 AS (SELECT i, (i + 12345) * 739982445 % 4294967296 AS x FROM h0),
+h2 AS (SELECT i, (xor(x, x >> 15) + 12345) * 695872825 % 4294967296 AS x FROM h1), h3 AS (SELECT i, (xor(x, x >> 13) + 12345) * 739982445 % 4294967296 AS x FROM h2),
+p AS (SELECT i // 512 AS t, i // 64 % 8 AS b, list(CASE WHEN xor(x, x >> 16) % 2 = 1 THEN 1 ELSE -1 END ORDER BY i) AS p FROM h3 GROUP BY ALL),
+v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1048576)::BIGINT) AS v FROM embeddings),
+n AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x))) AS norm FROM v),
+s AS (SELECT id, t, sum(CASE WHEN list_sum(list_transform(list_zip(v, p), lambda x: x[1] * x[2])) >= 0 THEN 1 << b::INTEGER ELSE 0 END)::BIGINT AS sig FROM n, p GROUP BY id, t),
+m AS (SELECT DISTINCT a.id AS query_id, c.id FROM s a JOIN s c ON a.t = c.t AND a.id % 20 = 0 AND a.id <> c.id AND bit_count(xor(a.sig, c.sig)) <= 1),
+x AS (SELECT query_id, m.id, round(list_sum(list_transform(list_zip(a.v, c.v), lambda x: x[1]::DOUBLE * x[2])) / (c.norm * a.norm), 6) AS score FROM m JOIN n a ON a.id = query_id JOIN n c ON c.id = m.id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score FROM x QUALIFY rank <= 10""",
     "r5_fuse": f"""WITH {_TF}, {_SHARED}, {_bm25(None)},
 o AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS rank FROM shared),
 f AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM b UNION ALL SELECT * FROM o) GROUP BY item_id, doc_id)
