@@ -63,7 +63,7 @@ def knn_lsh(vectors: DataFrame, asked: Column, id_col: str = "vec_id", vector_co
     table are in the query's bucket or one a bit away; ties to the smaller id.
 
     A vector that repeats is looked at once, with its k + 1 smallest ids, so that a group of copies is no large bucket. A pair that meets in several tables
-    counts in the first. The queries' probes go to every task if they are small when measured, else both sides are dealt by table and bucket."""
+    counts in the first. Vectors of unequal length never meet. The queries' probes go to every task if they are small when measured, else both sides are dealt by table and bucket."""
     rows = whole(vectors, id_col, vector_col)
     nth = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     same = rows.withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.first("norm").alias("norm"))
@@ -75,7 +75,7 @@ def knn_lsh(vectors: DataFrame, asked: Column, id_col: str = "vec_id", vector_co
     posted = known.select("ids", "v", "norm", "sig", F.posexplode("sig").alias("t", "bucket"))
     met = posted.join(probes, ["t", "bucket"])
     near = F.zip_with("sig", "q_sig", lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= 1)
-    met = met.where(F.array_position(near, True) == F.col("t") + 1)
+    met = met.where((F.size("v") == F.size("q")) & (F.array_position(near, True) == F.col("t") + 1))
     scored = met.select(F.col("id").alias("query_id"), "ids", F.round(_dot("v", "q") / (F.col("norm") * F.col("q_norm")), 6).alias("score"))
     one = F.element_at("ids", 1)
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), "first_id")
