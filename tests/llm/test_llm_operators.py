@@ -130,6 +130,14 @@ def test_chat_layouts(spark):
         chat_format.canonical_turns(spark.createDataFrame([(1, "x")], "id long, y string"), "id")
 
 
+def test_chat_tables_with_further_columns(spark):
+    turn = spark.createDataFrame([(1, 1, "assistant", "a", 5, "x"), (1, 0, "user", "q", 6, "y")], "conv_id long, turn long, role string, text string, rows long, turns string")
+    nested = spark.createDataFrame([(1, [("user", "q", 1), ("gpt", "a", 2)], "p", "m")], "id long, messages array<struct<role string, content string, weight int>>, prompt string, meta string")
+    for records, key in ((turn, "conv_id"), (nested, "id")):
+        (r,) = chat_format.canonical_turns(records, key).collect()
+        assert [(t.role, t.text) for t in r.turns] == [("user", "q"), ("assistant", "a")]
+
+
 def test_simhash_components(docs):
     got = {r.id: r for r in simhash.near_duplicates(docs).collect()}
     assert got[1].component == got[2].component == 1

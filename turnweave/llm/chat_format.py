@@ -11,11 +11,10 @@ one row; nothing else is gathered.
 
 Defined cases: null roles and texts are empty strings; a null turn number comes first;
 rows that repeat a turn are all kept, ordered by role, then text; a null conversation id is
-one conversation. A layout without a mapping, as one with further fields, raises ValueError for typed tables and gives
-an empty list of turns, with its fingerprint, for JSON records. In JSON, numbers and flags count as their
+one conversation. A typed table may have further columns and fields, whatever their names; one without a known layout raises ValueError. A JSON record
+without a mapping, as one with further fields, gives an empty list of turns, with its fingerprint. In JSON, numbers and flags count as their
 text; of the fields of a record those that are null make no turn. Tables with a row for each turn keep the
-names of their roles, others get the canonical ones. Extra columns of a typed
-table are ignored only if the mapping's own fields are picked first.
+names of their roles, others get the canonical ones.
 """
 
 from __future__ import annotations
@@ -75,11 +74,15 @@ BY_FINGERPRINT = {fingerprint(m.paths): m for m in MAPPINGS}
 
 
 def mapping_for(schema: T.StructType, id_col: str) -> Mapping:
-    """The mapping of a table whose columns besides id_col form a known layout."""
+    """The mapping of a table whose columns besides id_col form a known layout, or else of the largest layout that is among them,
+    the first of equals; so further columns and fields do no harm."""
     paths = field_paths(T.StructType([f for f in schema.fields if f.name != id_col]))
     found = BY_FINGERPRINT.get(fingerprint(paths))
     if not found:
-        raise ValueError(f"no mapping for a layout with the paths {sorted(paths)}")
+        within = [BY_FINGERPRINT[fingerprint(m.paths)] for m in MAPPINGS if set(m.paths) <= set(paths)]
+        if not within:
+            raise ValueError(f"no mapping for a layout with the paths {sorted(paths)}")
+        found = max(within, key=lambda m: len(m.paths))
     return found
 
 
