@@ -79,7 +79,7 @@ def test_a_shingle_of_many_texts_makes_no_pairs(spark):
     scratch = Scratch(spark, "test-order")
     prints = fingerprints(docs, digest=True)
     sets = near_sets.SimilarSets(docs, prints, scratch)
-    assert sets.posted.where("n > 0").count() < 1000  # the passage is in no prefix but by chance
+    assert sets.posted.where("n > 0").count() < 4000  # the passage is in no prefix; with a word before or after it, it is rare
     assert sets._met(None, near_sets._cross_pairs).count() < 5000
     assert near_sets.similar_pairs(docs, prints, scratch).count() == 0
 

@@ -1,9 +1,9 @@
 """Links between texts whose sets of word shingles have a Jaccard similarity of LEAST or more, by prefix filter.
 
-Shingles are 64-bit hashes in one order, from rare to frequent. Spark counts the shingles of all texts in COUNTERS counters, which
-shingles share by hash; every task gets these, and a shingle stands where the power of two of its counter, as a multiple of the mean, puts it,
-then by value. The counters decide the order alone and with it how much work there is, never which pairs are found; as their
-number is fixed, a shingle is told to be frequent once it has more than an even share of all. Of a set of n, any other that is similar enough
+Shingles are 64-bit hashes in one order, from rare to frequent. Spark counts the shingles of all texts in counters, which
+shingles share by hash: one for every LOAD shingles, COUNTERS at most. Every task gets these, and a shingle stands where the power of two of its
+counter, as a multiple of the mean, puts it, then by value. The counters decide the order alone and with it how much work there is, never which
+pairs are found; once there are COUNTERS of them, a shingle is told to be frequent if it has twice an even share of all. Of a set of n, any other that is similar enough
 holds one of its n - ceil(4n/5) + 1 first, so texts meet at those only. Pairs that length, place and number of the
 shingles they met at cannot rule out are confirmed by whole sets; a text in more than HOT pairs meets them in parts.
 
@@ -32,8 +32,8 @@ SHINGLE = 5
 LEAST = 8
 #: Rows of whole shingles that a task holds at a time, and pairs it looks at together.
 CHUNK = 1_000_000
-#: Counters of shingles, 8 MB, and those of them that are summed together.
-COUNTERS, TOGETHER = 1 << 21, 1 << 15
+#: The most counters of shingles (a byte each in a task), shingles for each below that, and counters that are summed together.
+COUNTERS, LOAD, TOGETHER = 1 << 24, 8, 1 << 16
 #: Pairs of one text that a task confirms.
 HOT = 2000
 
@@ -64,12 +64,15 @@ def counter(shingle: np.ndarray, counters: int) -> np.ndarray:
     return (mix(shingle ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(counters)).astype(np.int64)
 
 
+def classes(counts: np.ndarray, mean: float) -> np.ndarray:
+    return np.floor(np.log2(np.maximum(counts / mean, 1))).astype(np.uint8)
+
+
 class Order:
     """The order of shingles by the class of their counter, then by value."""
 
-    def __init__(self, counts: np.ndarray):
-        mean = max(counts.mean(), 1e-9) if len(counts) else 1.0
-        self.rank = np.floor(np.log2(np.maximum(counts / mean, 1))).astype(np.uint8)
+    def __init__(self, rank: np.ndarray):
+        self.rank = rank
 
     def sorted(self, s: np.ndarray) -> np.ndarray:
         return s[np.lexsort((s, self.rank[counter(s, len(self.rank))]))]
@@ -91,34 +94,41 @@ def _sets(rows: DataFrame, shared=None) -> DataFrame:
     return rows.mapInArrow(run, "digest binary, n int, shingles array<long>")
 
 
-def counted_order(rows: DataFrame, counters: int = COUNTERS) -> Order:
+def counted_order(rows: DataFrame, scratch: Scratch, most: int = COUNTERS) -> Order:
     """The order by the number of rows (digest, text) that hold a shingle. A task sends the counters it has used; they are summed in stretches of
-    TOGETHER, and the driver gets COUNTERS sums, whatever the number of rows."""
+    TOGETHER, and the driver gets ``most`` sums at most, whatever the number of rows."""
+    words = rows.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), " ")))).first()[0] or 0  # about as many as shingles
+    counters = max(TOGETHER, min(most, 1 << (words // LOAD).bit_length()))
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(counters, np.uint32)
+        counts = np.zeros(counters, np.uint16)
         for rb in found:
             for s in shingle_sets(rb.column(0).to_pylist()):
-                counts[counter(s, counters)] += np.uint32(1)  # a set's shingles that share a counter count once
+                at = np.unique(counter(s, counters))  # a set's shingles that share a counter count once
+                counts[at] += counts[at] < 65535
         used = np.flatnonzero(counts)
         for part in np.split(used, np.searchsorted(used, np.arange(TOGETHER, counters, TOGETHER))):
             if len(part):
-                at, n = (part % TOGETHER).astype("<u2"), counts[part].astype("<u4")
+                at, n = (part % TOGETHER).astype("<u2"), counts[part].astype("<u2")
                 yield pa.RecordBatch.from_arrays([pa.array([int(part[0]) // TOGETHER]), *(pa.array([x.tobytes()], pa.binary()) for x in (at, n))], ["stretch", "at", "n"])
 
     def add(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for rb in found:
             for stretch, at, n in zip(*(c.to_pylist() for c in rb.columns), strict=True):
-                sums.setdefault(stretch, np.zeros(TOGETHER, np.uint64))[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<u4")
+                sums.setdefault(stretch, np.zeros(TOGETHER, np.uint64))[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<u2")
         for stretch, x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([stretch]), pa.array([x.astype("<u8").tobytes()], pa.binary())], ["stretch", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([stretch]), pa.array([x.astype("<u8").tobytes()], pa.binary()), pa.array([int(x.sum())])], ["stretch", "n", "total"])
 
     parts = rows.select("text").mapInArrow(run, "stretch long, at binary, n binary").repartition("stretch")
-    out = np.zeros(max(counters, TOGETHER), np.uint64)
-    for r in parts.mapInArrow(add, "stretch long, n binary").toLocalIterator():
-        out[r.stretch * TOGETHER : (r.stretch + 1) * TOGETHER] = np.frombuffer(r.n, "<u8")
-    return Order(out[:counters])
+    found = scratch.write("counts", parts.mapInArrow(add, "stretch long, n binary, total long"))
+    mean = max(float(found.agg(F.sum("total")).first()[0] or 0) / counters, 1e-9)
+    rank = np.zeros(counters, np.uint8)
+    for r in found.toLocalIterator():  # a stretch at a time
+        stretch, x = r.stretch, np.frombuffer(r.n, "<u8")
+        rank[stretch * TOGETHER : (stretch + 1) * TOGETHER] = classes(x, mean)
+    scratch.drop("counts")
+    return Order(rank)
 
 
 def _allowed(i: np.ndarray, j: np.ndarray, unit: np.ndarray, n: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
@@ -188,7 +198,7 @@ class SimilarSets:
     def __init__(self, docs: DataFrame, prints: DataFrame, scratch: Scratch, text_col: str = "text"):
         self.scratch = scratch
         self.rows = docs.select(text_digest(text_col).alias("digest"), F.col(f"`{text_col}`").cast("string").alias("text"))
-        order = docs.sparkSession.sparkContext.broadcast(counted_order(self.rows))  # COUNTERS bytes
+        order = docs.sparkSession.sparkContext.broadcast(counted_order(self.rows, scratch))  # COUNTERS bytes at most
         heads = _sets(self.rows, order).where("n > 0").dropDuplicates(["digest"])
         heads = scratch.write("heads", heads.withColumn("unit", F.monotonically_increasing_id()))
         order.destroy()
