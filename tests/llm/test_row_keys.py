@@ -46,3 +46,15 @@ def test_mix_takes_its_target_of_rows_with_one_id(spark):
         taken[r.source] += len(r.text.split())
     level = sum(sizes.values()) / 3  # weights 1 and 2
     assert abs(taken["a"] - level) <= 256 and abs(taken["b"] - 2 * level) <= 256
+
+
+def test_repeated_ids_beyond_a_list_are_told_apart_all_the_same(spark, monkeypatch):
+    from turnweave.llm import suffix_dedup
+
+    long = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, long), (1, long + " more"), (2, "x " + long), (None, long), (2, "short"), (1, long), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shown = lambda: sorted((str(r.id), r.n_bytes, r.n_removed, bytes(r.kept)) for r in suffix_dedup.dedup_spans(docs).collect())
+    short = shown()
+    monkeypatch.setattr(suffix_dedup, "SHORT", 0)
+    assert shown() == short and sum(r[2] for r in short) > 3 * len(long)
