@@ -451,6 +451,16 @@ def test_class_prior_of_separable_samples():
         assert abs(quality_pu.class_prior(draw(1000, at), u) - share) < 0.06
 
 
+def test_the_prior_of_samples_that_overlap():
+    """It may be too high where positives and negatives are hard to tell apart, as no score is of positives alone."""
+    r = np.random.default_rng(1)
+    for apart, most in ((1.0, 0.15), (2.0, 0.12), (3.0, 0.08)):
+        draw = lambda n, at: (r.normal(size=(n, 20)) + np.eye(20)[0] * at).astype(np.float32)
+        for share in (0.3, 0.6, 0.8):
+            u = np.concatenate((draw(int(2000 * share), apart / 2), draw(2000 - int(2000 * share), -apart / 2)))[r.permutation(2000)]
+            assert -0.08 < quality_pu.class_prior(draw(1000, apart / 2), u) - share < most
+
+
 def test_hypergeometric_draws(spark):
     for n, m, d in ((60, 20, 31), (9, 4, 5), (5, 5, 2), (10**12, 3 * 10**11, 5 * 10**11)):
         x = spark.range(8000).select(mixing.hypergeometric(F.lit(n), F.lit(m), F.lit(d), F.col("id")).alias("x")).toPandas().x.to_numpy()
