@@ -24,7 +24,7 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +49,7 @@ PART_ROWS = 500_000
 #: Parts of a lang's candidates, ranked each before they are ranked together.
 SALTS = 64
 #: Bytes of text that are looked at together.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 _SPLIT, _SPACE = b".,;:!?\n\x0b\x0c\r", b" \t"
 _KIND = np.zeros(256, np.int8)
@@ -59,7 +59,7 @@ _END = re.compile(rb"[ \t.,;:!?\n\x0b\x0c\r]")
 _A = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _stretches(texts: list[str | None], n: int) -> Iterator[list[tuple[int, bytes, int]]]:
+def _stretches(texts: Iterable[str | None], n: int) -> Iterator[list[tuple[int, bytes, int]]]:
     """Lists of (text, bytes, how many of them are its own). A long text comes in pieces that end with a word; after them
     come the next n - 1 words, so that phrases which begin in a piece are whole there."""
     more = re.compile(rb"(?:[ \t]*[^ \t.,;:!?\n\x0b\x0c\r]+){0,%d}" % (n - 1))
@@ -153,7 +153,7 @@ def _counted(docs: DataFrame, n: int, bitmap) -> DataFrame:
         told = np.frombuffer(bitmap.value, np.uint8) if bitmap else None
         for rb in batches:
             langs = rb.column(0).to_pylist()
-            for held in _stretches(rb.column(1).to_pylist(), n):
+            for held in _stretches((t.as_py() for t in rb.column(1)), n):
                 lang, phrase, f = count_phrases(held, langs, n, told)
                 yield pa.RecordBatch.from_arrays([lang, phrase, pa.array(f, pa.int64())], ["lang", "phrase", "f"])
 
