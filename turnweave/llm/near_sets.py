@@ -96,7 +96,7 @@ def _sets(rows: DataFrame, shared=None) -> DataFrame:
 
 def counted_order(rows: DataFrame, scratch: Scratch, most: int = COUNTERS) -> Order:
     """The order by the number of rows (digest, text) that hold a shingle. A task sends the counters it has used; they are summed in stretches of
-    TOGETHER, and the driver gets ``most`` sums at most, whatever the number of rows."""
+    TOGETHER, and the driver gets ``most`` bytes at most, whatever the number of rows."""
     words = rows.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), " ")))).first()[0] or 0  # about as many as shingles
     counters = max(TOGETHER, min(most, 1 << (words // LOAD).bit_length()))
 
@@ -123,10 +123,15 @@ def counted_order(rows: DataFrame, scratch: Scratch, most: int = COUNTERS) -> Or
     parts = rows.select("text").mapInArrow(run, "stretch long, at binary, n binary").repartition("stretch")
     found = scratch.write("counts", parts.mapInArrow(add, "stretch long, n binary, total long"))
     mean = max(float(found.agg(F.sum("total")).first()[0] or 0) / counters, 1e-9)
+
+    def classed(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches_:
+            ranks = [classes(np.frombuffer(x.as_py(), "<u8"), mean).tobytes() for x in rb.column(1)]
+            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(ranks, pa.binary())], ["stretch", "rank"])
+
     rank = np.zeros(counters, np.uint8)
-    for r in found.toLocalIterator():  # a stretch at a time
-        stretch, x = r.stretch, np.frombuffer(r.n, "<u8")
-        rank[stretch * TOGETHER : (stretch + 1) * TOGETHER] = classes(x, mean)
+    for r in found.select("stretch", "n").mapInArrow(classed, "stretch long, rank binary").toLocalIterator():  # a byte for each counter in all
+        rank[r.stretch * TOGETHER : (r.stretch + 1) * TOGETHER] = np.frombuffer(r.rank, np.uint8)
     scratch.drop("counts")
     return Order(rank)
 
