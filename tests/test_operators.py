@@ -243,6 +243,22 @@ def test_related_texts_are_those_of_all_products(spark):
     assert math.isclose(v[0][1], math.sqrt(sum(w * w for w in v[0][0].values())))
 
 
+def test_vectors_are_sent_a_fixed_number_of_times(spark, monkeypatch):
+    """However many pairs there are, a block goes to at most a row and a column of MOST_CELLS cells, and is packed."""
+    import numpy as np
+
+    docs = spark.createDataFrame([(i, f"{chr(97 + i % 26)} {chr(97 + i // 26)}x") for i in range(200)], "doc_id long, text string")
+    vectors = related.text_vectors(docs).cache()
+    lit, made = F.lit, []
+    monkeypatch.setattr(related.F, "lit", lambda x: (made.append(x), lit(x))[1])
+    few = related.most_alike(vectors, 3, block=1, work=1)
+    assert max(x for x in made if isinstance(x, int)) <= related.MOST_CELLS**0.5
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(few) == key(related.most_alike(vectors, 3))
+    x = np.arange(1000) + (7 << 33)
+    assert (related.unpacked(related.packed(x, "<i8"), "<i8") == x).all() and len(related.packed(x, "<i8")) < 4000 and not len(related.unpacked(related.packed(x[:0], "<f8"), "<f8"))
+
+
 def test_points_meet_the_ranges_that_hold_them(spark):
     import random
 
