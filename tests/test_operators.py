@@ -322,3 +322,29 @@ def test_near_vectors_are_found_and_copies_come_in_order(spark):
         hits += len(set(ids[np.lexsort((ids, -s))[:5]].tolist()) & set(by[q]))
     assert hits >= 0.95 * 5 * sum(ids % 20 == 0)
     assert by[0] == [1000, 1001, 1002, 1003, 1004] and by[1000][:3] == [0, 1001, 1002] and 2020 not in by
+
+
+def test_vectors_meet_in_blocks_and_not_row_by_row(spark, monkeypatch):
+    """Against all pairs, with blocks of a few vectors; no row is made for each table and bucket in which a pair meets."""
+    import numpy as np
+
+    from turnweave.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "BLOCK", 7)
+    r = np.random.default_rng(3)
+    m = r.normal(size=(90, 8))
+    m[50:60] = m[3]
+    vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    frame = neighbours.knn_lsh(vectors, F.col("id") % 5 == 0, k=4, tables=3, bits=6)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "bucket" not in plan and plan.count("MapInArrow") == 1
+    v = np.floor(m * neighbours.SCALE)
+    side = (v @ neighbours.signs(3, 6, 8).T >= 0).reshape(90, 3, 6)
+    for q in range(0, 90, 5):
+        near = ((side != side[q]).sum(axis=2) <= 1).any(axis=1)
+        s = np.round(v @ v[q] / (np.sqrt((v * v).sum(axis=1)) * np.sqrt((v[q] * v[q]).sum())), 6)
+        want = [(i, s[i]) for i in np.lexsort((np.arange(90), -s)) if near[i] and i != q][:4]
+        got = [(x.id, x.score) for x in frame.where(f"query_id = {q}").orderBy("rank").collect()]
+        assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want])
+    large = r.integers(-(1 << 40), 1 << 40, size=(5, 8)).astype(float)
+    assert np.allclose(neighbours.products(large, large), large @ large.T)
