@@ -348,3 +348,33 @@ def test_vectors_meet_in_blocks_and_not_row_by_row(spark, monkeypatch):
         assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want])
     large = r.integers(-(1 << 40), 1 << 40, size=(5, 8)).astype(float)
     assert np.allclose(neighbours.products(large, large), large @ large.T)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_mentions_and_their_graph_are_made_once(spark):
+    """Texts are cut once for all lengths; pairs are written before they are read four times; ranks move no edges."""
+    turns = spark.createDataFrame([(i, 0, f"a b c x{chr(97 + i % 3)} y, b c d a b") for i in range(9)] + [(99, 0, None)], "conv_id long, turn long, text string")
+    assert plan_of(mentions.phrases(turns)).count("LogicalRDD") + plan_of(mentions.phrases(turns)).count("LocalRelation") == 1
+    known = mentions.numbered(mentions.phrases(turns))
+    plain, numbers = mentions.link_mentions(turns, known, mentions.LENGTHS), mentions.link_mentions(turns, known, mentions.LENGTHS, "id")
+    assert sorted(map(tuple, numbers.withColumnRenamed("phrase", "id").join(known, "id").select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+    edges = mentions.cooccurrence(plain)
+    assert "Window" not in plan_of(edges) and "MapInArrow" not in plan_of(edges)
+    assert edges.count() and sorted(map(tuple, edges.collect())) == sorted(map(tuple, mentions.cooccurrence(numbers, gazetteer=known).collect()))
+    ranks = mentions.rank_entities(edges)
+    assert "Join" not in plan_of(ranks)
+    assert sorted(map(tuple, ranks.collect())) == sorted(map(tuple, mentions.named_ranks(mentions.rank_entities(mentions.near_pairs(numbers)), known).collect()))
+
+
+def test_words_in_tasks_are_the_terms_of_texts(spark):
+    import pyarrow as pa
+
+    from turnweave.functions import text
+
+    texts = ["Été ÀB c2d x_y", None, "", "12 ² Ⅷ½a", "ΣΑΣ Σ ͅ İI ß ẞ", "áb 日本語 𝐀𐐀", "é’s-t", "ǅ ªº ʰ اَب"]
+    want = [r.t for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i long, x string").select("i", text.terms(F.col("x")).alias("t")).orderBy("i").collect()]
+    assert text.words(pa.array(texts)) == [x or [] for x in want]
+    assert text.words(pa.array([b"ab\xffc"], pa.binary())) == [["ab", "c"]]

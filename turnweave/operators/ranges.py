@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import terms
+from ..functions.text import words
 
 
 def range_join(points: DataFrame, ranges: DataFrame, point: Column, low: Column, high: Column, width: int, keys: list[str] | None = None) -> DataFrame:
@@ -21,7 +24,13 @@ def range_join(points: DataFrame, ranges: DataFrame, point: Column, low: Column,
 
 def passages(turns: DataFrame, size: int = 50, step: int = 40) -> DataFrame:
     """(conv_id, turn, first, last): windows of ``size`` terms of each turn that start every ``step`` terms; last is one past the end."""
-    n = turns.select("conv_id", "turn", F.size(terms(F.col("text"))).alias("n")).where("n > 0")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            yield pa.RecordBatch.from_arrays([*rb.columns[:2], pa.array([len(t) for t in words(rb.column(2))], pa.int32())], ["conv_id", "turn", "n"])
+
+    kinds = ", ".join(f"{c} {turns.schema[c].dataType.simpleString()}" for c in ("conv_id", "turn"))
+    n = turns.select("conv_id", "turn", "text").mapInArrow(run, f"{kinds}, n int").where("n > 0")
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.col("n") - size) / step).cast("int") * step), F.lit(step))
     rows = n.select("conv_id", "turn", "n", F.explode(starts).alias("first"))
     return rows.select("conv_id", "turn", F.col("first").cast("long").alias("first"), F.least(F.col("first") + size, "n").cast("long").alias("last"))
