@@ -378,3 +378,16 @@ def test_words_in_tasks_are_the_terms_of_texts(spark):
     want = [r.t for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i long, x string").select("i", text.terms(F.col("x")).alias("t")).orderBy("i").collect()]
     assert text.words(pa.array(texts)) == [x or [] for x in want]
     assert text.words(pa.array([b"ab\xffc"], pa.binary())) == [["ab", "c"]]
+
+
+def test_terms_are_counted_once_and_written(spark):
+    docs = spark.createDataFrame([(i, f"a b{chr(97 + i % 4)} x{chr(97 + i)}. a c{chr(97 + i % 2)}!") for i in range(20)] + [(50, None), (51, "12")], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "a ba"), (2, "xb")], "item_id long, text string")
+    for made in (knowledge.keyphrases(docs), knowledge.inverted_index(docs), knowledge.matches(docs, queries)):
+        assert not {"regexp_extract_all", "MapInArrow"} & set(plan_of(made).replace("(", " ").split())
+    counts = knowledge.cut(knowledge.term_counts(docs))
+    stats = knowledge.stats_of(counts, docs)
+    assert sorted(map(tuple, stats.collect())) == sorted(map(tuple, knowledge.term_stats(docs).collect()))
+    want = sorted(map(tuple, counts.join(stats, "term").collect()))
+    for most in (0, 1, 3, 8, 1000):  # no, some and all terms go to every task
+        assert sorted(map(tuple, knowledge.weighed(counts, stats, most).collect())) == want

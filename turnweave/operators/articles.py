@@ -2,34 +2,52 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import sentences, terms
-from .knowledge import keyphrases, term_stats
-from .lineage import sized
+from ..functions.text import sentences, strings, terms, words_of_sentences
+from .knowledge import ROWS, keyphrases, stats_of, weighed
+from .lineage import cut
 from .transcripts import assemble, exchanges
 
 
 def sentence_terms(docs: DataFrame) -> DataFrame:
     """(doc_id, term, tf, at): the distinct terms of each row with how often they occur and the number of the sentence of each
     time. They are counted where the text is, in one pass over it."""
-    said = F.flatten(F.transform(sentences(F.col("text")), lambda x, i: F.transform(terms(x), lambda t: F.struct(t.alias("term"), i.alias("pos")))))
-    rows = docs.select("doc_id", F.sort_array(said).alias("t"))
-    new = F.filter(F.sequence(F.lit(0), F.greatest(F.size("t") - 1, F.lit(0))), lambda i: ~F.get("t", i)["term"].eqNullSafe(F.get("t", i - 1)["term"]))
-    rows = rows.select("doc_id", "t", F.when(F.size("t") > 0, new).otherwise(F.array().cast("array<int>")).alias("first"))
-    end = F.concat(F.slice("first", 2, 100_000_000), F.array(F.size("t")))
-    times = F.zip_with("first", end, lambda i, j: F.struct(F.get("t", i)["term"].alias("term"), (j - i).cast("long").alias("tf"), F.slice("t", i + 1, j - i)["pos"].alias("at")))
-    rows = rows.select("doc_id", F.explode_outer(F.filter(times, lambda x: x["term"].isNotNull())).alias("c")).where("c IS NOT NULL")
-    return rows.select("doc_id", "c.term", "c.tf", "c.at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for start in range(0, rb.num_rows, ROWS):
+                part = rb.slice(start, ROWS)
+                found, at, n = [], [], []
+                for text in words_of_sentences(part.column(1)):
+                    places = defaultdict(list)
+                    for i, sentence in enumerate(text):
+                        for t in sentence:
+                            places[t].append(i)
+                    found += places
+                    at += places.values()
+                    n.append(len(places))
+                tf = np.fromiter(map(len, at), np.int64, len(at))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(tf))).astype(np.int32)), pa.array(np.fromiter(chain.from_iterable(at), np.int32, tf.sum())))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), strings(found), pa.array(tf), lists], ["doc_id", "term", "tf", "at"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, term string, tf long, at array<int>")
 
 
 def summarize(docs: DataFrame, n: int = 2) -> DataFrame:
     """The n sentences of highest mean tf-idf of each document, in their order; ties to the earlier one.
     Documents without letters have none. Weights are whole millionths, so that sums do not depend on order."""
     millionths = F.round(F.col("idf") * 1_000_000).cast("long")
-    weighed = sentence_terms(docs).join(sized(term_stats(docs).select("term", millionths.alias("idf"))), "term")
-    by = weighed.select("doc_id", F.explode("at").alias("pos"), (F.col("tf") * F.col("idf")).alias("weight")).groupBy("doc_id", "pos")
+    said = cut(sentence_terms(docs))
+    weights = weighed(said, stats_of(said, docs).select("term", "df", millionths.alias("idf")))
+    by = weights.select("doc_id", F.explode_outer("at").alias("pos"), (F.col("tf") * F.col("idf")).alias("weight")).groupBy("doc_id", "pos")
     scored = by.agg((F.sum("weight") / F.count(F.lit(1))).alias("score"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "pos")
     top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
