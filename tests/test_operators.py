@@ -180,6 +180,62 @@ def test_terms_of_a_row_are_counted(spark):
     assert sorted(map(tuple, knowledge.collocations(docs, 1).select("a", "b", "n").collect())) == [("a", "b", 2), ("b", "a", 2)]
 
 
+def _shuffled(spark) -> int:
+    """Bytes that this session's tasks have sent so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_pairs_are_sent_as_numbers(spark):
+    import random
+
+    draw = random.Random(3)
+    names = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyzé", k=200)) for _ in range(1000)]
+    docs = spark.createDataFrame([(i, " ".join(draw.choices(names, k=400))) for i in range(100)], "doc_id long, text string")
+    before = _shuffled(spark)
+    assert knowledge.collocations(docs, 2).count() > 100
+    assert _shuffled(spark) - before < 4_000_000  # two terms of 200 letters for each of some 39,000 pairs would be 15 MB
+
+
+def test_collocations_of_terms_whose_numbers_clash(spark):
+    import math
+    import random
+    from collections import Counter
+
+    from turnweave.functions.text import word_list
+
+    draw = random.Random(4)
+    texts = [None, "", "12 !", "a", *(" ".join(draw.choices(["A", "b", "c,", "d.", "\u03a3\u03a3", "\U00010400x"], [30, 9, 5, 3, 2, 1], k=draw.randrange(40))) for _ in range(200))]
+    found = [word_list(t or "") for t in texts]
+    one, two = Counter(w for t in found for w in t), Counter(p for t in found for p in zip(t, t[1:]))
+    want = {(a, b): (n, math.log(n * sum(one.values()) / (one[a] * one[b]))) for (a, b), n in two.items() if n >= 20}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert knowledge.numbered_terms(knowledge.occurrences(docs), 4)[1] > 0  # the first seed gives two terms one number
+    for bits in (4, 64):
+        got = {(r.a, r.b): (r.n, r.pmi) for r in knowledge.collocations(docs, 20, bits).collect()}
+        assert got.keys() == want.keys() and len(two) > len(want) > 3
+        assert all(got[k][0] == n and abs(got[k][1] - pmi) < 1.1e-5 for k, (n, pmi) in want.items())
+    with pytest.raises(RuntimeError, match="share a number"):
+        knowledge.collocations(docs, 20, 1)
+
+
+def test_coded_words_are_the_words():
+    import pyarrow as pa
+
+    from turnweave.functions.text import coded_words, pieces, words
+
+    some = ["B a b, A b.", None, "", "12 !", "\u039f\u0394\u039f\u03a3 \u03a3\u0391\u03a3", "\u0130stanbul \u1e9e", "\U00010400\U00010401 x\U00020000y", "\na\nb\n", "a" * 300, "e\u0301a"]
+    for texts, most in ((some, 1 << 20), (some, 5), ([None, ""], 5), ([], 5)):
+        col = pa.array(texts, pa.string())
+        known, code, size = coded_words(col, most)
+        assert len(set(known.to_pylist())) == len(known)
+        assert known.take(pa.array(code)).to_pylist() == [w for t in words(col) for w in t]
+        assert size.tolist() == [len(t) for t in words(col)]
+        assert [t for part in pieces(col, most) for t in part.to_pylist()] == texts
+    assert coded_words(pa.array([b"ab\xffc"], pa.binary()))[0].to_pylist() == ["ab", "c"]
+
+
 def test_postings_come_in_blocks(spark):
     docs = spark.createDataFrame([(i, "a b" if i % 2 else "a") for i in (0, 1, 9, 10, 25)], "doc_id long, text string")
     got = sorted(map(tuple, knowledge.inverted_index(docs, 10).collect()))
