@@ -3,6 +3,7 @@
 import collections
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -247,3 +248,15 @@ def test_toxicity_of_odd_rows(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{empty}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{empty}/labels.parquet")
     assert toxicity.op11_toxicity(spark, empty).count() == 0
+
+
+def test_words_are_cut_in_linear_time_and_told_once():
+    """A long row of signs between letters once took time with the square of its length; a table of more words than are held says the same."""
+    began = time.time()
+    assert toxicity.plain("a" + "=" * 40_000 + "b") == ("ab", True) and time.time() - began < 5
+    for word, want in (("_'Idiot!!", ("idiot", False)), ("m0r\u00f6n", ("mor\u00f6n", True)), ("===", ("", False)), ("\u0130x", ("ix", True)), ("a=_", ("a", False))):
+        assert toxicity.plain(word) == want
+    words, given = toxicity.Words({"idi": 2.0}), [w.encode() for w in ("idiot", "you", "UP", "a!!", "m0ron", "sooo", "\u00df")]
+    for _ in range(2):
+        assert [tuple(r) for r in words.table(given)] == [tuple(map(float, words.told(w.decode()))) for w in given]
+        assert len(words.table([f"w{i}".encode() for i in range(toxicity.KNOWN + 1)])) > toxicity.KNOWN  # the next call begins anew
