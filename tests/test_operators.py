@@ -315,6 +315,37 @@ def test_vectors_are_sent_a_fixed_number_of_times(spark, monkeypatch):
     assert (related.unpacked(related.packed(x, "<i8"), "<i8") == x).all() and len(related.packed(x, "<i8")) < 4000 and not len(related.unpacked(related.packed(x[:0], "<f8"), "<f8"))
 
 
+def test_blocks_meet_once_for_the_lists_of_both(monkeypatch):
+    """Against all products, by matrices alone, by the inverted index alone, and by both."""
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    weights = draw.integers(1, 9, (23, 40)) * (draw.random((23, 40)) < np.linspace(0.02, 0.9, 40)).astype(float)
+    weights[5] = weights[11]  # ties
+    weights[7] = 0  # has nothing in common with any
+
+    def made(rows):
+        at, term = np.nonzero(weights[rows])
+        norms = np.maximum(np.sqrt((weights[rows] ** 2).sum(axis=1)), 1)
+        return related.Block(np.array(rows) * 10, norms, np.searchsorted(at, np.arange(len(rows) + 1)), term, weights[rows][at, term])
+
+    norms = np.maximum(np.sqrt((weights**2).sum(axis=1)), 1)
+    scores = related.rounded(weights @ weights.T / np.multiply.outer(norms, norms))
+    monkeypatch.setattr(related, "STRIP", 4)
+    for dense, cheaper, products in ((512, 1 << 30, 1), (512, 0, 7), (8, 3, 1 << 18)):
+        for name, value in (("DENSE", dense), ("CHEAPER", cheaper), ("PRODUCTS", products)):
+            monkeypatch.setattr(related, name, value)
+        a, b = made(list(range(9))), made(list(range(9, 23)))
+        best, index = [related.Best(x.ids, 3) for x in (a, b)], related.Index(a)
+        related.meet(a, best[0], index, None)
+        related.meet(b, best[1], index, best[0])
+        related.meet(b, best[1], related.Index(b), None)
+        for i, row in enumerate(scores):
+            want = sorted((-s, j * 10) for j, s in enumerate(row) if j != i and weights[i] @ weights[j] > 0)[:3]
+            x, at = (best[0], i) if i < 9 else (best[1], i - 9)
+            assert [(-s, o) for s, o in zip(x.scores[at], x.others[at]) if s >= 0] == want
+
+
 def test_points_meet_the_ranges_that_hold_them(spark):
     import random
 
